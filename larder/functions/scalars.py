@@ -18,8 +18,9 @@ def pad_month(month: Column) -> Column:
 
 def month_date(year: Column, month: Column) -> Column:
     """First day of the month; missing where year and month name no real month."""
-    first = F.concat_ws("-", year.cast("string"), pad_month(month), F.lit("01"))
-    return F.when(year.isNotNull() & month.isNotNull(), first.try_cast("date"))
+    number = month.try_cast("int")
+    real = number.between(1, 12) & year.between(1, 9999)
+    return F.when(real, F.make_date(year, number, F.lit(1)))
 
 
 def divide(above: Column, below: Column) -> Column:
@@ -53,8 +54,11 @@ def unit_type(unit: Column) -> Column:
 
 
 def to_number(text: Column) -> Column:
-    """Text as a double, missing where it is not a number."""
-    return text.try_cast("double")
+    """Text as a double, missing where it is not a number.
+
+    Only text that may be a number is parsed: each failed parse throws in the JVM.
+    """
+    return F.when(text.rlike(r"[0-9]|(?i)inf|nan"), text.try_cast("double"))
 
 
 def group_of_name(name: Column, groups: Mapping[str, Iterable[str]]) -> Column:

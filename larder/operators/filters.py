@@ -49,12 +49,13 @@ def complete_cases(df: DataFrame, names: Sequence[str] | None = None) -> DataFra
     Plain null tests, unlike a count of missing columns, reach the scan and turn the
     left joins below into inner joins.
     """
+    known = F.lit(True)
     for name, kind in df.dtypes:
         if names is None or name in names:
-            df = df.filter(F.col(name).isNotNull())
+            known &= F.col(name).isNotNull()
             if kind in ("double", "float"):
-                df = df.filter(~F.isnan(name))
-    return df
+                known &= ~F.isnan(name)
+    return df.filter(known)
 
 
 def filter_both_null(df: DataFrame, one: str, other: str) -> DataFrame:

@@ -31,7 +31,9 @@ def import_label_union(df: DataFrame) -> DataFrame:
         F.coalesce(imported, F.when(name.isNotNull(), F.lit("Not Import"))),
         F.when(name.contains("local"), F.lit("Local")),
     )
-    return df.withColumn("import", F.explode(F.array_compact(labels)))
+    # Dropping the gaps after the explode keeps all of it in generated code.
+    labelled = df.withColumn("import", F.explode(labels))
+    return labelled.filter(F.col("import").isNotNull())
 
 
 def neither_union(df: DataFrame, as_written: bool = False) -> DataFrame:

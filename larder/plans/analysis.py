@@ -81,7 +81,8 @@ def import_comparison(
         labels += [F.when(~local, neither), F.when(~imported, neither)]
     else:
         labels.append(F.when(~local & ~imported, neither))
-    labelled = chosen.withColumn("import", F.explode(F.array_compact(F.array(*labels))))
+    labelled = chosen.withColumn("import", F.explode(F.array(*labels)))
+    labelled = labelled.filter(F.col("import").isNotNull())
     return averages.national_average(labelled, order, ["country", "import", "date"], **options)
 
 

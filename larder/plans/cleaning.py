@@ -42,6 +42,7 @@ def clean_food(
     groups: DataFrame,
     ppp: DataFrame,
     keep: Sequence[str] = (),
+    complete: Sequence[str] | None = None,
     food_groups: Mapping[str, Iterable[str]] = V.GROUPED_FOOD_NAMES,
     region_rows: int | None = None,
     group_rows: int | None = None,
@@ -52,7 +53,8 @@ def clean_food(
 
     Rows of foods that are not food, and rows with a missing field, are dropped before
     prices are converted; a missing conversion factor keeps its row. ``keep`` names
-    further columns to carry, such as a row identity. The ``*_rows`` arguments are
+    further columns to carry, such as a row identity; ``complete`` the columns that may
+    have gaps (default: all but those of ``keep``). The ``*_rows`` arguments are
     counted sizes of the dimensions; without them Spark's own size check decides.
     ``with_source_group`` keeps the joined group as ``source_food_group``.
     """
@@ -60,7 +62,9 @@ def clean_food(
     food = joins.join_region(C.recode_currency(rows), names, region_rows)
     food = joins.join_food_group(food, groups, group_rows)
     food = filters.filter_exclude(food, "food_group", V.EXCLUDED_FOOD_GROUPS)
-    food = filters.complete_cases(food, [c for c in food.columns if c not in keep])
+    if complete is None:
+        complete = [c for c in food.columns if c not in keep]
+    food = filters.complete_cases(food, complete)
     food = food.withColumn("source_food_group", F.col("food_group"))
     food = C.unified_price(joins.join_ppp(food, ppp, ppp_rows))
     food = C.to_number(C.split_unit(C.normalize_unit(food)), "unit")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from larder.registry.inputs import (
     CLEAN_ORDER, GROUPS, ORDER, REGIONS, ROW_ID, SPLIT, Inputs,
 )
 from larder.registry.queries import query
+from larder.session import shared_folder
+from larder.sources.tables import load_tables, save_tables
 
 ID = list(ROW_ID)
 # Decimal places of the columns that have a fixed number of them.
@@ -182,19 +186,27 @@ def inflation_stats(t: Inputs) -> DataFrame:
     return rounded(stats, "avg_infla", "stdev", places=6)
 
 
-@query("cost_to_survive", f"WITH {PUBLISHED}, national AS ({NATIONAL_ROWS}), rice AS ("
+COST_ROWS = """
+SELECT country, date, price_per_one_unit FROM clean WHERE market = 'National Average'
+UNION ALL SELECT country, date, avg(price_per_one_unit) FROM clean
+WHERE country NOT IN (SELECT country FROM published) GROUP BY country, date"""
+
+
+def cost(t: Inputs) -> DataFrame:
+    national = averages.join_published_else_computed(
+        t.clean(), CLEAN_ORDER, strict=False, **CENTS
+    )
+    return rounded(statistics.cost_to_survive(national), "price_to_survive", places=0)
+
+
+@query("cost_to_survive", f"WITH {PUBLISHED}, national AS ({COST_ROWS}), rice AS ("
        "SELECT *, year(date) AS year FROM national) "
        "SELECT country, CAST(year AS INT) AS year, "
-       "round(365 * avg(769.23076923 * price_per_one_unit), 2) AS price_to_survive "
+       "round(365 * avg(769.23076923 * price_per_one_unit), 0) AS price_to_survive "
        "FROM rice GROUP BY country, year "
        "HAVING count(price_per_one_unit) = count(*) AND avg(price_per_one_unit) <> 0")
 def cost_to_survive(t: Inputs) -> DataFrame:
-    national = averages.join_published_else_computed(
-        t.clean(), CLEAN_ORDER, strict=False, **CENTS
-    )
-    # The twin works from means rounded as they are published.
-    national = rounded(national, "price_per_one_unit")
-    return rounded(statistics.cost_to_survive(national), "price_to_survive", places=2)
+    return cost(t)
 
 
 @query("min_group_size", T.select(
@@ -323,11 +335,17 @@ UNION ALL SELECT 'national', food_group, country, date, round(price_per_one_unit
 round(unified_price, 4), ppp_factor, price FROM series
 WHERE {TOP} AND market = 'National Average'""")
 def group_analysis(t: Inputs) -> DataFrame:
-    """Every average of the six groups, stacked."""
-    tables = analysis.group_analysis(
-        t.clean(), CLEAN_ORDER, tuple(GROUPS), REGIONS, split=SPLIT, key_rows=t.group_rows,
-        strict=False, **CENTS,
-    )
+    """Every average of the six groups, stacked.
+
+    The series feeds them all, so it is written once and read back.
+    """
+    root = f"{shared_folder(t.spark)}/larder-{uuid.uuid4().hex}"
+    series = analysis.group_analysis(
+        t.clean(), CLEAN_ORDER, tuple(GROUPS), split=SPLIT, key_rows=t.group_rows
+    )["series"]
+    save_tables({"series": series}, root)
+    saved = load_tables(t.spark, root, ["series"])["series"]
+    tables = analysis.tables_of(saved, CLEAN_ORDER, REGIONS, strict=False, **CENTS)
     keys = {"world": "country", "region": "region", "import": "import", "national": "country"}
     parts = [
         tables[level].select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.operators import averages, charts, statistics
 from larder.registry import twins as T
-from larder.registry.analysis import CENTS, NATIONAL_ROWS, PUBLISHED, rounded
+from larder.registry.analysis import COST_ROWS, PUBLISHED, cost, rounded
 from larder.registry.inputs import CLEAN_ORDER, REGIONS, Inputs
 from larder.registry.queries import query
 
@@ -111,17 +111,13 @@ def boxplot_table_import(t: Inputs) -> DataFrame:
     return _box(t.with_inflation(), ["country", "import"], 3 * t.nations)
 
 
-@query("bar_table", f"WITH {PUBLISHED}, national AS ({NATIONAL_ROWS}) "
+@query("bar_table", f"WITH {PUBLISHED}, national AS ({COST_ROWS}) "
        "SELECT CAST(year(date) AS INT) AS facet, country, "
-       "round(365 * avg(769.23076923 * price_per_one_unit), 2) AS price_to_survive "
+       "round(365 * avg(769.23076923 * price_per_one_unit), 0) AS price_to_survive "
        "FROM national GROUP BY country, facet "
        "HAVING count(price_per_one_unit) = count(*) AND avg(price_per_one_unit) <> 0")
 def bar_table(t: Inputs) -> DataFrame:
-    national = averages.join_published_else_computed(
-        t.clean(), CLEAN_ORDER, strict=False, **CENTS
-    )
-    cost = statistics.cost_to_survive(rounded(national, "price_per_one_unit"))
-    return charts.bar_table(rounded(cost, "price_to_survive", places=2))
+    return charts.bar_table(cost(t))
 
 
 @query("spread_vs_mean", T.select(

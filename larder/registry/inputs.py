@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from larder.fixed_values import NATIONAL_AVERAGE, RAW_REGION_NAMES
 from larder.operators.columns import drop_columns, rename_columns
+from larder.operators.filters import complete_cases
 from larder.operators.windows import food_group_by, monthly_inflation
 from larder.plans import cleaning
 
@@ -23,11 +24,14 @@ ROW_ID = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 # by day and then by band, however many rows one day has.
 ORDER = ("l_shipdate", "order_band", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 SPLIT = (2, 1)
+# What the dimensions add to an observation.
+JOINED = ("country_code", "country_income_group", "region", "food_group")
 # The clean table has a row per import label.
 CLEAN_ORDER = (*ORDER, "import")
 BAND_WIDTH = 65_536
 AFTER, BEFORE = 1995, 2001
 YEARS = range(1996, 2001)
+DAYS = ("1996-01-01", "2001-01-01")
 SUFFIXES = ("", " (imported)", " (local)", " (importedlocal)")
 ADJECTIVES = ("small", "large", "red", "blue", "hot", "cold", "old", "new")
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
@@ -53,6 +57,22 @@ def chosen(number: Column, values: dict[int, str], default: Column) -> Column:
     return F.coalesce(*cases, default)
 
 
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+              "o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+}
+
+
 class Inputs:
     """The derived tables over one folder of test tables."""
 
@@ -60,7 +80,12 @@ class Inputs:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A test table; the declared schema saves the job that would infer it."""
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}.parquet")
+
+    def filled(self, name: str, *columns: str) -> DataFrame:
+        """The columns of a test table that are used, rows with a gap left out."""
+        return complete_cases(self.table(name).select(*columns))
 
     @cached_property
     def nations(self) -> int:
@@ -72,20 +97,32 @@ class Inputs:
         """Number of food names: the bound of every table with a row per food."""
         return self.table("part").select("p_name").distinct().count() * len(SUFFIXES)
 
-    def obs(self) -> DataFrame:
-        """Raw price observations."""
+    def obs(self, days: tuple[str, str] | None = None) -> DataFrame:
+        """Raw price observations; ``days`` (from, before) reaches the scan."""
         # The order side is joined first, so the lines move once for it.
         buyers = (
-            self.table("orders")
-            .join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
-            .join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-            .select("o_orderkey", "n_name", "n_nationkey", "c_mktsegment")
+            self.filled("orders", "o_orderkey", "o_custkey")
+            .join(self.filled("customer", "c_custkey", "c_nationkey", "c_mktsegment"),
+                  F.col("o_custkey") == F.col("c_custkey"))
+            .join(self.filled("nation", "n_nationkey", "n_name"),
+                  F.col("c_nationkey") == F.col("n_nationkey"))
+        )
+        sold = self.filled(
+            "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+            "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate",
         )
+        if days is not None:
+            day = F.col("l_shipdate")
+            first, end = (F.lit(d).cast("timestamp_ntz") for d in days)
+            sold = sold.filter((day >= first) & (day < end))
+        # Both sides grow with the data, whatever their estimate: a merge join.
         lines = (
-            self.table("lineitem")
-            .join(buyers, F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
-            .join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+            sold
+            .join(buyers.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(self.filled("part", "p_partkey", "p_name"),
+                  F.col("l_partkey") == F.col("p_partkey"))
+            .join(self.filled("supplier", "s_suppkey", "s_name"),
+                  F.col("l_suppkey") == F.col("s_suppkey"))
         )
         nation, day = F.col("n_nationkey"), F.col("l_shipdate")
         national = (F.col("l_suppkey") % 10 == 0) & (nation % 2 == 0)
@@ -125,8 +162,7 @@ class Inputs:
 
     def obs_rows(self) -> DataFrame:
         """Observations of the years used, without the raw file's leftovers."""
-        year = F.col("year")
-        return self.obs().filter((year > AFTER) & (year < BEFORE))
+        return self.obs(DAYS)
 
     def country_region(self) -> DataFrame:
         """Country dimension; nation 3 is missing so that the left join has a gap."""
@@ -196,11 +232,15 @@ class Inputs:
         return rename_columns(dropped, RAW_REGION_NAMES)
 
     def clean(self) -> DataFrame:
-        """The clean price table, with the row identity carried along."""
-        rows = cleaning.observations(self.obs(), AFTER, BEFORE)
+        """The clean price table, with the row identity carried along.
+
+        Observations have no gaps (``obs`` leaves them out where the tables are read),
+        so only what the dimensions add needs the test.
+        """
+        rows = cleaning.observations(self.obs(DAYS), AFTER, BEFORE)
         return cleaning.clean_food(
             rows, self.country_region(), self.food_groups(), self.ppp(),
-            keep=ORDER, food_groups=GROUPS, region_rows=self.nations,
+            keep=ORDER, food_groups=GROUPS, complete=JOINED, region_rows=self.nations,
             group_rows=self.names, ppp_rows=self.nations,
         )
 
