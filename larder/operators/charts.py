@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.fixed_values import HISTOGRAM_BINS
-from larder.operators.quantiles import quantiles_by, value_counts
+from larder.operators.quantiles import present, quantiles_by
 from larder.sizing import bounded
 
 
@@ -78,7 +78,7 @@ def histogram_table(
     Bins hold their left end, the last one both ends; one single value is bin 1.
     """
     v = F.col(value)
-    known = df.filter(v.isNotNull() & ~F.isnan(v)).select(*keys, value)
+    known = present(df, value, keys)
     ends = known.groupBy(*keys).agg(F.min(v).alias("low"), F.max(v).alias("high"))
     placed = known.join(bounded(ends, key_rows), list(keys))
     number = F.least(F.width_bucket(v, F.col("low"), F.col("high"), F.lit(bins)), F.lit(bins))
@@ -97,20 +97,19 @@ def boxplot_table(
 
     Whiskers end at the last value within 1.5 interquartile ranges of the box.
     """
-    counts = value_counts(df, value, keys)
-    box = quantiles_by(counts, value, keys, (0.25, 0.5, 0.75), key_rows).withColumnsRenamed(
+    box = quantiles_by(df, value, keys, (0.25, 0.5, 0.75), key_rows).withColumnsRenamed(
         {"q1": "lower", "q2": "middle", "q3": "upper"}
     )
     reach = 1.5 * (F.col("upper") - F.col("lower"))
     v = F.col(value)
     inside = v.between(F.col("lower") - reach, F.col("upper") + reach)
     return (
-        counts.join(bounded(box, key_rows), list(keys))
+        present(df, value, keys).join(bounded(box, key_rows), list(keys))
         .groupBy(*keys, "lower", "middle", "upper")
         .agg(
             F.min(F.when(inside, v)).alias("whisker_low"),
             F.max(F.when(inside, v)).alias("whisker_high"),
-            F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("outliers"),
+            F.count(F.when(~inside, v)).alias("outliers"),
         )
     )
 

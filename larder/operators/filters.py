@@ -81,9 +81,11 @@ def min_group_size(
     return df.join(bounded(large, key_rows), list(keys), "left_semi")
 
 
-def drop_outlier_rows(df: DataFrame, outliers: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Drop the rows named by ``outliers``; Spark checks its size for the join."""
-    return df.join(outliers.select(*on).distinct(), list(on), "left_anti")
+def drop_outlier_rows(
+    df: DataFrame, outliers: DataFrame, on: Sequence[str], rows: int | None = None
+) -> DataFrame:
+    """Drop the rows named by ``outliers``, a list of at most ``rows`` keys."""
+    return df.join(bounded(outliers.select(*on), rows), list(on), "left_anti")
 
 
 def drop_outliers_by_spread(

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.aggregates import first_row
 from larder.sizing import bounded
 
 
@@ -41,13 +40,13 @@ def join_ppp(
     """Add the country's ``ppp_factor`` of the row's year, missing where none is known.
 
     A country listed twice gives its first row in ``order``: the lookup never adds
-    rows. ``rows`` bounds the rows of ``wide``.
+    rows. ``rows`` bounds the rows of ``wide``. As the lookup is one row per country and
+    year by construction, Spark drops the join where the factor is not used.
     """
-    carried = [c for c in wide.columns if c != on]
-    single = wide.groupBy(on).agg(first_row(carried, order).alias("_row"))
-    years = unpivot_years(single.select(on, "_row.*"), [on])
-    known = years.filter(F.col("ppp_factor").isNotNull())
-    year_rows = None if rows is None else rows * len(carried)
+    long = unpivot_years(wide, list(dict.fromkeys([on, *order])))
+    factor = F.min_by("ppp_factor", F.struct(*order)).alias("ppp_factor")
+    known = long.groupBy(on, "year").agg(factor)
+    year_rows = None if rows is None else rows * len(wide.columns)
     return food.join(bounded(known, year_rows), [on, "year"], "left")
 
 

@@ -3,25 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import inf
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.sizing import bounded
 
-# Bands per unit of log(1 + |value|): neighbours within about 0.1 % share a band.
-BANDS = 1024
+# The sketch places a quantile within 1 / ACCURACY of its rank; MARGIN is several times
+# that, so the exact value lies between the two sketched ends.
+ACCURACY = 10_000
+MARGIN = 5 / ACCURACY
 
 
-def value_counts(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """How often each value occurs per group; missing values are left out."""
+def present(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """The keys and the value, rows without a value left out."""
     v = F.col(value)
-    known = df.filter(v.isNotNull() & ~F.isnan(v))
-    return known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    return df.filter(v.isNotNull() & ~F.isnan(v)).select(*keys, value)
 
 
 def quantiles_by(
-    counts: DataFrame,
+    df: DataFrame,
     value: str,
     keys: Sequence[str],
     shares: Sequence[float],
@@ -29,48 +31,56 @@ def quantiles_by(
 ) -> DataFrame:
     """Quantiles ``q1``, ``q2``, ... of each group, interpolated between neighbours.
 
-    Works on ``value_counts``. Spark's ``percentile`` holds all values of a group in one
-    task; here values fall into narrow bands that rise with the value, band counts tell
-    which bands hold the wanted ranks, and only those bands are sorted.
+    Spark's ``percentile`` holds all values of a group in one task. Here a sketch of
+    fixed size gives a narrow range around each quantile; rows below it are counted and
+    only the distinct values inside, a thousandth of the group, are put in order. Both
+    are combined before they move.
     """
     keys, v = list(keys), F.col(value)
-    # log1p never falls as its argument rises, so bands keep the order of the values.
-    size = F.least(F.log1p(F.abs(v)), F.lit(1000.0))
-    band = F.floor(F.signum(v) * size * BANDS).alias("_band")
-    banded = counts.select(*keys, value, "n", band)
+    known = present(df, value, keys)
+    ends = []
+    for share in shares:
+        ends += [max(share - MARGIN, 0.0), min(share + MARGIN, 1.0)]
+    sketched = known.groupBy(*keys).agg(
+        F.percentile_approx(v, F.array(*map(F.lit, ends)), F.lit(ACCURACY)).alias("_ends"),
+        F.count(v).alias("_total"),
+    )
+    # A group no larger than the sketch is put in order whole: there the margin may be
+    # less than one rank.
+    small = F.col("_total") <= ACCURACY
+    ranges = F.array(*(
+        F.struct(
+            F.lit(i).alias("i"), F.lit(share).alias("share"),
+            F.when(small, -inf).otherwise(F.get("_ends", F.lit(2 * i))).alias("low"),
+            F.when(small, inf).otherwise(F.get("_ends", F.lit(2 * i + 1))).alias("high"),
+        )
+        for i, share in enumerate(shares)
+    ))
+    placed = known.join(bounded(sketched, key_rows), keys)
+    cells = (
+        placed.select(*keys, value, "_total", F.explode(ranges).alias("_range"))
+        .filter(v <= F.col("_range.high"))
+        # All rows below the range become one cell without a value.
+        .groupBy(
+            *keys, "_total", F.col("_range.i").alias("_i"), F.col("_range.share").alias("_share"),
+            F.when(v >= F.col("_range.low"), v).alias("_value"),
+        )
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    rising = Window.partitionBy(*keys, "_i").orderBy(F.col("_value").asc_nulls_first())
+    ranked = cells.withColumn("_upto", F.sum("_n").over(rising))
+    place = F.col("_share") * (F.col("_total") - 1)
 
-    group = Window.partitionBy(*keys)
-    sizes = banded.groupBy(*keys, "_band").agg(F.sum("n").alias("_in"))
-    spans = sizes.withColumns({
-        "_before": F.sum("_in").over(group.orderBy("_band")) - F.col("_in"),
-        "_total": F.sum("_in").over(group),
-    })
-    places = {i: share * (F.col("_total") - 1) for i, share in enumerate(shares, 1)}
-    ranks = {}
-    for i, place in places.items():
-        ranks[f"_floor{i}"] = F.floor(place)
-        ranks[f"_ceil{i}"] = F.ceil(place)
-    ranked = spans.withColumns(ranks)
-    held = [
-        (F.col(r) >= F.col("_before")) & (F.col(r) < F.col("_before") + F.col("_in"))
-        for r in ranks
-    ]
-    wanted = ranked.filter(F.array_contains(F.array(*held), True)).drop("_in")
-
-    # At most two bands per share and group are wanted.
-    rows = None if key_rows is None else key_rows * len(ranks)
-    near = banded.join(bounded(wanted, rows), [*keys, "_band"])
-    inside = Window.partitionBy(*keys, "_band").orderBy(value)
-    upto = F.col("_before") + F.sum("n").over(inside)
-    exact = near.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("n"))
+    def at(rank):
+        here = (rank >= F.col("_upto") - F.col("_n")) & (rank < F.col("_upto"))
+        return F.max(F.when(here, F.col("_value")))
 
-    def at(rank: str):
-        here = (F.col(rank) >= F.col("_from")) & (F.col(rank) < F.col("_upto"))
-        return F.max(F.when(here, v)).alias(f"{rank}_value")
-
-    picked = exact.groupBy(*keys, "_total").agg(*(at(r) for r in ranks))
-    out = []
-    for i, place in places.items():
-        low, high = F.col(f"_floor{i}_value"), F.col(f"_ceil{i}_value")
-        out.append((low + (high - low) * (place - F.floor(place))).alias(f"q{i}"))
-    return picked.select(*keys, *out)
+    neighbours = ranked.groupBy(*keys, "_i", place.alias("_place")).agg(
+        at(F.floor(place)).alias("_low"), at(F.ceil(place)).alias("_high")
+    )
+    part = F.col("_place") - F.floor("_place")
+    exact = F.col("_low") + (F.col("_high") - F.col("_low")) * part
+    named = [
+        F.max(F.when(F.col("_i") == i, exact)).alias(f"q{i + 1}") for i in range(len(shares))
+    ]
+    return neighbours.groupBy(*keys).agg(*named)

@@ -218,7 +218,7 @@ def drop_outlier_rows(t: Inputs) -> DataFrame:
     """The key list is each country's dearest row."""
     obs = t.obs().withColumn("cheapness", -F.col("price"))
     dearest = statistics.first_row_carry(obs, ["country"], ID, ["cheapness", *ID])
-    return _with_id(filters.drop_outlier_rows(obs, dearest, ID))
+    return _with_id(filters.drop_outlier_rows(obs, dearest, ID, t.nations))
 
 
 @query("drop_outliers_by_spread", T.select(
