@@ -81,10 +81,11 @@ def histogram_table(
     known = present(df, value, keys)
     ends = known.groupBy(*keys).agg(F.min(v).alias("low"), F.max(v).alias("high"))
     placed = known.join(bounded(ends, key_rows), list(keys))
-    number = F.least(F.width_bucket(v, F.col("low"), F.col("high"), F.lit(bins)), F.lit(bins))
-    return placed.groupBy(
-        *keys, "low", "high", F.coalesce(number, F.lit(1)).cast("int").alias("bin")
-    ).agg(F.count(F.lit(1)).alias("count"))
+    low, high, last = F.col("low"), F.col("high"), F.lit(bins)
+    # A largest value falls past the end, and equal ends make no bins at all.
+    number = F.least(F.width_bucket(v, low, high, last), last).cast("int")
+    placed = placed.withColumn("bin", F.when(low == high, 1).otherwise(number))
+    return placed.groupBy(*keys, "low", "high", "bin").agg(F.count(F.lit(1)).alias("count"))
 
 
 def boxplot_table(

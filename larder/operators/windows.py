@@ -35,7 +35,8 @@ def previous_value(
         series = Window.partitionBy(*partition).orderBy(*order)
         return df.withColumn(into, F.lag(value).over(series))
     length, rest = split[0], list(split[1:])
-    stretch = Window.partitionBy(*partition, *order[:length]).orderBy(*order[length:])
+    within = order[length:] or order
+    stretch = Window.partitionBy(*partition, *order[:length]).orderBy(*within)
     first, last = f"_first_{length}", f"_last_{length}"
     marked = df.withColumns({
         into: F.lag(value).over(stretch),
