@@ -84,11 +84,14 @@ def plain_number(value: Column) -> Column:
     """
     text = value.cast("string")
     sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    digits = F.regexp_replace(F.regexp_replace(text, "E.*$", ""), r"[-.]", "")
-    power = F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int")
+    head = F.substring_index(text, "E", 1)
+    digits = F.replace(F.replace(head, F.lit("."), F.lit("")), F.lit("-"), F.lit(""))
+    power = F.substring_index(text, "E", -1).try_cast("int")
     left = F.rpad(digits, power + 1, "0")
     grown = F.concat(sign, left.substr(F.lit(1), power + 1), F.lit("."),
                      digits.substr(power + 2, F.length(digits)))
     shrunk = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    plain = F.when(power >= 0, grown).when(power < 0, shrunk).otherwise(text)
-    return F.regexp_replace(plain, r"\.0*$", "")
+    moved = F.rtrim(F.when(power >= 0, grown).otherwise(shrunk), F.lit("0"))
+    plain = F.when(text.contains("E"), moved).otherwise(text)
+    whole = plain.endswith(".0") | plain.endswith(".")
+    return F.when(whole, F.substring_index(plain, ".", 1)).otherwise(plain)

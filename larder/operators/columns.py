@@ -44,6 +44,11 @@ def month_date(df: DataFrame) -> DataFrame:
     return df.withColumn("date", S.month_date(F.col("year"), F.col("month")))
 
 
+def trim_country(df: DataFrame) -> DataFrame:
+    """Names that differ only in outer spaces are one country."""
+    return df.withColumn("country", F.trim("country"))
+
+
 def recode_currency(df: DataFrame) -> DataFrame:
     return df.withColumn("currency", S.recode_currency(F.col("currency")))
 

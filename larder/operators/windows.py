@@ -12,6 +12,15 @@ from larder.functions.scalars import divide
 from larder.operators.filters import filter_equals, min_group_size
 
 
+# So few rows are sorted in seconds by one task, whatever the largest partition.
+ROWS_OF_ONE_TASK = 5_000_000
+
+
+def needed_split(rows: int, split: Sequence[int]) -> Sequence[int]:
+    """``split``, or none where all rows of the table are few enough for one task."""
+    return () if rows <= ROWS_OF_ONE_TASK else split
+
+
 def previous_value(
     df: DataFrame,
     value: str,

@@ -59,7 +59,8 @@ def clean_food(
     ``with_source_group`` keeps the joined group as ``source_food_group``.
     """
     names = C.rename_columns(C.drop_columns(region, "ppp_country_name"), V.RAW_REGION_NAMES)
-    food = joins.join_region(C.recode_currency(rows), names, region_rows)
+    names, ppp = C.trim_country(names), C.trim_country(ppp)
+    food = joins.join_region(C.recode_currency(C.trim_country(rows)), names, region_rows)
     food = joins.join_food_group(food, groups, group_rows)
     food = filters.filter_exclude(food, "food_group", V.EXCLUDED_FOOD_GROUPS)
     if complete is None:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from larder import fixed_values as V
 from larder.operators.statistics import report_order
+from larder.operators.windows import needed_split
 from larder.plans import analysis, cleaning
 from larder.sources import schemas
 from larder.sources.csv import read_csv, write_csv
@@ -69,6 +70,7 @@ def analyse(
     """Read the clean food table under ``root`` and write every analysis table there."""
     clean = load_tables(spark, root, ["food"])["food"]
     keys = clean.select("food_group", "country").distinct().count()
+    split = needed_split(clean.count(), split)
     tables = analysis.group_analysis(clean, order, split=split, key_rows=keys, **options)
     # The series feeds all the others: written once, read back with its columns pruned.
     save_tables({"series": tables["series"]}, root)

@@ -33,6 +33,13 @@ def means_of(df: DataFrame) -> DataFrame:
     return rounded(df.drop(*CLEAN_ORDER[:-1]), "price_per_one_unit", "unified_price")
 
 
+def staged(t: Inputs, name: str, df: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read back."""
+    root = f"{shared_folder(t.spark)}/larder-{uuid.uuid4().hex}"
+    save_tables({name: df}, root)
+    return load_tables(t.spark, root, [name])[name]
+
+
 # Aggregates ------------------------------------------------------------------------
 
 
@@ -262,7 +269,8 @@ def countries_without_stdev(t: Inputs) -> DataFrame:
 @query("monthly_inflation", T.select(
     T.INFLATION, f"{T.ID}, import, country, price, monthly_inflation", "inflation"))
 def monthly_inflation(t: Inputs) -> DataFrame:
-    return t.with_inflation().select(*ID, "import", "country", "price", "monthly_inflation")
+    """Split by day and band whatever the size, as on tables too large for one task."""
+    return t.with_inflation(SPLIT).select(*ID, "import", "country", "price", "monthly_inflation")
 
 
 SERIES_KEYS = "country, city, market, food_name, seller_type, currency, unit"
@@ -279,7 +287,8 @@ def monthly_inflation_series(t: Inputs) -> DataFrame:
 @query("food_group_by", T.select(
     T.SERIES, f"{T.ID}, import, food_group, country, price, monthly_inflation", "series"))
 def food_group_by(t: Inputs) -> DataFrame:
-    return t.series().select(
+    """Split as above."""
+    return t.series(SPLIT).select(
         *ID, "import", "food_group", "country", "price", "monthly_inflation"
     )
 
@@ -291,7 +300,7 @@ def food_group_by(t: Inputs) -> DataFrame:
     "WHERE size >= 10"))
 def country_food_series(t: Inputs) -> DataFrame:
     rows = windows.country_food_series(
-        t.clean(), CLEAN_ORDER, split=SPLIT, key_rows=t.group_rows
+        t.clean(), CLEAN_ORDER, split=t.split, key_rows=t.group_rows
     )
     return rows.select(*ID, "import", "country", "food_name", "monthly_inflation")
 
@@ -337,15 +346,14 @@ WHERE {TOP} AND market = 'National Average'""")
 def group_analysis(t: Inputs) -> DataFrame:
     """Every average of the six groups, stacked.
 
-    The series feeds them all, so it is written once and read back.
+    Like the published pipeline: the clean table, then the series, are written once and
+    read back, with their columns and food groups pruned.
     """
-    root = f"{shared_folder(t.spark)}/larder-{uuid.uuid4().hex}"
-    series = analysis.group_analysis(
-        t.clean(), CLEAN_ORDER, tuple(GROUPS), split=SPLIT, key_rows=t.group_rows
-    )["series"]
-    save_tables({"series": series}, root)
-    saved = load_tables(t.spark, root, ["series"])["series"]
-    tables = analysis.tables_of(saved, CLEAN_ORDER, REGIONS, strict=False, **CENTS)
+    food = staged(t, "food", t.clean())
+    series = staged(t, "series", analysis.group_analysis(
+        food, CLEAN_ORDER, tuple(GROUPS), split=t.split, key_rows=t.group_rows
+    )["series"])
+    tables = analysis.tables_of(series, CLEAN_ORDER, REGIONS, strict=False, **CENTS)
     keys = {"world": "country", "region": "region", "import": "import", "national": "country"}
     parts = [
         tables[level].select(
@@ -366,7 +374,7 @@ def group_analysis(t: Inputs) -> DataFrame:
     f"WHERE {TOP} GROUP BY food_group, country"))
 def group_analysis_stats(t: Inputs) -> DataFrame:
     tables = analysis.group_analysis(
-        t.clean(), CLEAN_ORDER, tuple(GROUPS), split=SPLIT, key_rows=t.group_rows
+        t.clean(), CLEAN_ORDER, tuple(GROUPS), split=t.split, key_rows=t.group_rows
     )
     return rounded(tables["stats"], "avg_infla", "stdev", places=6)
 
@@ -413,7 +421,7 @@ def import_comparison_as_written(t: Inputs) -> DataFrame:
 def inflation_report(t: Inputs) -> DataFrame:
     """The report of one group: rice."""
     rice = windows.food_group_by(
-        t.clean(), CLEAN_ORDER, "Rice", SPLIT, key_rows=t.group_rows
+        t.clean(), CLEAN_ORDER, "Rice", t.split, key_rows=t.group_rows
     )
     report = analysis.inflation_report(rice)
     return rounded(report, "avg_infla", "stdev", places=6)

@@ -7,6 +7,7 @@ SQL twins of these views are in ``twins.py``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from larder.fixed_values import NATIONAL_AVERAGE, RAW_REGION_NAMES
 from larder.operators.columns import drop_columns, rename_columns
 from larder.operators.filters import complete_cases
-from larder.operators.windows import food_group_by, monthly_inflation
+from larder.operators.windows import food_group_by, monthly_inflation, needed_split
 from larder.plans import cleaning
 
 # Tells all rows apart, and starts with the day of the observation.
@@ -244,19 +245,26 @@ class Inputs:
             group_rows=self.names, ppp_rows=self.nations,
         )
 
+    @cached_property
+    def split(self) -> Sequence[int]:
+        """How far the series must be split, by the number of order lines."""
+        return needed_split(self.table("lineitem").count(), SPLIT)
+
     @property
     def group_rows(self) -> int:
         """Bound of every table with a row per country and food group."""
         return self.nations * self.names
 
-    def with_inflation(self) -> DataFrame:
+    def with_inflation(self, split: Sequence[int] | None = None) -> DataFrame:
         """Clean rows with the change against the country's previous row."""
-        return monthly_inflation(self.clean(), CLEAN_ORDER, split=SPLIT)
+        chosen = self.split if split is None else split
+        return monthly_inflation(self.clean(), CLEAN_ORDER, split=chosen)
 
-    def series(self) -> DataFrame:
+    def series(self, split: Sequence[int] | None = None) -> DataFrame:
         """Clean rows of every food group and country with ten rows, with inflation."""
+        chosen = self.split if split is None else split
         return food_group_by(
-            self.clean(), CLEAN_ORDER, split=SPLIT, key_rows=self.group_rows
+            self.clean(), CLEAN_ORDER, split=chosen, key_rows=self.group_rows
         )
 
     def currency_codes(self) -> DataFrame:

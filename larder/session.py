@@ -14,6 +14,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # HotSpot never compiles a method above 8000 bytes; such a stage runs operator by
+    # operator instead, whose methods are small.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
     # Recording the Python call site of every column costs more than building the plan.
     "spark.python.sql.dataFrameDebugging.enabled": "false",

@@ -24,7 +24,8 @@ def published(spark, tmp_path_factory):
     lines = [HEAD]
     for i in range(12):
         month, year = i % 12 + 1, 2001
-        lines.append(raw_line("Mali", "Bamako", "Rice (local)", "KG", month, year, 100 + i))
+        mali = "Mali" if i % 2 else "Mali  "
+        lines.append(raw_line(mali, "Bamako", "Rice (local)", "KG", month, year, 100 + i))
         lines.append(raw_line("Nepal", "National Average", "Rice", "50 KG", month, year, 10 * (i + 1)))
         lines.append(raw_line("Somalia", "Hargeysa", "Rice", "KG", month, year, 5, "Somaliland Shilling"))
     lines.append(raw_line("Mali", "Bamako", "Rice", "KG", 1, 1999, 1))
@@ -75,6 +76,24 @@ def test_clean_csv_files(spark, published, rows):
     assert head == ["country", "country_code", *[f"X{y}" for y in range(2000, 2016)]]
 
 
+def test_source_group_can_be_kept(spark, tmp_path):
+    from larder.plans import cleaning
+
+    rows = spark.createDataFrame(
+        [("A", "p", "m", "Rice (coarse)", "USD", "Retail", "KG", "01", 2001, dt.date(2001, 1, 1), 1.0)],
+        "country string, city string, market string, food_name string, currency string, "
+        "seller_type string, unit string, month string, year int, date date, price double")
+    region = spark.createDataFrame(
+        [("A", "a", "Low income", "South Asia", "A")],
+        "food_country_name string, code string, incomegroup string, region string, "
+        "ppp_country_name string")
+    groups = spark.createDataFrame([("Rice (coarse)", "Cereal")], "food_name string, food_group string")
+    ppp = spark.createDataFrame([("A", "a", 4.0)], "country string, country_code string, X2001 double")
+    out = cleaning.clean_food(rows, region, groups, ppp, with_source_group=True).first()
+    assert (out["food_group"], out["source_food_group"]) == ("Rice", "Cereal")
+    assert out["price_per_one_unit"] == 1.0 / 4 / 1000
+
+
 def test_analysis_tables(spark, published, rows):
     _, root = published
     tables = load_tables(
