@@ -34,7 +34,8 @@ def quantiles_by(
     Spark's ``percentile`` holds all values of a group in one task. Here a sketch of
     fixed size gives a narrow range around each quantile; rows below it are counted and
     only the distinct values inside, a thousandth of the group, are put in order. Both
-    are combined before they move.
+    are combined before they move. Should the sketch ever miss its margin, the quantile
+    is missing, not wrong.
     """
     keys, v = list(keys), F.col(value)
     known = present(df, value, keys)

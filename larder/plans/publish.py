@@ -16,10 +16,10 @@ from larder.sources.tables import load_tables, save_tables
 
 # File names of the inputs under one folder.
 FILES = {
-    "currency": "curency_codes.csv",
+    "currency": "currency_codes.csv",
     "ppp": "ppp.csv",
     "food": "food_prices.csv",
-    "region": "country_region_code_incomegroup.csv",
+    "region": "country_region.csv",
     "groups": "food_groups.csv",
 }
 
