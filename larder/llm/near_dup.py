@@ -65,7 +65,7 @@ def labelled_kmers(words: np.ndarray) -> np.ndarray:
         first = np.maximum.accumulate(np.where(new, np.arange(size), 0))
         earlier = np.empty(size, np.uint64)
         earlier[order] = np.arange(size) - first
-        kmers = mixed(kmers + earlier * LABEL)
+        kmers = np.where(earlier > 0, mixed(kmers + earlier * LABEL), kmers)
     return kmers
 
 
