@@ -9,8 +9,9 @@ numpy packs and unpacks all groups at once.
 Documents are range-partitioned and sorted by id. Each ends with the id ``END``. The first
 position of a document in the whole corpus is its place in its pack, plus the packs before it.
 
-A text is encoded in pieces between single spaces that stand between printable characters.
-The vocabulary's own splitting always starts a new token there, so the ids equal those of the
+A text is encoded in pieces: before each single space that stands between other characters,
+and inside a piece new to the worker, between a letter and a mark or a line end. The
+vocabulary's own splitting always starts a new token there, so the ids equal those of the
 whole text; a worker remembers the ids of up to ``REMEMBERED`` pieces.
 
 Defined cases: a missing text is an empty one, a single ``END``. Rows of equal or missing ids
@@ -35,8 +36,14 @@ from larder.llm.common import importable, new_folder
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 PACK_IDS = 1 << 18
-REMEMBERED = 200_000
+REMEMBERED = 500_000
+# A single space between characters that are not white space.
 BETWEEN = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
+# Inside a piece: a letter before a mark or line end, and around a line end alone.
+LETTER = r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]"
+INSIDE = re.compile(
+    rf"(?<={LETTER})(?=[.,;:!?|\n])|(?<=[.,;:!?|])(?=\n{LETTER})|(?<=\S\n)(?={LETTER})"
+)
 PACKS = (
     "part int, pack int, low long, high long, width int, n_ids long, doc_ids binary, no_ids binary, starts binary, "
     "words binary"
@@ -99,18 +106,27 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         split = [self._pieces(text) for text in texts]
-        new = list({piece for pieces in split for piece in pieces}.difference(self.known))
-        for at in range(0, len(new), 1000):
-            some = new[at:at + 1000]
-            for piece, found in zip(
+        known = self.known
+        new = {p: INSIDE.split(p) for pieces in split for p in pieces if p not in known}
+        parts = list({part for parts in new.values() for part in parts}.difference(known))
+        for at in range(0, len(parts), 1000):
+            some = parts[at:at + 1000]
+            for part, found in zip(
                 some, self.tokenizer.encode_batch(some, add_special_tokens=False)
             ):
-                self.known[piece] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
+                known[part] = np.array(found.ids, "<u4").tobytes()
+        for piece, parts in new.items():
+            if len(parts) > 1:
+                known[piece] = b"".join([known[part] for part in parts])
+        return [b"".join([known[piece] for piece in pieces]) for pieces in split]
 
     def _pieces(self, text: str) -> list[str]:
-        first, *rest = BETWEEN.split(text)
-        return [first, *map(" ".__add__, rest)]
+        plain = (
+            text.replace("\n", "").isprintable() and "  " not in text and " \n" not in text
+            and "\n " not in text and text[:1] != " " and text[-1:] != " "
+        )  # then every space stands between other characters
+        first, *rest = text.split(" ") if plain else BETWEEN.split(text)
+        return [first, *[" " + piece for piece in rest]]
 
 
 def write_packs(documents: DataFrame, folder: str, path: str | None = None) -> None:
