@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ from larder.llm.common import importable, new_folder
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 PACK_IDS = 1 << 18
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 # A single space between characters that are not white space.
 BETWEEN = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 # Inside a piece: a letter before a mark or line end, and around a line end alone.
@@ -90,6 +91,12 @@ def unpack_ids(words: np.ndarray, width: int, first: int, last: int) -> np.ndarr
     return out.reshape(-1)[first - 64 * low:last - 64 * low].astype(np.uint32)
 
 
+# Byte-level vocabularies spell printable bytes as themselves, the others from U+0100 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_OTHERS = [b for b in range(256) if b not in _PRINTABLE]
+SPELLING = {b: 256 + i for i, b in enumerate(_OTHERS)}
+
+
 class Encoder:
     """Texts -> ids as little-endian unsigned 32-bit integers."""
 
@@ -99,26 +106,39 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
         self.width = bits_needed(self.tokenizer.get_vocab_size())
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, text: str) -> bytes:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        split = [self._pieces(text) for text in texts]
+        pieces = self._pieces(text)
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            found = [self._piece(p) if ids is None else ids for p, ids in zip(pieces, found)]
+        return b"".join(found)
+
+    def _piece(self, piece: str) -> bytes:
         known = self.known
-        new = {p: INSIDE.split(p) for pieces in split for p in pieces if p not in known}
-        parts = list({part for parts in new.values() for part in parts}.difference(known))
-        for at in range(0, len(parts), 1000):
-            some = parts[at:at + 1000]
-            for part, found in zip(
-                some, self.tokenizer.encode_batch(some, add_special_tokens=False)
-            ):
-                known[part] = np.array(found.ids, "<u4").tobytes()
-        for piece, parts in new.items():
+        if piece not in known:
+            parts = INSIDE.split(piece)
+            for part in parts:
+                if part not in known:
+                    known[part] = self._part(part)
             if len(parts) > 1:
                 known[piece] = b"".join([known[part] for part in parts])
-        return [b"".join([known[piece] for piece in pieces]) for pieces in split]
+        return known[piece]
+
+    def _part(self, part: str) -> bytes:
+        word = part[1:] if part[:1] == " " else part
+        if word.isalpha() and (word.isascii() or max(word) <= "\u024f"):
+            # letters after at most one space: the splitting leaves them whole
+            spelt = part.encode().decode("latin-1").translate(SPELLING)
+            ids = [token.id for token in self.model.tokenize(spelt)]
+        else:
+            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _pieces(self, text: str) -> list[str]:
         plain = (
@@ -165,16 +185,14 @@ def write_packs(documents: DataFrame, folder: str, path: str | None = None) -> N
 
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
-                texts = [text or "" for text in some.column(1).to_pylist()]
-                for doc_id, coded in zip(some.column(0).to_pylist(), encoder(texts)):
-                    ids.append(doc_id)
-                    pieces.append(coded + end)
-                    size += len(coded) // 4 + 1
-                    if size >= PACK_IDS:
-                        yield pack()
-                        ids, pieces, size, number = [], [], 0, number + 1
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                coded = encoder(text.as_py() or "")
+                ids.append(doc_id)
+                pieces.append(coded + end)
+                size += len(coded) // 4 + 1
+                if size >= PACK_IDS:
+                    yield pack()
+                    ids, pieces, size, number = [], [], 0, number + 1
         if ids:
             yield pack()
 
