@@ -3,11 +3,11 @@
 A text's k-mers are its runs of five words, each labelled with how often it occurred before in
 the text. Each of ``SKETCHES`` hash functions picks the ``PICKED`` labelled k-mers with the
 smallest hash and keeps them in text order; equal picks put two texts into one bucket. In
-every bucket each text is compared with the texts that come first and last in a fixed random order of
-all texts, so a bucket of n texts gives at most 2n pairs, however large. Pairs are verified
+every bucket each text is compared with the text that comes first in a fixed random order of
+all texts, so a bucket of n texts gives less than n pairs, however large. Pairs are verified
 by aligning the words within the band that the threshold allows: similarity is 1 minus edit
-distance over the longer length. Then buckets whose texts are still in more than one class are
-compared again under a fresh order, until a round adds no link.
+distance over the longer length. Buckets whose texts are still in more than one class are
+compared again, with the first and last text of a fresh order, until a round adds no link.
 
 Equal texts are one node throughout. Classes are the connected components of the links.
 
@@ -96,38 +96,42 @@ def sketch(kmers: np.ndarray) -> np.ndarray:
 
 
 def distance(a: list, b: list, limit: int) -> int | None:
-    """Edit distance if at most ``limit``: furthest reach per diagonal, inside the band."""
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    n, m = len(a), len(b)
-    if abs(n - m) > limit:
+    """Edit distance if at most ``limit``, which is below the longer length.
+
+    One column of the band around the diagonal, 2 * limit + 1 cells, is two integers: the
+    cells one above and one below their upper neighbour. A step moves the band down by one
+    word of the shorter list.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) - len(b) > limit:
         return None
-    goal = m - n
-    reach = {}
-    for cost in range(limit + 1):
-        now = {}
-        for diagonal in range(max(-cost, -limit), min(cost, limit) + 1):
-            if abs(goal - diagonal) > limit - cost:
-                continue
-            if cost == 0:
-                x = 0
-            else:
-                x = max(reach.get(diagonal, -2) + 1, reach.get(diagonal + 1, -2) + 1,
-                        reach.get(diagonal - 1, -2))
-                if x < 0:
-                    continue
-            x = min(x, n, m - diagonal)
-            y = x + diagonal
-            if y < 0:
-                continue
-            while x < n and y < m and a[x] == b[y]:
-                x += 1
-                y += 1
-            now[diagonal] = x
-            if diagonal == goal and x >= n:
-                return cost
-        reach = now
-    return None
+    places: dict = {}
+    for i, word in enumerate(a):
+        places[word] = places.get(word, 0) | 1 << i
+    width = 2 * limit + 1
+    mask, top = (1 << width) - 1, 1 << (width - 1)
+    rises, falls, cost = mask & ~((1 << limit) - 1), 0, limit
+    inside = len(a) - limit  # steps until the band's end leaves the longer list
+    hopeless = limit + len(b) - inside
+    for i, word in enumerate(b):
+        shift = i - limit
+        same = places.get(word, 0)
+        same = (same >> shift if shift >= 0 else same << -shift) & mask
+        free = ((((same & rises) + rises) ^ rises) | same | falls) & mask
+        right = falls | (~(free | rises) & mask)
+        left = free & rises
+        if i < inside:
+            cost += not free & top
+            if cost > hopeless:
+                return None
+        else:
+            end = top >> (i - inside + 1)
+            cost += bool(right & end) - bool(left & end)
+        free >>= 1
+        rises = left | (~(free | right) & mask)
+        falls = free & right
+    return cost if cost <= limit else None
 
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> float | None:
@@ -181,17 +185,18 @@ def sketched(documents: DataFrame) -> DataFrame:
 
 
 def leader_pairs(buckets: DataFrame, order: int) -> DataFrame:
-    """Each text of a bucket with the bucket's first and last text: (a, b), a < b, each once."""
-    placed = F.struct(F.xxhash64("node", F.lit(order)).alias("place"), "node")
-    ends = (
-        buckets.groupBy("bucket").agg(F.min(placed).alias("first"), F.max(placed).alias("last"))
-        .where(F.col("first.node") != F.col("last.node"))
-        .select("bucket", F.array("first.node", "last.node").alias("ends"))
-    )
+    """Each text of a bucket with the bucket's first text in a random order of all texts, and
+    in later rounds also with the last: (a, b), a < b, each once."""
+    if "root" not in buckets.columns:
+        buckets = buckets.withColumn("root", F.col("node"))
+    placed = F.struct(F.xxhash64("node", F.lit(order)).alias("place"), "node", "root")
+    ends = [F.min(placed), F.max(placed)][:1 if order == 0 else 2]
+    leaders = buckets.groupBy("bucket").agg(F.array(*ends).alias("ends"))
+    end = F.col("end.node")
     return (
-        buckets.join(ends, "bucket").select("node", F.explode("ends").alias("end"))
-        .where(F.col("node") != F.col("end"))
-        .select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))
+        buckets.join(leaders, "bucket").select("node", "root", F.explode("ends").alias("end"))
+        .where(F.col("root") != F.col("end.root"))
+        .select(F.least("node", end).alias("a"), F.greatest("node", end).alias("b"))
         .distinct()
     )
 
@@ -219,37 +224,50 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``links`` (a, b): root is the class's smallest node.
+    """(node, root) for every node of ``links`` (a, b).
 
-    Each step takes the smallest root among a node's neighbours, then follows roots of roots.
+    Each step merges every node into its smallest neighbour and keeps only the links between
+    different merged nodes. Nodes are digests, so their order is random and the links shrink
+    by a factor each step, on long chains too.
     """
-    both = written(
-        links.select("a", "b").union(links.select("b", "a")).distinct().toDF("node", "near"),
-        "links",
-    )
-    roots = written(
-        both.groupBy("node").agg(F.least("node", F.min("near")).alias("root")), "roots"
-    )
+    edges, roots = links.select("a", "b").distinct(), None
     while True:
-        near = both.join(roots.toDF("near", "root"), "near").groupBy("node").agg(
-            F.min("root").alias("offer")
-        )
-        offered = roots.join(near, "node").select(
-            "node", "root", F.least("root", "offer").alias("better")
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).union(
+            edges.select("b", "a"))
+        merged = written(
+            both.groupBy("node").agg(F.least("node", F.min("near")).alias("into")), "merged"
         )
-        jumped = roots.toDF("better", "beyond")
-        step = written(
-            offered.join(jumped, "better").select(
-                "node", F.least("better", "beyond").alias("root"),
-                (F.least("better", "beyond") < F.col("root")).alias("moved"),
-            ), "roots",
+        roots = merged.toDF("node", "root") if roots is None else follow(roots, merged)
+        edges = written(
+            edges.join(merged.toDF("a", "c"), "a").join(merged.toDF("b", "d"), "b")
+            .where(F.col("c") != F.col("d"))
+            .select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct(),
+            "edges",
         )
-        done = step.where("moved").isEmpty()
-        roots = step.drop("moved")
-        if done:
+        if edges.isEmpty():
             return roots
 
 
+def follow(roots: DataFrame, merged: DataFrame) -> DataFrame:
+    """``roots`` with those named in ``merged`` (node, into) replaced."""
+    return written(
+        roots.join(merged.toDF("root", "into"), "root", "left").select(
+            "node", F.coalesce("into", "root").alias("root")), "roots",
+    )
+
+
+def extended(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components of earlier links, given as ``roots``, and of ``links``."""
+    if roots is None:
+        return written(components(links), "roots")
+    a, b = (roots.toDF(c, f"root_{c}") for c in "ab")
+    between = links.select("a", "b").join(a, "a", "left").join(b, "b", "left").select(
+        F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    merged = written(components(between).toDF("node", "into"), "merged")
+    new = merged.join(roots, "node", "left_anti").toDF("node", "root")
+    return written(follow(roots, merged).union(new), "roots")
+
+
 def crowded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct texts (node, first_id), and (node, bucket) of buckets with several texts."""
     nodes = written(
@@ -291,14 +309,13 @@ def linked(documents: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame,
     nodes, buckets = crowded(rows)
     texts = texts_of(documents, buckets.select("node").distinct().join(nodes, "node"))
     pairs = written(leader_pairs(buckets, 0), "pairs")
-    links = tried = None
+    roots = tried = None
     for order in range(1, ROUNDS + 1):
         found = written(verified(pairs, texts, least), "verified")
-        if links is not None and found.isEmpty():
+        if roots is not None and found.isEmpty():
             break
-        links = found if links is None else links.union(found)
+        roots = extended(roots, found)
         tried = pairs if tried is None else tried.union(pairs)
-        roots = components(links)
         if order < ROUNDS:
             rest = leader_pairs(unresolved(buckets, roots), order)
             pairs = written(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
