@@ -41,6 +41,8 @@ RECODED_CURRENCY = ("Somaliland Shilling", "SOS")
 EXCLUDED_FOOD_GROUPS = ("Not Food", "Loaf", "Sack", "Bunch")
 NATIONAL_AVERAGE = "National Average"
 IMPORT_LABELS = ("Not Import", "Import", "Local")
+# The clean table stacks its rows in whole blocks, in this order.
+IMPORT_BLOCKS = ("Import", "Not Import", "Local")
 SELLER_TYPES = ("Farm Gate", "Producer", "Retail", "Wholesale")
 TOP_FOODS = ("Rice", "Maize", "Sorghum", "Beans", "Millet", "Oil")
 WORLD_REGIONS = (

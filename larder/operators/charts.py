@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.fixed_values import HISTOGRAM_BINS
-from larder.operators.quantiles import present, quantiles_by
+from larder.operators.quantiles import present, quantiles_by, same_keys
 from larder.sizing import bounded
 
 
@@ -80,7 +80,7 @@ def histogram_table(
     v = F.col(value)
     known = present(df, value, keys)
     ends = known.groupBy(*keys).agg(F.min(v).alias("low"), F.max(v).alias("high"))
-    placed = known.join(bounded(ends, key_rows), list(keys))
+    placed = same_keys(known, bounded(ends, key_rows), keys)
     low, high, last = F.col("low"), F.col("high"), F.lit(bins)
     # A largest value falls past the end, and equal ends make no bins at all.
     number = F.least(F.width_bucket(v, low, high, last), last).cast("int")
@@ -105,7 +105,7 @@ def boxplot_table(
     v = F.col(value)
     inside = v.between(F.col("lower") - reach, F.col("upper") + reach)
     return (
-        present(df, value, keys).join(bounded(box, key_rows), list(keys))
+        same_keys(present(df, value, keys), bounded(box, key_rows), keys)
         .groupBy(*keys, "lower", "middle", "upper")
         .agg(
             F.min(F.when(inside, v)).alias("whisker_low"),

@@ -22,6 +22,13 @@ def present(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     return df.filter(v.isNotNull() & ~F.isnan(v)).select(*keys, value)
 
 
+def same_keys(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join on equal keys, where missing equals missing."""
+    marks = {k: f"_key_{k}" for k in keys}
+    on = [F.col(k).eqNullSafe(F.col(m)) for k, m in marks.items()]
+    return df.join(groups.withColumnsRenamed(marks), on).drop(*marks.values())
+
+
 def quantiles_by(
     df: DataFrame,
     value: str,
@@ -34,8 +41,7 @@ def quantiles_by(
     Spark's ``percentile`` holds all values of a group in one task. Here a sketch of
     fixed size gives a narrow range around each quantile; rows below it are counted and
     only the distinct values inside, a thousandth of the group, are put in order. Both
-    are combined before they move. Should the sketch ever miss its margin, the quantile
-    is missing, not wrong.
+    are combined before they move. Should the sketch ever miss its margin, the job fails.
     """
     keys, v = list(keys), F.col(value)
     known = present(df, value, keys)
@@ -57,7 +63,7 @@ def quantiles_by(
         )
         for i, share in enumerate(shares)
     ))
-    placed = known.join(bounded(sketched, key_rows), keys)
+    placed = same_keys(known, bounded(sketched, key_rows), keys)
     cells = (
         placed.select(*keys, value, "_total", F.explode(ranges).alias("_range"))
         .filter(v <= F.col("_range.high"))
@@ -81,7 +87,9 @@ def quantiles_by(
     )
     part = F.col("_place") - F.floor("_place")
     exact = F.col("_low") + (F.col("_high") - F.col("_low")) * part
+    missed = F.raise_error(F.lit("a quantile is outside its sketched range")).cast("double")
     named = [
-        F.max(F.when(F.col("_i") == i, exact)).alias(f"q{i + 1}") for i in range(len(shares))
+        F.coalesce(F.max(F.when(F.col("_i") == i, exact)), missed).alias(f"q{i + 1}")
+        for i in range(len(shares))
     ]
     return neighbours.groupBy(*keys).agg(*named)

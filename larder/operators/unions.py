@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.fixed_values import TOP_FOODS
+from larder.fixed_values import IMPORT_BLOCKS, TOP_FOODS
 
 
 def union_all(*tables: DataFrame, fill: bool = False) -> DataFrame:
@@ -19,6 +19,11 @@ def union_all(*tables: DataFrame, fill: bool = False) -> DataFrame:
     return reduce(stack, tables)
 
 
+def import_block(label: str = "import") -> Column:
+    """Place of the label's block in the clean table."""
+    return F.array_position(F.array(*map(F.lit, IMPORT_BLOCKS)), F.col(label))
+
+
 def import_label_union(df: DataFrame) -> DataFrame:
     """One row per import label of the food's name.
 

@@ -4,21 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.fixed_values import MIN_GROUP_ROWS
 from larder.functions.scalars import divide
 from larder.operators.filters import filter_equals, min_group_size
 
+# Rows of a series that one task puts in order.
+STRETCH_ROWS = 500_000
 
-# So few rows are sorted in seconds by one task, whatever the largest partition.
-ROWS_OF_ONE_TASK = 5_000_000
 
+def _same(keys: Sequence[str], marks: Sequence[str]) -> list[Column]:
+    return [F.col(k).eqNullSafe(F.col(m)) for k, m in zip(keys, marks)]
 
-def needed_split(rows: int, split: Sequence[int]) -> Sequence[int]:
-    """``split``, or none where all rows of the table are few enough for one task."""
-    return () if rows <= ROWS_OF_ONE_TASK else split
+
+def stretches(
+    df: DataFrame, partition: Sequence[str], order: Sequence[str], split: tuple[int, int],
+    rows: int,
+) -> DataFrame:
+    """``df`` with ``_stretch``: every series cut, in order, into stretches of about ``rows``.
+
+    Rows are counted per cell, the leading ``sum(split)`` order columns. A running count
+    over the cells says how many rows lie before each; the cell is in stretch count / rows.
+    It is taken within the first ``split[0]`` columns, then over these, so that no task
+    counts all cells of a series.
+    """
+    keys, coarse = list(partition), list(order[:split[0]])
+    fine = list(order[split[0]:sum(split)])
+    whole = [*keys, *coarse, *fine]
+    cells = df.groupBy(*whole).agg(F.count(F.lit(1)).alias("_n"))
+    steps = cells.groupBy(*keys, *coarse).agg(F.sum("_n").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(*coarse).rowsBetween(
+        Window.unboundedPreceding, -1)
+    steps = steps.select(
+        *(F.col(c).alias(f"_s{i}") for i, c in enumerate([*keys, *coarse])),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_earlier"),
+    )
+    inside = F.lit(0)
+    if fine:
+        here = Window.partitionBy(*keys, *coarse).orderBy(*fine).rowsBetween(
+            Window.unboundedPreceding, -1)
+        inside = F.coalesce(F.sum("_n").over(here), F.lit(0))
+    placed = cells.withColumn("_inside", inside)
+    marks = [f"_s{i}" for i in range(len(keys) + len(coarse))]
+    placed = placed.join(steps, _same([*keys, *coarse], marks)).select(
+        *(F.col(c).alias(f"_c{i}") for i, c in enumerate(whole)),
+        F.floor((F.col("_earlier") + F.col("_inside")) / rows).alias("_stretch"),
+    )
+    marks = [f"_c{i}" for i in range(len(whole))]
+    return df.join(placed, _same(whole, marks)).drop(*marks)
 
 
 def previous_value(
@@ -27,42 +62,35 @@ def previous_value(
     into: str,
     partition: Sequence[str],
     order: Sequence[str],
-    split: Sequence[int] = (),
+    split: tuple[int, int] = (1, 0),
+    rows: int = STRETCH_ROWS,
 ) -> DataFrame:
     """Add ``into``: ``value`` of the row before, in ``order``, within ``partition``.
 
-    A plain ``lag`` brings a whole partition into one task. ``split`` avoids that: with
-    ``split=(2, 1)`` rows move by partition and the first two order columns, so a task
-    sees one small stretch of the series. Inside a stretch ``lag`` is already right
-    except for the first row, whose predecessor is the last row of an earlier stretch.
-    Only first and last rows go on to the next round, split by one order column, and
-    the few that remain to the plain window. Order columns used to split must not be
-    missing. The result equals the plain ``lag``.
+    A plain ``lag`` brings a whole partition into one task. Here a task orders one stretch of
+    a series (``stretches``). The first row of a stretch takes the last value of the stretch
+    before, of which there is one row each. The result equals the plain ``lag``.
     """
-    partition, order = list(partition), list(order)
-    if not split:
-        series = Window.partitionBy(*partition).orderBy(*order)
-        return df.withColumn(into, F.lag(value).over(series))
-    length, rest = split[0], list(split[1:])
-    within = order[length:] or order
-    stretch = Window.partitionBy(*partition, *order[:length]).orderBy(*within)
-    first, last = f"_first_{length}", f"_last_{length}"
-    marked = df.withColumns({
-        into: F.lag(value).over(stretch),
-        first: F.lag(F.lit(1)).over(stretch).isNull(),
-        last: F.lead(F.lit(1)).over(stretch).isNull(),
-    })
-    inner = marked.filter(~F.col(first)).drop(first, last)
-    ends = marked.filter(F.col(first) | F.col(last)).drop(into)
-    linked = previous_value(ends, value, into, partition, order, rest)
-    return inner.unionByName(linked.filter(F.col(first)).drop(first, last))
+    keys, order = list(partition), list(order)
+    cut = stretches(df, keys, order, split, rows)
+    last = cut.groupBy(*keys, "_stretch").agg(
+        F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
+    series = Window.partitionBy(*keys).orderBy("_stretch")
+    marks = [f"_l{i}" for i in range(len(keys) + 1)]
+    links = last.withColumn("_link", F.lag("_last").over(series)).select(
+        *(F.col(c).alias(m) for c, m in zip([*keys, "_stretch"], marks)), "_link")
+    within = Window.partitionBy(*keys, "_stretch").orderBy(*order)
+    inner = cut.withColumn("_inner", F.lag(F.struct(F.col(value).alias("v"))).over(within))
+    linked = inner.join(links, _same([*keys, "_stretch"], marks))
+    known = linked.withColumn(into, F.coalesce("_inner", "_link")["v"])
+    return known.drop("_inner", "_link", "_stretch", *marks)
 
 
 def monthly_inflation(
     df: DataFrame,
     order: Sequence[str],
     partition: Sequence[str] = ("country",),
-    split: Sequence[int] = (),
+    split: tuple[int, int] = (1, 0),
 ) -> DataFrame:
     """Percent change of ``price`` against the previous row of the partition.
 
@@ -79,17 +107,18 @@ SERIES = ("country", "city", "market", "food_name", "seller_type", "currency", "
 
 
 def monthly_inflation_series(
-    df: DataFrame, order: Sequence[str], split: Sequence[int] = ()
+    df: DataFrame, order: Sequence[str], split: tuple[int, int] = (1, 0),
+    keys: Sequence[str] = SERIES,
 ) -> DataFrame:
     """Percent change within one product series instead of across a whole country."""
-    return monthly_inflation(df, order, SERIES, split)
+    return monthly_inflation(df, order, keys, split)
 
 
 def food_group_by(
     food: DataFrame,
     order: Sequence[str],
     group: str | None = None,
-    split: Sequence[int] = (),
+    split: tuple[int, int] = (1, 0),
     key_rows: int | None = None,
 ) -> DataFrame:
     """Rows of a food group (of every group if None) with monthly inflation.
@@ -107,7 +136,7 @@ def country_food_series(
     order: Sequence[str],
     country: str | None = None,
     food_name: str | None = None,
-    split: Sequence[int] = (),
+    split: tuple[int, int] = (1, 0),
     key_rows: int | None = None,
 ) -> DataFrame:
     """The same for one (or, if None, every) country and exact food name.

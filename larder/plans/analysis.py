@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder import fixed_values as V
-from larder.operators import averages, statistics, unions, windows
+from larder.operators import averages, filters, statistics, unions, windows
+
+RICE = "Rice"
 
 
 def group_analysis(
@@ -17,7 +19,7 @@ def group_analysis(
     groups: Sequence[str] = V.TOP_FOODS,
     regions: Sequence[str] = V.WORLD_REGIONS,
     without: Sequence[str] = V.COUNTRIES_WITHOUT_PPP,
-    split: Sequence[int] = (),
+    split: tuple[int, int] = (1, 0),
     key_rows: int | None = None,
     **options,
 ) -> dict[str, DataFrame]:
@@ -37,14 +39,22 @@ def tables_of(
     order: Sequence[str],
     regions: Sequence[str] = V.WORLD_REGIONS,
     without: Sequence[str] = V.COUNTRIES_WITHOUT_PPP,
+    outliers: DataFrame | None = None,
     **options,
 ) -> dict[str, DataFrame]:
-    """The tables computed from the series with monthly inflation."""
+    """The tables computed from the series with monthly inflation.
+
+    ``outliers`` names rows by its columns: they count for the spread, and are left out of
+    every average.
+    """
+    stats = statistics.inflation_stats(series, ["food_group", "country"])
+    if outliers is not None:
+        series = filters.drop_outlier_rows(series, outliers, outliers.columns)
     national = averages.join_published_else_computed(
         series, order, ["food_group", "country", "date"], without, **options
     )
     return {
-        "stats": statistics.inflation_stats(series, ["food_group", "country"]),
+        "stats": stats,
         "world": averages.world_average(series, order, ["food_group", "date"], **options),
         "region": averages.region_average_all(
             series, order, regions, ["food_group", "region", "date"], **options
@@ -54,7 +64,7 @@ def tables_of(
         ),
         "national": national,
         "cost_to_survive": statistics.cost_to_survive(
-            national, keys=["food_group", "country", "year"]
+            filters.filter_equals(national, food_group=RICE), keys=["food_group", "country", "year"]
         ),
     }
 

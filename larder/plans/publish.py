@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from larder import fixed_values as V
 from larder.operators.statistics import report_order
-from larder.operators.windows import needed_split
+from larder.operators.unions import import_block
 from larder.plans import analysis, cleaning
 from larder.sources import schemas
 from larder.sources.csv import read_csv, write_csv
@@ -24,10 +24,10 @@ FILES = {
 }
 
 # The published rows have no identity of their own: the columns that tell them apart,
-# date first, so that a country's series splits by month and then by market.
+# the label's block first, then date: a series is cut by month and then by market.
 ROW_ORDER = (
-    "date", "market", "food_name", "seller_type", "unit", "currency", "city", "price",
-    "import",
+    "import_block", "date", "market", "food_name", "seller_type", "unit", "currency", "city",
+    "price",
 )
 ROW_SPLIT = (2, 1)
 
@@ -64,14 +64,13 @@ def analyse(
     spark: SparkSession,
     root: str,
     order: Sequence[str] = ROW_ORDER,
-    split: Sequence[int] = ROW_SPLIT,
+    split: tuple[int, int] = ROW_SPLIT,
     **options,
 ) -> None:
     """Read the clean food table under ``root`` and write every analysis table there."""
-    clean = load_tables(spark, root, ["food"])["food"]
-    keys = clean.select("food_group", "country").distinct().count()
-    split = needed_split(clean.count(), split)
-    tables = analysis.group_analysis(clean, order, split=split, key_rows=keys, **options)
+    food = load_tables(spark, root, ["food"])["food"]
+    clean = food.withColumn("import_block", import_block())
+    tables = analysis.group_analysis(clean, order, split=split, **options)
     # The series feeds all the others: written once, read back with its columns pruned.
     save_tables({"series": tables["series"]}, root)
     series = load_tables(spark, root, ["series"])["series"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,11 +9,9 @@ from larder.operators import averages, filters, statistics, windows
 from larder.plans import analysis
 from larder.registry import twins as T
 from larder.registry.inputs import (
-    CLEAN_ORDER, GROUPS, ORDER, REGIONS, ROW_ID, SPLIT, Inputs,
+    CLEAN_ORDER, CLEAN_SPLIT, GROUPS, ORDER, REGIONS, ROW_ID, SPLIT, Inputs,
 )
 from larder.registry.queries import query
-from larder.session import shared_folder
-from larder.sources.tables import load_tables, save_tables
 
 ID = list(ROW_ID)
 # Decimal places of the columns that have a fixed number of them.
@@ -30,14 +26,7 @@ def rounded(df: DataFrame, *names: str, places: int = 4) -> DataFrame:
 
 
 def means_of(df: DataFrame) -> DataFrame:
-    return rounded(df.drop(*CLEAN_ORDER[:-1]), "price_per_one_unit", "unified_price")
-
-
-def staged(t: Inputs, name: str, df: DataFrame) -> DataFrame:
-    """The table written to the shared folder and read back."""
-    root = f"{shared_folder(t.spark)}/larder-{uuid.uuid4().hex}"
-    save_tables({name: df}, root)
-    return load_tables(t.spark, root, [name])[name]
+    return rounded(df.drop(*CLEAN_ORDER), "price_per_one_unit", "unified_price")
 
 
 # Aggregates ------------------------------------------------------------------------
@@ -166,8 +155,8 @@ NATIONAL_ROWS = f"""
 SELECT country, date, food_name, market, price_per_one_unit, unified_price, ppp_factor, price
 FROM clean WHERE market = 'National Average'
 UNION ALL
-SELECT country, date, arg_min(food_name, (l_shipdate, l_orderkey, l_linenumber, l_partkey,
-       l_suppkey, import)), 'National Average',
+SELECT country, date, arg_min(food_name, (import_block, l_shipdate, l_orderkey, l_linenumber, l_partkey,
+       l_suppkey)), 'National Average',
        {", ".join(T.mean(m, False) for m in T.MEANS)}
 FROM clean WHERE country NOT IN (SELECT country FROM published) GROUP BY country, date"""
 
@@ -193,24 +182,24 @@ def inflation_stats(t: Inputs) -> DataFrame:
     return rounded(stats, "avg_infla", "stdev", places=6)
 
 
-COST_ROWS = """
-SELECT country, date, price_per_one_unit FROM clean WHERE market = 'National Average'
-UNION ALL SELECT country, date, avg(price_per_one_unit) FROM clean
-WHERE country NOT IN (SELECT country FROM published) GROUP BY country, date"""
+# The cost of rice: no other food counts, also for which countries are published.
+COST = f"""WITH {T.CLEAN}, rice AS (SELECT * FROM clean WHERE food_group = 'Rice'), published AS (
+SELECT DISTINCT country FROM rice WHERE market = 'National Average'), national AS (
+SELECT country, date, price_per_one_unit FROM rice WHERE market = 'National Average'
+UNION ALL SELECT country, date, avg(price_per_one_unit) FROM rice
+WHERE country NOT IN (SELECT country FROM published) GROUP BY country, date)"""
 
 
 def cost(t: Inputs) -> DataFrame:
-    national = averages.join_published_else_computed(
-        t.clean(), CLEAN_ORDER, strict=False, **CENTS
-    )
+    rice = filters.filter_equals(t.clean(), food_group="Rice")
+    national = averages.join_published_else_computed(rice, CLEAN_ORDER, strict=False, **CENTS)
     return rounded(statistics.cost_to_survive(national), "price_to_survive", places=0)
 
 
-@query("cost_to_survive", f"WITH {PUBLISHED}, national AS ({COST_ROWS}), rice AS ("
-       "SELECT *, year(date) AS year FROM national) "
+@query("cost_to_survive", f"{COST}, yearly AS (SELECT *, year(date) AS year FROM national) "
        "SELECT country, CAST(year AS INT) AS year, "
        "round(365 * avg(769.23076923 * price_per_one_unit), 0) AS price_to_survive "
-       "FROM rice GROUP BY country, year "
+       "FROM yearly GROUP BY country, year "
        "HAVING count(price_per_one_unit) = count(*) AND avg(price_per_one_unit) <> 0")
 def cost_to_survive(t: Inputs) -> DataFrame:
     return cost(t)
@@ -249,7 +238,7 @@ WHERE market = 'National Average'
 UNION ALL
 SELECT f.country, s.stdv, f.monthly_inflation FROM
 (SELECT *, row_number() OVER (PARTITION BY food_group, country, date
- ORDER BY {T.ID}, import) AS place FROM series) f
+ ORDER BY import_block, {T.ID}) AS place FROM series) f
 JOIN (SELECT food_group, country, stddev_samp(monthly_inflation) AS stdv FROM series
       GROUP BY food_group, country) s ON f.food_group = s.food_group AND f.country = s.country
 WHERE place = 1 AND NOT EXISTS (SELECT 1 FROM published p
@@ -269,38 +258,38 @@ def countries_without_stdev(t: Inputs) -> DataFrame:
 @query("monthly_inflation", T.select(
     T.INFLATION, f"{T.ID}, import, country, price, monthly_inflation", "inflation"))
 def monthly_inflation(t: Inputs) -> DataFrame:
-    """Split by day and band whatever the size, as on tables too large for one task."""
-    return t.with_inflation(SPLIT).select(*ID, "import", "country", "price", "monthly_inflation")
+    return t.with_inflation().select(*ID, "import", "country", "price", "monthly_inflation")
 
 
-SERIES_KEYS = "country, city, market, food_name, seller_type, currency, unit"
+# Supplier and part names are nearly unique here: without them the series are long.
+SERIES_KEYS = "country, city, seller_type, currency, unit"
 
 
 @query("monthly_inflation_series", T.select(
-    T.ROWS, f"{T.ID}, {SERIES_KEYS}, 100 * (price / NULLIF(lag(price) OVER ("
-    f"PARTITION BY {SERIES_KEYS} ORDER BY {T.ID}), 0) - 1) AS monthly_inflation", "obs_rows"))
+    T.OBS, f"{T.ID}, {SERIES_KEYS}, 100 * (price / NULLIF(lag(price) OVER ("
+    f"PARTITION BY {SERIES_KEYS} ORDER BY {T.ID}), 0) - 1) AS monthly_inflation", "obs"))
 def monthly_inflation_series(t: Inputs) -> DataFrame:
-    rows = windows.monthly_inflation_series(t.obs_rows(), ORDER, SPLIT)
-    return rows.select(*ID, *windows.SERIES, "monthly_inflation")
+    keys = SERIES_KEYS.split(", ")
+    rows = windows.monthly_inflation_series(t.stored("obs", t.obs()), ORDER, SPLIT, keys)
+    return rows.select(*ID, *keys, "monthly_inflation")
 
 
 @query("food_group_by", T.select(
     T.SERIES, f"{T.ID}, import, food_group, country, price, monthly_inflation", "series"))
 def food_group_by(t: Inputs) -> DataFrame:
-    """Split as above."""
-    return t.series(SPLIT).select(
+    return t.series().select(
         *ID, "import", "food_group", "country", "price", "monthly_inflation"
     )
 
 
 @query("country_food_series", T.select(
     T.CLEAN, f"{T.ID}, import, country, food_name, 100 * (price / NULLIF(lag(price) OVER ("
-    f"PARTITION BY country, food_name ORDER BY {T.ID}, import), 0) - 1) AS monthly_inflation",
+    f"PARTITION BY country, food_name ORDER BY import_block, {T.ID}), 0) - 1) AS monthly_inflation",
     "(SELECT *, count(*) OVER (PARTITION BY country, food_name) AS size FROM clean)",
     "WHERE size >= 10"))
 def country_food_series(t: Inputs) -> DataFrame:
     rows = windows.country_food_series(
-        t.clean(), CLEAN_ORDER, split=t.split, key_rows=t.group_rows
+        t.stored_clean(), CLEAN_ORDER, split=CLEAN_SPLIT, key_rows=t.group_rows
     )
     return rows.select(*ID, "import", "country", "food_name", "monthly_inflation")
 
@@ -349,9 +338,8 @@ def group_analysis(t: Inputs) -> DataFrame:
     Like the published pipeline: the clean table, then the series, are written once and
     read back, with their columns and food groups pruned.
     """
-    food = staged(t, "food", t.clean())
-    series = staged(t, "series", analysis.group_analysis(
-        food, CLEAN_ORDER, tuple(GROUPS), split=t.split, key_rows=t.group_rows
+    series = t.stored("series", analysis.group_analysis(
+        t.stored_clean(), CLEAN_ORDER, tuple(GROUPS), split=CLEAN_SPLIT, key_rows=t.group_rows
     )["series"])
     tables = analysis.tables_of(series, CLEAN_ORDER, REGIONS, strict=False, **CENTS)
     keys = {"world": "country", "region": "region", "import": "import", "national": "country"}
@@ -374,7 +362,7 @@ def group_analysis(t: Inputs) -> DataFrame:
     f"WHERE {TOP} GROUP BY food_group, country"))
 def group_analysis_stats(t: Inputs) -> DataFrame:
     tables = analysis.group_analysis(
-        t.clean(), CLEAN_ORDER, tuple(GROUPS), split=t.split, key_rows=t.group_rows
+        t.stored_clean(), CLEAN_ORDER, tuple(GROUPS), split=CLEAN_SPLIT, key_rows=t.group_rows
     )
     return rounded(tables["stats"], "avg_infla", "stdev", places=6)
 
@@ -392,10 +380,10 @@ SELECT country, label AS import, date, 'National Average' AS market, {means}
 FROM stacked GROUP BY country, label, date"""
 
 
-def _compare(t: Inputs, as_written: bool) -> DataFrame:
+def _compare(t: Inputs, as_written: bool, countries=None) -> DataFrame:
     rice = filters.filter_equals(t.clean(), food_group="Rice")
     compared = analysis.import_comparison(
-        rice, CLEAN_ORDER, None, as_written, strict=False, **CENTS
+        rice, CLEAN_ORDER, countries, as_written, strict=False, **CENTS
     )
     columns = ["country", "import", "date", "market", *averages.AVERAGED]
     return rounded(compared.select(*columns), "price_per_one_unit", "unified_price")
@@ -407,6 +395,16 @@ def import_comparison(t: Inputs) -> DataFrame:
     return _compare(t, as_written=False)
 
 
+FEW = ("NATION_1", "NATION_4", "NATION_9")
+
+
+@query("import_comparison_countries", _comparison(
+    _label("Not Listed", "food_name NOT LIKE '%local%' AND food_name NOT LIKE '%import%'")
+).replace("GROUP BY country, label", f"WHERE country IN {FEW} GROUP BY country, label"))
+def import_comparison_countries(t: Inputs) -> DataFrame:
+    return _compare(t, as_written=False, countries=FEW)
+
+
 @query("import_comparison_as_written", _comparison(
     _label("Not Listed", "food_name NOT LIKE '%local%'") + " UNION ALL "
     + _label("Not Listed", "food_name NOT LIKE '%import%'")))
@@ -421,7 +419,7 @@ def import_comparison_as_written(t: Inputs) -> DataFrame:
 def inflation_report(t: Inputs) -> DataFrame:
     """The report of one group: rice."""
     rice = windows.food_group_by(
-        t.clean(), CLEAN_ORDER, "Rice", t.split, key_rows=t.group_rows
+        t.stored_clean(), CLEAN_ORDER, "Rice", CLEAN_SPLIT, key_rows=t.group_rows
     )
     report = analysis.inflation_report(rice)
     return rounded(report, "avg_infla", "stdev", places=6)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.operators import averages, charts, statistics
 from larder.registry import twins as T
-from larder.registry.analysis import COST_ROWS, PUBLISHED, cost, rounded
+from larder.registry.analysis import COST, cost, rounded
 from larder.registry.inputs import CLEAN_ORDER, REGIONS, Inputs
 from larder.registry.queries import query
 
@@ -111,7 +111,7 @@ def boxplot_table_import(t: Inputs) -> DataFrame:
     return _box(t.with_inflation(), ["country", "import"], 3 * t.nations)
 
 
-@query("bar_table", f"WITH {PUBLISHED}, national AS ({COST_ROWS}) "
+@query("bar_table", f"{COST} "
        "SELECT CAST(year(date) AS INT) AS facet, country, "
        "round(365 * avg(769.23076923 * price_per_one_unit), 0) AS price_to_survive "
        "FROM national GROUP BY country, facet "

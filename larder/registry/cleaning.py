@@ -35,10 +35,10 @@ PRICES_DDL = (
 PRICES = [c.split()[0] for c in PRICES_DDL.split(", ")]
 
 
-@query("src_csv", T.select(T.ROWS, PRICES, "obs_rows"))
+@query("src_csv", T.select(T.OBS, PRICES, "obs"))
 def src_csv(t: Inputs) -> DataFrame:
     path = _folder(t)
-    write_csv(t.obs_rows().select(*PRICES), path)
+    write_csv(t.obs().select(*PRICES), path)
     return read_csv(t.spark, path, PRICES_DDL)
 
 
@@ -112,11 +112,11 @@ def add_constant(t: Inputs) -> DataFrame:
 
 
 @query("unified_price", T.select(
-    T.ROWS + ", " + T.PPP,
+    T.OBS + ", " + T.PPP,
     f"{T.ID}, o.country, price, ppp_factor, price / NULLIF(ppp_factor, 0) AS unified_price",
-    "obs_rows o LEFT JOIN ppp_long p ON o.country = p.country AND o.year = p.year"))
+    "obs o LEFT JOIN ppp_long p ON o.country = p.country AND o.year = p.year"))
 def unified_price(t: Inputs) -> DataFrame:
-    priced = C.unified_price(joins.join_ppp(t.obs_rows(), t.ppp(), t.nations))
+    priced = C.unified_price(joins.join_ppp(t.obs(), t.ppp(), t.nations))
     return priced.select(*ID, "country", "price", "ppp_factor", "unified_price")
 
 
@@ -307,11 +307,11 @@ def map_frequency(t: Inputs) -> DataFrame:
 
 @query("join_grid", T.select(
     T.ROWS, "c.country, y.year, v.price",
-    f"(SELECT DISTINCT country FROM obs_rows) c CROSS JOIN (SELECT DISTINCT year FROM obs_rows) y "
-    f"LEFT JOIN (SELECT country, year, {T.mean('price')} AS price FROM obs_rows "
+    f"(SELECT DISTINCT country FROM obs) c CROSS JOIN (SELECT DISTINCT year FROM obs_rows) y "
+    f"LEFT JOIN (SELECT country, year, {T.mean('price')} AS price FROM obs "
     "GROUP BY country, year) v ON c.country = v.country AND y.year = v.year"))
 def join_grid(t: Inputs) -> DataFrame:
-    rows = t.obs_rows()
+    rows = t.obs()
     means = statistics.strict_mean_by(rows, ["country", "year"], "price", decimals=2)
     return joins.join_grid(rows, means, "country", YEARS)
 

@@ -7,7 +7,7 @@ SQL twins of these views are in ``twins.py``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,21 +15,22 @@ from pyspark.sql import functions as F
 
 from larder.fixed_values import NATIONAL_AVERAGE, RAW_REGION_NAMES
 from larder.operators.columns import drop_columns, rename_columns
-from larder.operators.filters import complete_cases
-from larder.operators.windows import food_group_by, monthly_inflation, needed_split
+from larder.operators.windows import food_group_by, monthly_inflation
+from larder.operators.unions import import_block
 from larder.plans import cleaning
+from larder.session import shared_folder
+from larder.sources.tables import load_tables, save_tables
 
 # Tells all rows apart, and starts with the day of the observation.
 ROW_ID = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-# The same order with a band of order keys after the day, so that a series can be split
-# by day and then by band, however many rows one day has.
+# The same order with a band of order keys after the day: rows are counted by day and band
+# to cut a series, however many rows one day has.
 ORDER = ("l_shipdate", "order_band", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-SPLIT = (2, 1)
-# What the dimensions add to an observation.
-JOINED = ("country_code", "country_income_group", "region", "food_group")
-# The clean table has a row per import label.
-CLEAN_ORDER = (*ORDER, "import")
-BAND_WIDTH = 65_536
+SPLIT = (1, 1)
+# The clean table stacks a block per import label: a row's copy is in another block.
+CLEAN_ORDER = ("import_block", *ORDER)
+CLEAN_SPLIT = (2, 1)
+BAND_WIDTH = 1 << 18
 AFTER, BEFORE = 1995, 2001
 YEARS = range(1996, 2001)
 DAYS = ("1996-01-01", "2001-01-01")
@@ -84,9 +85,8 @@ class Inputs:
         """A test table; the declared schema saves the job that would infer it."""
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}.parquet")
 
-    def filled(self, name: str, *columns: str) -> DataFrame:
-        """The columns of a test table that are used, rows with a gap left out."""
-        return complete_cases(self.table(name).select(*columns))
+    def picked(self, name: str, *columns: str) -> DataFrame:
+        return self.table(name).select(*columns)
 
     @cached_property
     def nations(self) -> int:
@@ -102,13 +102,13 @@ class Inputs:
         """Raw price observations; ``days`` (from, before) reaches the scan."""
         # The order side is joined first, so the lines move once for it.
         buyers = (
-            self.filled("orders", "o_orderkey", "o_custkey")
-            .join(self.filled("customer", "c_custkey", "c_nationkey", "c_mktsegment"),
+            self.picked("orders", "o_orderkey", "o_custkey")
+            .join(self.picked("customer", "c_custkey", "c_nationkey", "c_mktsegment"),
                   F.col("o_custkey") == F.col("c_custkey"))
-            .join(self.filled("nation", "n_nationkey", "n_name"),
+            .join(self.picked("nation", "n_nationkey", "n_name"),
                   F.col("c_nationkey") == F.col("n_nationkey"))
         )
-        sold = self.filled(
+        sold = self.picked(
             "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
             "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate",
         )
@@ -120,9 +120,9 @@ class Inputs:
         lines = (
             sold
             .join(buyers.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(self.filled("part", "p_partkey", "p_name"),
+            .join(self.picked("part", "p_partkey", "p_name"),
                   F.col("l_partkey") == F.col("p_partkey"))
-            .join(self.filled("supplier", "s_suppkey", "s_name"),
+            .join(self.picked("supplier", "s_suppkey", "s_name"),
                   F.col("l_suppkey") == F.col("s_suppkey"))
         )
         nation, day = F.col("n_nationkey"), F.col("l_shipdate")
@@ -233,38 +233,39 @@ class Inputs:
         return rename_columns(dropped, RAW_REGION_NAMES)
 
     def clean(self) -> DataFrame:
-        """The clean price table, with the row identity carried along.
-
-        Observations have no gaps (``obs`` leaves them out where the tables are read),
-        so only what the dimensions add needs the test.
-        """
+        """The clean price table, with the row identity and the label's block."""
         rows = cleaning.observations(self.obs(DAYS), AFTER, BEFORE)
         return cleaning.clean_food(
             rows, self.country_region(), self.food_groups(), self.ppp(),
-            keep=ORDER, food_groups=GROUPS, complete=JOINED, region_rows=self.nations,
+            keep=ORDER, food_groups=GROUPS, region_rows=self.nations,
             group_rows=self.names, ppp_rows=self.nations,
-        )
+        ).withColumn("import_block", import_block())
 
-    @cached_property
-    def split(self) -> Sequence[int]:
-        """How far the series must be split, by the number of order lines."""
-        return needed_split(self.table("lineitem").count(), SPLIT)
+    def stored(self, name: str, df: DataFrame) -> DataFrame:
+        """The table written to the shared folder and read back, with its columns pruned.
+
+        For what a query reads several times; the folder belongs to whoever names it.
+        """
+        root = f"{shared_folder(self.spark)}/larder-{uuid.uuid4().hex}"
+        save_tables({name: df}, root)
+        return load_tables(self.spark, root, [name])[name]
+
+    def stored_clean(self) -> DataFrame:
+        return self.stored("food", self.clean())
 
     @property
     def group_rows(self) -> int:
         """Bound of every table with a row per country and food group."""
         return self.nations * self.names
 
-    def with_inflation(self, split: Sequence[int] | None = None) -> DataFrame:
+    def with_inflation(self) -> DataFrame:
         """Clean rows with the change against the country's previous row."""
-        chosen = self.split if split is None else split
-        return monthly_inflation(self.clean(), CLEAN_ORDER, split=chosen)
+        return monthly_inflation(self.stored_clean(), CLEAN_ORDER, split=CLEAN_SPLIT)
 
-    def series(self, split: Sequence[int] | None = None) -> DataFrame:
+    def series(self) -> DataFrame:
         """Clean rows of every food group and country with ten rows, with inflation."""
-        chosen = self.split if split is None else split
         return food_group_by(
-            self.clean(), CLEAN_ORDER, split=chosen, key_rows=self.group_rows
+            self.stored_clean(), CLEAN_ORDER, split=CLEAN_SPLIT, key_rows=self.group_rows
         )
 
     def currency_codes(self) -> DataFrame:

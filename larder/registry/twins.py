@@ -80,15 +80,18 @@ SELECT o.country, r.country_code, r.country_income_group, r.region, o.city, o.ma
 FROM obs_rows o JOIN region_names r ON o.country = r.country
 JOIN food_groups g ON o.food_name = g.food_name
 LEFT JOIN ppp_long p ON o.country = p.country AND o.year = p.year
-WHERE g.food_group NOT IN ('Not Food', 'Loaf', 'Sack', 'Bunch')),
+WHERE g.food_group NOT IN ('Not Food', 'Loaf', 'Sack', 'Bunch')
+AND o.city IS NOT NULL AND o.market IS NOT NULL AND o.date IS NOT NULL
+AND o.seller_type IS NOT NULL AND o.unit IS NOT NULL AND o.currency IS NOT NULL
+AND o.price IS NOT NULL AND r.region IS NOT NULL),
 measured AS (
 SELECT * EXCLUDE (measure), TRY_CAST(split_part(measure, ' ', 1) AS DOUBLE) AS unit,
        NULLIF(split_part(measure, ' ', 2), '') AS unit_type, {GROUP_NAME} AS food_group
 FROM priced),
 labelled AS (
-SELECT *, 'Import' AS import FROM measured WHERE food_name LIKE '%import%'
-UNION ALL SELECT *, 'Not Import' FROM measured WHERE food_name NOT LIKE '%import%'
-UNION ALL SELECT *, 'Local' FROM measured WHERE food_name LIKE '%local%'),
+SELECT *, 'Import' AS import, 1 AS import_block FROM measured WHERE food_name LIKE '%import%'
+UNION ALL SELECT *, 'Not Import', 2 FROM measured WHERE food_name NOT LIKE '%import%'
+UNION ALL SELECT *, 'Local', 3 FROM measured WHERE food_name LIKE '%local%'),
 clean AS (
 SELECT *, unified_price / NULLIF(unit, 0) AS price_per_one_unit FROM labelled)"""
 
@@ -101,13 +104,13 @@ CLEAN_COLUMNS = (
 # Clean rows with the change against the previous row of the country.
 INFLATION = f"""{CLEAN}, inflation AS (
 SELECT *, 100 * (price / NULLIF(lag(price) OVER (
-    PARTITION BY country ORDER BY {ID}, import), 0) - 1) AS monthly_inflation
+    PARTITION BY country ORDER BY import_block, {ID}), 0) - 1) AS monthly_inflation
 FROM clean)"""
 
 # The same within food group and country, groups of ten rows or more.
 SERIES = f"""{CLEAN}, series AS (
 SELECT *, 100 * (price / NULLIF(lag(price) OVER (
-    PARTITION BY food_group, country ORDER BY {ID}, import), 0) - 1) AS monthly_inflation
+    PARTITION BY food_group, country ORDER BY import_block, {ID}), 0) - 1) AS monthly_inflation
 FROM (SELECT *, count(*) OVER (PARTITION BY food_group, country) AS size FROM clean)
 WHERE size >= 10)"""
 
@@ -137,7 +140,7 @@ def average(
     parts = [p for p in ("m.*", first, constants) if p]
     return f"""WITH {source}, chosen AS (SELECT * FROM {table} WHERE {where}),
 means AS (SELECT {keys}, {means} FROM chosen GROUP BY {keys}),
-firsts AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {ID}, import) AS place
+firsts AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY import_block, {ID}) AS place
 FROM chosen)
 SELECT {", ".join(parts)} FROM means m JOIN firsts f ON {on} WHERE f.place = 1"""
 

@@ -19,7 +19,7 @@ def read_csv(
 
     An empty text field is the empty string unless ``na`` is empty; in other columns it
     is missing, as is anything that does not parse. Columns go by position, their names
-    and types come from ``schema``. ``multiline`` allows line breaks inside quotes but
+    and types come from ``schema``; a header with other names, or another order, fails. ``multiline`` allows line breaks inside quotes but
     makes each file one task.
     """
     fields = T.StructType.fromDDL(schema).fields
@@ -27,6 +27,7 @@ def read_csv(
     raw = (
         spark.read.schema(text)
         .option("header", True)
+        .option("enforceSchema", False)
         .option("nullValue", NO_TOKEN)
         .option("escape", '"')
         .option("multiLine", multiline)

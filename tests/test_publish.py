@@ -70,7 +70,7 @@ def test_clean_food(published, rows):
 
 def test_clean_csv_files(spark, published, rows):
     _, root = published
-    codes = read_csv(spark, f"{root}/csv/currency_codes", "Currency string, Code string")
+    codes = read_csv(spark, f"{root}/csv/currency_codes", "Currency string, AlphabeticCode string")
     assert rows(codes) == [("Afghani", "AFN")]
     head = spark.read.option("header", True).csv(f"{root}/csv/ppp").columns
     assert head == ["country", "country_code", *[f"X{y}" for y in range(2000, 2016)]]
@@ -135,3 +135,9 @@ def test_csv_missing_token(spark, tmp_path, rows):
         ("", 1.0), ("", None), (None, None), (None, None)]
     assert rows(read_csv(spark, path, schema, na="")) == [
         ("NA", None), ("NA", None), (None, 1.0), (None, None)]
+
+
+def test_csv_with_other_columns_fails(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("v,t\n1,a\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, str(tmp_path / "f.csv"), "t string, v double").collect()

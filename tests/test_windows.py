@@ -25,30 +25,46 @@ def test_zero_price_gives_no_change(spark):
     assert change == [None, None, None, None]
 
 
-@pytest.mark.parametrize("split", [(1,), (2, 1), (3, 2, 1), (3,)])
-def test_split_equals_plain_lag(spark, rows, split):
+@pytest.mark.parametrize("size", [1, 7, 1000])
+@pytest.mark.parametrize("split", [(1, 0), (1, 1), (2, 0), (2, 1), (3, 0)])
+def test_stretches_equal_plain_lag(spark, rows, split, size):
     chance = random.Random(7)
     # One country has most rows, some stretches hold one row, some values are missing.
     data = [
-        (chance.choice("aaaaaabc"), chance.randrange(12), chance.randrange(4), i,
+        (chance.choice(["a", "a", "a", "a", "b", "c", None]), chance.choice([None, *range(12)]),
+         chance.randrange(4), i,
          chance.choice([None, float(chance.randrange(99))]))
         for i in range(600)
     ]
     df = spark.createDataFrame(data, "k string, d int, e int, i int, v double").repartition(5)
     order = ["d", "e", "i"]
     plain = df.withColumn("p", F.lag("v").over(Window.partitionBy("k").orderBy(*order)))
-    assert rows(windows.previous_value(df, "v", "p", ["k"], order, split)) == rows(plain)
-
-
-def test_split_reads_the_input_once(spark, tmp_path):
-    spark.range(100).select(
-        F.lit("a").alias("k"), F.col("id").alias("d"), "id", F.col("id").alias("v")
-    ).write.parquet(str(tmp_path / "t"))
-    df = spark.read.parquet(str(tmp_path / "t"))
-    out = windows.previous_value(df, "v", "p", ["k"], ["d", "id"], (1,))
-    out.collect()
-    final = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert final.count("FileScan") == 1 and "ReusedExchange" in final
+    assert rows(windows.previous_value(df, "v", "p", ["k"], order, split, size)) == rows(plain)
+
+
+def test_stretches_are_of_the_size_asked(spark):
+    df = spark.range(1000).select(
+        F.lit("a").alias("k"), (F.col("id") / 100).cast("int").alias("d"),
+        (F.col("id") / 10).cast("int").alias("band"), "id",
+    )
+    cut = windows.stretches(df, ["k"], ["d", "band", "id"], (1, 1), 50)
+    sizes = [r["count"] for r in cut.groupBy("_stretch").count().collect()]
+    assert sizes == [50] * 20
+
+
+def test_a_copy_does_not_follow_its_original(spark):
+    """A row labelled twice stands in two blocks, so its copy follows another copy."""
+    from larder.operators.unions import import_block, import_label_union
+
+    data = [("a", i, p, "rice (local)") for i, p in enumerate([10.0, 12.0, 6.0])]
+    df = spark.createDataFrame(data, "country string, i int, price double, food_name string")
+    stacked = import_label_union(df).withColumn("import_block", import_block())
+    out = windows.monthly_inflation(stacked, ["import_block", "i"], split=(2, 0))
+    found = {(r["import"], r["i"]): r["monthly_inflation"] for r in out.collect()}
+    assert found[("Not Import", 0)] is None
+    assert found[("Not Import", 1)] == pytest.approx(20) == found[("Local", 1)]
+    assert found[("Not Import", 2)] == pytest.approx(-50) == found[("Local", 2)]
+    assert found[("Local", 0)] == pytest.approx(100 * (10 / 6 - 1))
 
 
 def grouped(spark):
