@@ -20,12 +20,13 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from larder.llm.common import importable
 
@@ -165,9 +166,14 @@ def _automata(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str | Non
     yield group
 
 
-def matches(documents: DataFrame, benchmark: DataFrame, limit: int = AUTOMATON_WORDS) -> DataFrame:
+def matches(
+    documents: DataFrame, benchmark: DataFrame, limit: int = AUTOMATON_WORDS,
+    finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None,
+    finished: StructType | None = None,
+) -> DataFrame:
     """The documents' columns, ``n_words``, ``n_hit``, ``hit_words`` (a bit per word) and
-    ``hit_items`` (ids, sorted)."""
+    ``hit_items`` (ids, sorted). ``finish`` turns these batches into ones of ``finished`` in
+    the last pass, so that no further Python worker is needed."""
     spark = documents.sparkSession
     importable(spark)
     plain = documents.drop(*RESULTS)
@@ -179,7 +185,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, limit: int = AUTOMATON_W
     )
     schema = out.schema
 
-    def passed(shared):
+    def passed(shared, after):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = Automaton(shared.value)
             for batch in batches:
@@ -197,16 +203,19 @@ def matches(documents: DataFrame, benchmark: DataFrame, limit: int = AUTOMATON_W
                     counts.append(int(np.bitwise_count(packed).sum()))
                     hits.append(packed.tobytes())
                     items.append(sorted(found.union(have)))
-                yield pa.RecordBatch.from_arrays(
+                done = pa.RecordBatch.from_arrays(
                     [*batch.columns[:n], pa.array(sizes, pa.int64()),
-                     pa.array(counts, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))],
+                     pa.array(counts, pa.int64()), pa.array(hits, pa.binary()),
+                     pa.array(items, pa.list_(pa.string()))],
                     batch.schema.names,
                 )
+                yield after(done) if after else done
         return run
 
-    for group in _automata(benchmark, limit):
-        out = out.mapInArrow(passed(spark.sparkContext.broadcast(group)), schema)
-    return out
+    *groups, last = map(spark.sparkContext.broadcast, _automata(benchmark, limit))
+    for group in groups:
+        out = out.mapInArrow(passed(group, None), schema)
+    return out.mapInArrow(passed(last, finish), finished if finish else schema)
 
 
 def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -237,27 +246,26 @@ def remove_spans(
 ) -> DataFrame:
     """The documents' columns: hit spans cut out of ``text``, ``n_chars`` (where there is one)
     set to its new length, texts hit in more than ``coverage`` of their words dropped. Texts without hits stay as they are."""
-    found = matches(documents, benchmark).where(
-        F.col("n_hit") <= F.lit(coverage) * F.col("n_words")
-    )
-    column, bits = found.columns.index("text"), found.columns.index("hit_words")
-    chars = found.columns.index("n_chars") if "n_chars" in found.columns else None
-    names = [c for c in found.columns if c not in RESULTS]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, hits = batch.column(column).to_pylist(), batch.column(bits).to_pylist()
-            counts = batch.column(chars).to_pylist() if chars is not None else None
-            for i, (text, hit) in enumerate(zip(texts, hits)):
-                if any(hit):
-                    marks = np.unpackbits(np.frombuffer(hit, np.uint8))
-                    texts[i] = without_hits(text.encode(), marks).decode()
-                    if counts:
-                        counts[i] = len(texts[i])
-            columns = list(batch.columns)
-            columns[column] = pa.array(texts, pa.string())
-            if counts:
-                columns[chars] = pa.array(counts, batch.schema.field(chars).type)
-            yield pa.RecordBatch.from_arrays(columns[:len(names)], names)
-
-    return found.mapInArrow(cut, documents.select(*names).schema)
+    plain = documents.drop(*RESULTS)
+    names = plain.columns
+    column = names.index("text")
+    chars = names.index("n_chars") if "n_chars" in names else None
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        size, hit = (batch.column(len(names) + i).to_numpy() for i in (0, 1))
+        batch = batch.filter(pa.array(hit <= coverage * size))
+        texts, hits = batch.column(column).to_pylist(), batch.column(len(names) + 2).to_pylist()
+        counts = batch.column(chars).to_pylist() if chars is not None else None
+        for i, (text, hit) in enumerate(zip(texts, hits)):
+            if any(hit):
+                marks = np.unpackbits(np.frombuffer(hit, np.uint8))
+                texts[i] = without_hits(text.encode(), marks).decode()
+                if counts:
+                    counts[i] = len(texts[i])
+        columns = list(batch.columns[:len(names)])
+        columns[column] = pa.array(texts, pa.string())
+        if counts:
+            columns[chars] = pa.array(counts, batch.schema.field(chars).type)
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    return matches(documents, benchmark, finish=cut, finished=plain.schema)

@@ -37,7 +37,7 @@ from larder.llm.common import importable, new_folder
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 PACK_IDS = 1 << 18
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 # A single space between characters that are not white space.
 BETWEEN = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 # Inside a piece: a letter before a mark or line end, and around a line end alone.
