@@ -39,7 +39,7 @@ def clean_inputs(spark: SparkSession, source: str, root: str) -> DataFrame:
     """
     codes = read_csv(spark, f"{source}/{FILES['currency']}", schemas.CURRENCY_CODES)
     write_csv(cleaning.clean_currency(codes), f"{root}/csv/currency_codes")
-    wide = read_csv(spark, f"{source}/{FILES['ppp']}", schemas.ppp_wide(), na="")
+    wide = read_csv(spark, f"{source}/{FILES['ppp']}", schemas.ppp_wide(), na="", named=False)
     write_csv(cleaning.clean_ppp(wide), f"{root}/csv/ppp")
 
     years = ", ".join(f"X{y} double" for y in range(V.YEARS_AFTER + 1, V.YEARS_BEFORE))

@@ -13,13 +13,15 @@ NO_TOKEN = "\u0001"
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: str, na: str = "NA", multiline: bool = False
+    spark: SparkSession, path: str, schema: str, na: str = "NA", multiline: bool = False,
+    named: bool = True,
 ) -> DataFrame:
     """Scan a headered CSV; ``na`` is the text that means missing.
 
     An empty text field is the empty string unless ``na`` is empty; in other columns it
     is missing, as is anything that does not parse. Columns go by position, their names
-    and types come from ``schema``; a header with other names, or another order, fails. ``multiline`` allows line breaks inside quotes but
+    and types come from ``schema``; a header with other names, or another
+    order, fails unless ``named`` is off, for files whose header is spelt otherwise. ``multiline`` allows line breaks inside quotes but
     makes each file one task.
     """
     fields = T.StructType.fromDDL(schema).fields
@@ -27,7 +29,7 @@ def read_csv(
     raw = (
         spark.read.schema(text)
         .option("header", True)
-        .option("enforceSchema", False)
+        .option("enforceSchema", not named)
         .option("nullValue", NO_TOKEN)
         .option("escape", '"')
         .option("multiLine", multiline)
