@@ -36,6 +36,7 @@ UNDETERMINED = "und"
 SEED = 20
 RESULTS = (StructField("lang_pred", StringType()), StructField("score", DoubleType()))
 CHUNK_ROWS, CHUNK_CHARACTERS = 256, 1_000_000
+BOUND_AT_ONCE = 2048  # trigram vectors in memory
 
 
 @cache
@@ -93,7 +94,12 @@ def bundles(texts: list[str | None]) -> np.ndarray:
     place = np.empty(1 << 24, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
     counts = np.bincount(owner * len(used) + place[keys], minlength=len(texts) * len(used))
-    return counts.reshape(len(texts), -1).astype(np.float32) @ trigram_vectors(used)
+    counts = counts.reshape(len(texts), -1)
+    out = np.zeros((len(texts), DIMENSIONS), np.float32)
+    for at in range(0, len(used), BOUND_AT_ONCE):
+        part = slice(at, at + BOUND_AT_ONCE)
+        out += counts[:, part].astype(np.float32) @ trigram_vectors(used[part])
+    return out
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
