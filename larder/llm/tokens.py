@@ -26,6 +26,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -97,15 +98,22 @@ _OTHERS = [b for b in range(256) if b not in _PRINTABLE]
 SPELLING = {b: 256 + i for i, b in enumerate(_OTHERS)}
 
 
+@cache
+def _tokenizer(path: str):
+    """Read once for all tasks of a worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
 class Encoder:
     """Texts -> ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer = _tokenizer(path)
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
         self.width = bits_needed(self.tokenizer.get_vocab_size())
