@@ -32,10 +32,18 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/larder-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, and safe from the
-    loss of an executor."""
-    folder = new_folder(df.sparkSession, name)
+    loss of an executor.
+
+    ``narrow`` tables hold ids alone. They go to an eighth as many files as shuffles have
+    partitions (at least one a core), so that repeated steps don't leave masses of tiny files.
+    """
+    spark = df.sparkSession
+    if narrow:
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, partitions // 8))
+    folder = new_folder(spark, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 

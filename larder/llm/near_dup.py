@@ -235,14 +235,15 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).union(
             edges.select("b", "a"))
         merged = written(
-            both.groupBy("node").agg(F.least("node", F.min("near")).alias("into")), "merged"
+            both.groupBy("node").agg(F.least("node", F.min("near")).alias("into")), "merged",
+            narrow=True,
         )
         roots = merged.toDF("node", "root") if roots is None else follow(roots, merged)
         edges = written(
             edges.join(merged.toDF("a", "c"), "a").join(merged.toDF("b", "d"), "b")
             .where(F.col("c") != F.col("d"))
             .select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct(),
-            "edges",
+            "edges", narrow=True,
         )
         if edges.isEmpty():
             return roots
@@ -252,20 +253,20 @@ def follow(roots: DataFrame, merged: DataFrame) -> DataFrame:
     """``roots`` with those named in ``merged`` (node, into) replaced."""
     return written(
         roots.join(merged.toDF("root", "into"), "root", "left").select(
-            "node", F.coalesce("into", "root").alias("root")), "roots",
+            "node", F.coalesce("into", "root").alias("root")), "roots", narrow=True,
     )
 
 
 def extended(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     """The components of earlier links, given as ``roots``, and of ``links``."""
     if roots is None:
-        return written(components(links), "roots")
+        return written(components(links), "roots", narrow=True)
     a, b = (roots.toDF(c, f"root_{c}") for c in "ab")
     between = links.select("a", "b").join(a, "a", "left").join(b, "b", "left").select(
         F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-    merged = written(components(between).toDF("node", "into"), "merged")
+    merged = written(components(between).toDF("node", "into"), "merged", narrow=True)
     new = merged.join(roots, "node", "left_anti").toDF("node", "root")
-    return written(follow(roots, merged).union(new), "roots")
+    return written(follow(roots, merged).union(new), "roots", narrow=True)
 
 
 def crowded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -308,7 +309,7 @@ def linked(documents: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame,
     rows = written(sketched(documents), "sketches")
     nodes, buckets = crowded(rows)
     texts = texts_of(documents, buckets.select("node").distinct().join(nodes, "node"))
-    pairs = written(leader_pairs(buckets, 0), "pairs")
+    pairs = written(leader_pairs(buckets, 0), "pairs", narrow=True)
     roots = tried = None
     for order in range(1, ROUNDS + 1):
         found = written(verified(pairs, texts, least), "verified")
@@ -318,7 +319,7 @@ def linked(documents: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame,
         tried = pairs if tried is None else tried.union(pairs)
         if order < ROUNDS:
             rest = leader_pairs(unresolved(buckets, roots), order)
-            pairs = written(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
+            pairs = written(rest.join(tried, ["a", "b"], "left_anti"), "pairs", narrow=True)
     named = nodes.join(roots, "node", "left").select(
         "node", F.coalesce("root", "node").alias("class_node"), "first_id"
     )
