@@ -12,7 +12,7 @@ position of a document in the whole corpus is its place in its pack, plus the pa
 A text is encoded in pieces: before each single space that stands between other characters,
 and inside a piece new to the worker, between a letter and a mark or a line end. The
 vocabulary's own splitting always starts a new token there, so the ids equal those of the
-whole text; a worker remembers the ids of up to ``REMEMBERED`` pieces.
+whole text; a worker remembers the ids of up to ``REMEMBERED`` pieces from task to task.
 
 Defined cases: a missing text is an empty one, a single ``END``. Rows of equal or missing ids
 are all kept, missing ids first, equal ids in the order of their texts. Special tokens spelt
@@ -95,66 +95,79 @@ def unpack_ids(words: np.ndarray, width: int, first: int, last: int) -> np.ndarr
 # Byte-level vocabularies spell printable bytes as themselves, the others from U+0100 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _OTHERS = [b for b in range(256) if b not in _PRINTABLE]
-SPELLING = {b: 256 + i for i, b in enumerate(_OTHERS)}
+SPELLING = {b: chr(256 + i) for i, b in enumerate(_OTHERS)}
 
 
-@cache
-def _tokenizer(path: str):
-    """Read once for all tasks of a worker."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Remembered(dict):
+    """Keys -> what ``find`` gives for them, found once."""
+
+    def __init__(self, find):
+        self.find = find
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    def __missing__(self, key: str) -> bytes:
+        self[key] = found = self.find(key)
+        return found
 
 
 class Encoder:
     """Texts -> ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(self._after_space)
+        self.parts = Remembered(self._part)
         self.width = bits_needed(self.tokenizer.get_vocab_size())
 
     def __call__(self, text: str) -> bytes:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        pieces = self._pieces(text)
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            found = [self._piece(p) if ids is None else ids for p, ids in zip(pieces, found)]
-        return b"".join(found)
+        for remembered in (self.known, self.parts):
+            if len(remembered) > REMEMBERED:
+                remembered.clear()
+        first, *rest = text.split(" ") if self._plain(text) else BETWEEN.split(text)
+        return self._piece(first) + b"".join(map(self.known.__getitem__, rest))
+
+    def _after_space(self, piece: str) -> bytes:
+        """The ids of a space and ``piece``."""
+        if piece.isascii() and piece.isalpha():
+            return self._letters(SPELLING[32] + piece)
+        first, *rest = INSIDE.split(" " + piece)
+        if not rest:
+            return self._part(first)
+        return self.known[first[1:]] + b"".join([self.parts[part] for part in rest])
 
     def _piece(self, piece: str) -> bytes:
-        known = self.known
-        if piece not in known:
-            parts = INSIDE.split(piece)
-            for part in parts:
-                if part not in known:
-                    known[part] = self._part(part)
-            if len(parts) > 1:
-                known[piece] = b"".join([known[part] for part in parts])
-        return known[piece]
+        return b"".join([self.parts[part] for part in INSIDE.split(piece)])
 
     def _part(self, part: str) -> bytes:
         word = part[1:] if part[:1] == " " else part
         if word.isalpha() and (word.isascii() or max(word) <= "\u024f"):
-            # letters after at most one space: the splitting leaves them whole
-            spelt = part.encode().decode("latin-1").translate(SPELLING)
-            ids = [token.id for token in self.model.tokenize(spelt)]
-        else:
-            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+            return self._letters(part.encode().decode("latin-1").translate(SPELLING))
+        return self._packed(self.tokenizer.encode(part, add_special_tokens=False).ids)
+
+    def _letters(self, spelt: str) -> bytes:
+        """Letters after at most one space, in the vocabulary's spelling: the splitting leaves
+        them whole."""
+        return self._packed([token.id for token in self.model.tokenize(spelt)])
+
+    def _packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _pieces(self, text: str) -> list[str]:
-        plain = (
+    def _plain(self, text: str) -> bool:
+        """Every space stands between other characters."""
+        return (
             text.replace("\n", "").isprintable() and "  " not in text and " \n" not in text
             and "\n " not in text and text[:1] != " " and text[-1:] != " "
-        )  # then every space stands between other characters
-        first, *rest = text.split(" ") if plain else BETWEEN.split(text)
-        return [first, *[" " + piece for piece in rest]]
+        )
+
+
+@cache
+def encoder_of(path: str) -> Encoder:
+    """One for all tasks of a worker: texts of later tasks use pieces met by earlier ones."""
+    return Encoder(path)
 
 
 def write_packs(documents: DataFrame, folder: str, path: str | None = None) -> None:
@@ -168,7 +181,7 @@ def write_packs(documents: DataFrame, folder: str, path: str | None = None) -> N
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         ids: list[int | None] = []
         pieces: list[bytes] = []
         size = 0
