@@ -32,6 +32,7 @@ from larder.llm.common import id_remainder, importable
 DIMENSIONS = 1024
 LETTER_SLOTS = 255
 TRAINING_ROWS = 1_500
+SLOT_BITS = 12
 UNDETERMINED = "und"
 SEED = 20
 RESULTS = (StructField("lang_pred", StringType()), StructField("score", DoubleType()))
@@ -140,13 +141,27 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def prototypes(documents: DataFrame, rows: int = TRAINING_ROWS) -> tuple[list[str], np.ndarray]:
     """Names and unit vectors of the languages of ``documents`` (lang, text, doc_id)."""
     importable(documents.sparkSession)
-    known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        "lang", "text", "doc_id"
+    )
     order = F.xxhash64("doc_id")
+    # Rows are counted by the hash's leading bits, so that only rows near the limit are ranked,
+    # not a whole language in one task. A row per language, like the prototypes themselves.
+    slot = F.shiftright(order, 64 - SLOT_BITS)
+    ahead = Window.partitionBy("lang").orderBy("_slot").rowsBetween(
+        Window.unboundedPreceding, -1)
+    reach = (
+        known.groupBy("lang", slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+        .where(F.col("_ahead") < rows)
+        .groupBy(F.col("lang").alias("_lang")).agg(F.max("_slot").alias("_reach"))
+    )
     few = Window.partitionBy("lang").orderBy("_order")
-    last = (  # a row per language, like the prototypes themselves; no text is moved
-        known.select("lang", order.alias("_order"))
+    last = (
+        known.select("lang", order.alias("_order"), slot.alias("_slot"))
+        .join(F.broadcast(reach), (F.col("lang") == F.col("_lang")) & (F.col("_slot") <= F.col("_reach")))
         .withColumn("_rank", F.row_number().over(few)).where(F.col("_rank") <= rows)
-        .groupBy(F.col("lang").alias("_lang")).agg(F.max("_order").alias("_last"))
+        .groupBy("_lang").agg(F.max("_order").alias("_last"))
     )
     chosen = known.join(
         F.broadcast(last), (F.col("lang") == F.col("_lang")) & (order <= F.col("_last"))

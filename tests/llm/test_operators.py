@@ -3,7 +3,9 @@
 import re
 import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from larder.llm import (
@@ -167,3 +169,18 @@ def test_pipeline_stages_keep_the_columns(spark, docs, items, tmp_path):
         now = stage(spark, now, str(tmp_path))
         assert now.columns == docs.columns
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+
+
+def test_languages_are_learned_from_the_smallest_hashes(spark):
+    rows = [(i, f"{'ab' if i % 4 else 'xy'} word{chr(97 + i % 26)} {i}", "one" if i % 4 else "two")
+            for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn(
+        "_lang", F.lit("a clash"))
+    ranked = docs.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).collect()
+    for limit in (1, 7, 500):
+        least = [r.doc_id for lang in ("one", "two") for r in sorted(
+            (r for r in ranked if r.lang == lang), key=lambda r: r.h)[:limit]]
+        names, vectors = language.prototypes(docs, limit)
+        expected = language.prototypes(docs.where(F.col("doc_id").isin(least)), 1000)
+        assert names == expected[0] == ["one", "two"]
+        assert np.array_equal(vectors, expected[1])
