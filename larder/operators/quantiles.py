@@ -14,6 +14,8 @@ from larder.sizing import bounded
 # that, so the exact value lies between the two sketched ends.
 ACCURACY = 10_000
 MARGIN = 5 / ACCURACY
+# Slices of the values between the two ends, each put in order by one task.
+CUTS = 100
 
 
 def present(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
@@ -29,6 +31,35 @@ def same_keys(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFram
     return df.join(groups.withColumnsRenamed(marks), on).drop(*marks.values())
 
 
+def sliced(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``df`` with ``_slice``: each group's values cut, in order, into about ``CUTS`` slices.
+
+    Missing values are slice -1. A sketch gives the cuts: they settle how even the slices are.
+    """
+    v = F.col(value)
+    shares = F.array(*(F.lit(i / CUTS) for i in range(1, CUTS)))
+    cuts = df.groupBy(*keys).agg(
+        F.percentile_approx(v, shares, F.lit(10 * CUTS)).alias("_cuts"))
+    number = F.size(F.filter("_cuts", lambda cut: cut < v))
+    return same_keys(df, cuts, keys).withColumn(
+        "_slice", F.when(v.isNull(), -1).otherwise(number)).drop("_cuts")
+
+
+def running_count(df: DataFrame, keys: Sequence[str], value: str, n: str) -> DataFrame:
+    """``df`` with ``_upto``: the sum of ``n`` over the group's rows up to this value.
+
+    One task orders one slice; what lies before it is summed over the slices.
+    """
+    cut, slices = sliced(df, keys, value), [*keys, "_slice"]
+    ahead = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(
+        Window.unboundedPreceding, -1)
+    before = cut.groupBy(*slices).agg(F.sum(n).alias("_rows")).select(
+        *slices, F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_before"))
+    inside = F.sum(n).over(Window.partitionBy(*slices).orderBy(value))
+    return same_keys(cut, before, slices).withColumn(
+        "_upto", F.col("_before") + inside).drop("_before", "_slice")
+
+
 def quantiles_by(
     df: DataFrame,
     value: str,
@@ -40,8 +71,8 @@ def quantiles_by(
 
     Spark's ``percentile`` holds all values of a group in one task. Here a sketch of
     fixed size gives a narrow range around each quantile; rows below it are counted and
-    only the distinct values inside, a thousandth of the group, are put in order. Both
-    are combined before they move. Should the sketch ever miss its margin, the job fails.
+    only the distinct values inside, a thousandth of the group, are put in order, a
+    hundredth of them in a task. Both are combined before they move. Should the sketch ever miss its margin, the job fails.
     """
     keys, v = list(keys), F.col(value)
     known = present(df, value, keys)
@@ -74,8 +105,7 @@ def quantiles_by(
         )
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    rising = Window.partitionBy(*keys, "_i").orderBy(F.col("_value").asc_nulls_first())
-    ranked = cells.withColumn("_upto", F.sum("_n").over(rising))
+    ranked = running_count(cells, [*keys, "_i"], "_value", "_n")
     place = F.col("_share") * (F.col("_total") - 1)
 
     def at(rank):

@@ -2,9 +2,10 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from larder.operators import charts
+from larder.operators import charts, quantiles
 from larder.operators.quantiles import quantiles_by
 
 
@@ -36,6 +37,20 @@ def test_quantiles_are_exact(spread, key_rows):
         assert list(row)[1:] == pytest.approx(list(expected), rel=1e-12, abs=1e-12)
 
 
+def test_running_count_puts_few_rows_in_a_task(spark):
+    """One group of two million distinct values, one with a missing key, ties, missing values."""
+    some = F.col("id") % 20 == 0
+    values = spark.range(2_100_000).select(
+        F.when(some, F.lit(None)).otherwise(F.lit("hot")).alias("k"),
+        F.when(some, F.col("id") % 70).otherwise(F.xxhash64("id")).cast("double").alias("v"),
+        F.lit(2).alias("n")).withColumn("v", F.when(F.col("v") != 60, F.col("v")))
+    cut = quantiles.sliced(values, ["k"], "v").groupBy("k", "_slice").count()
+    assert cut.where("k = 'hot'").agg(F.max("count")).first()[0] < 2 * 2_000_000 / 100
+    plain = F.sum("n").over(Window.partitionBy("k").orderBy("v"))
+    counted = quantiles.running_count(values, ["k"], "v", "n").withColumn("plain", plain)
+    assert counted.agg(F.count("*"), F.count_if(F.expr("plain <> _upto"))).first()[:] == (2_100_000, 0)
+
+
 def test_boxplot(spread):
     groups, df = spread
     for row in charts.boxplot_table(df, ["k"]).collect():
