@@ -1,4 +1,7 @@
-"""Near-duplicate documents by Order MinHash, verified by banded alignment.
+"""Near-duplicate documents: Order MinHash and an exact prefix filter, verified by banded alignment.
+
+Any two texts of at least ``SIMILARITY`` end in one class. Sketches link most of them cheaply;
+a prefix filter then finds every pair that is left.
 
 A text's k-mers are its runs of five words, each labelled with how often it occurred before in
 the text. Each of ``SKETCHES`` hash functions picks the ``PICKED`` labelled k-mers with the
@@ -7,7 +10,15 @@ every bucket each text is compared with the text that comes first in a fixed ran
 all texts, so a bucket of n texts gives less than n pairs, however large. Pairs are verified
 by aligning the words within the band that the threshold allows: similarity is 1 minus edit
 distance over the longer length. Buckets whose texts are still in more than one class are
-compared again, with the first and last text of a fresh order, until a round adds no link.
+compared again, with the first and last text of a fresh order, up to ``ROUNDS`` times or until a
+round adds no link. This only saves work for the next step.
+
+An edit changes at most ``GRAM`` of a text's labelled runs of ``GRAM`` words, so two similar
+texts have a known number of runs in common, and must share one of the first few of each in any
+order of all runs (``prefix_length``). Runs are ordered by how rare their hash is in a sample.
+All texts of different classes that share such a run, and whose lengths and word counts by slot
+allow it, are compared.
+A run of many texts is dealt into cells of two blocks; its largest class is not met with itself.
 
 Equal texts are one node throughout. Classes are the connected components of the links.
 
@@ -22,11 +33,12 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.common import importable, written
@@ -36,6 +48,13 @@ SKETCHES = 32
 PICKED = 2
 SIMILARITY = 0.8
 ROUNDS = 4
+GRAM = 2
+GRAM_LEAST = 0.75  # below this similarity the filter takes single words
+SAMPLED = 16  # one text of so many tells how rare runs are
+SLOT_BITS = 20
+BLOCK = 512
+MET_AT_ONCE = 1 << 20
+BAG = 256
 SEED = 8
 REMEMBERED_WORDS = 200_000
 
@@ -50,11 +69,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def labelled_kmers(words: np.ndarray) -> np.ndarray:
+def labelled_kmers(words: np.ndarray, k: int = WORDS) -> np.ndarray:
     """Hashes of the k-mers of word hashes, each with its count of earlier occurrences."""
-    size = max(1, len(words) - WORDS + 1)
+    size = max(1, len(words) - k + 1)
     kmers = np.zeros(size, np.uint64)
-    for i in range(min(WORDS, len(words))):
+    for i in range(min(k, len(words))):
         kmers = kmers * LABEL + words[i:i + size]
     kmers = mixed(kmers)
     order = np.argsort(kmers, kind="stable")
@@ -134,13 +153,43 @@ def distance(a: list, b: list, limit: int) -> int | None:
     return cost if cost <= limit else None
 
 
+def limit_of(longest: int, least: float) -> int:
+    """Most edits of two similar texts, the longer one of ``longest`` words."""
+    return int((1 - least) * longest + 1e-9)
+
+
+def gram_of(least: float) -> int:
+    return GRAM if least >= GRAM_LEAST else 1
+
+
+@cache
+def prefix_length(words: int, least: float) -> int:
+    """How many of the first runs of a text of so many words hold one of any similar text.
+
+    With d edits, k-word runs and a text of e words more, k * d - e runs of the shorter and
+    k * d of the longer text at most are not the other's.
+    """
+    k = gram_of(least)
+    most, longer = k * limit_of(words, least), words + 1
+    while longer - words <= limit_of(longer, least):
+        most = max(most, k * limit_of(longer, least) - (longer - words))
+        longer += 1
+    return most + 1
+
+
+def prefix(kmers: np.ndarray, words: int, rarity: np.ndarray, least: float) -> np.ndarray:
+    """The first runs of a text, rarer slots first."""
+    slots = (kmers >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    return kmers[np.lexsort((kmers, rarity[slots]))[:prefix_length(words, least)]]
+
+
 def similar(a: str, b: str, least: float = SIMILARITY) -> float | None:
     """Similarity of two texts if at least ``least``."""
     left, right = a.lower().split(), b.lower().split()
     longest = max(len(left), len(right))
     if not longest:
         return None
-    limit = int((1 - least) * longest + 1e-9)
+    limit = limit_of(longest, least)
     if abs(len(left) - len(right)) > limit:
         return None
     if longest - sum((Counter(left) & Counter(right)).values()) > limit:
@@ -149,21 +198,27 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> float | None:
     return None if found is None else 1 - found / longest
 
 
+def hasher() -> Callable[[list[str]], np.ndarray]:
+    """A function from words to their hashes that remembers words."""
+    known: dict[str, int] = {}
+
+    def number(word: str) -> int:
+        code = known.get(word)
+        if code is None:
+            if len(known) > REMEMBERED_WORDS:
+                known.clear()
+            digest = hashlib.blake2b(word.encode(), digest_size=8).digest()
+            code = known[word] = int.from_bytes(digest, "little")
+        return code
+
+    return lambda words: np.fromiter(map(number, words), np.uint64, len(words))
+
+
 def sketched(documents: DataFrame) -> DataFrame:
     """doc_id, node (a digest of the text) and bucket keys of every document with a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-
-        def number(word: str) -> int:
-            code = known.get(word)
-            if code is None:
-                if len(known) > REMEMBERED_WORDS:
-                    known.clear()
-                digest = hashlib.blake2b(word.encode(), digest_size=8).digest()
-                code = known[word] = int.from_bytes(digest, "little")
-            return code
-
+        hashes_of = hasher()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -171,7 +226,7 @@ def sketched(documents: DataFrame) -> DataFrame:
                 for text in batch.column(1).to_pylist():
                     words = text.lower().split()
                     nodes.append(hashlib.md5(text.encode()).digest())
-                    hashes = np.fromiter(map(number, words), np.uint64, len(words))
+                    hashes = hashes_of(words)
                     keys.append(sketch(labelled_kmers(hashes)).view(np.int64) if words else [])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(nodes, pa.binary()),
@@ -303,6 +358,199 @@ def unresolved(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(several, "bucket", "left_semi")
 
 
+def rarities(documents: DataFrame, least: float) -> np.ndarray:
+    """How common the runs of each slot are in a sample of the texts, on a logarithmic scale."""
+    k = gram_of(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes_of, counts = hasher(), np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = text.lower().split()
+                if words:
+                    kmers = labelled_kmers(hashes_of(words), k) >> np.uint64(64 - SLOT_BITS)
+                    np.add.at(counts, kmers.astype(np.int64), 1)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], ["slot", "n"])
+
+    sample = documents.where(
+        F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0))
+    level = F.least(F.lit(255), F.floor(8 * F.log2(F.sum("n") + 1))).cast("int")
+    found = sample.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(
+        level.alias("level")).toArrow()  # a row per slot at most
+    out = np.zeros(1 << SLOT_BITS, np.uint8)
+    out[found["slot"].to_numpy()] = found["level"].to_numpy()
+    return out
+
+
+def prefixes(documents: DataFrame, rarity: np.ndarray, least: float) -> DataFrame:
+    """A row per run of every text's prefix: gram, near (half of the text's digest), words."""
+    k = gram_of(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes_of, seen = hasher(), set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                grams, nears, sizes = [np.zeros(0, np.uint64)], [], []
+                for text in whole.column(0).slice(at, 256).to_pylist():
+                    words, node = text.lower().split(), hashlib.md5(text.encode()).digest()[:8]
+                    if words and node not in seen:
+                        seen.add(node)
+                        kmers = labelled_kmers(hashes_of(words), k)
+                        grams.append(prefix(kmers, len(words), rarity, least))
+                        nears.append(int.from_bytes(node, "big", signed=True))
+                        sizes.append(len(words))
+                times = [len(x) for x in grams[1:]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(grams).view(np.int64)),
+                     pa.array(np.repeat(np.array(nears, np.int64), times)),
+                     pa.array(np.repeat(np.array(sizes, np.int32), times))],
+                    ["gram", "near", "words"])
+
+    return documents.where(F.col("text").isNotNull()).select("text").mapInArrow(
+        run, "gram long, near long, words int")
+
+
+def shared(grams: DataFrame) -> DataFrame:
+    """The rows of ``prefixes`` whose run several texts have, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, matched = None, False  # the last row so far, and whether it has met its like
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch])
+            gram, near = (rows.column(i).to_numpy() for i in (0, 1))
+            new = np.ones(len(gram), bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (near[1:] != near[:-1])
+            rows, gram = rows.filter(pa.array(new)), gram[new]
+            like = np.zeros(len(gram), bool)
+            like[1:] = gram[1:] == gram[:-1]
+            like[:-1] |= like[1:]
+            like[0] |= matched and held is not None
+            matched = bool(like[-1])
+            held = rows.slice(len(gram) - 1).combine_chunks().to_batches()[0]
+            like[-1] = False
+            yield from rows.filter(pa.array(like)).to_batches()
+        if held is not None and matched:
+            yield held
+
+    return grams.repartition("gram").sortWithinPartitions("gram", "near").mapInArrow(
+        run, grams.schema)
+
+
+def cells(members: DataFrame) -> DataFrame:
+    """The rows of ``members`` (gram, near, root, words) that have to meet, in arrays of at most
+    about two blocks; ``side`` is the block."""
+    classes = members.groupBy("gram", "root").agg(F.count("*").alias("n"))
+    most = F.max_by("n", F.struct("n", "root"))
+    sizes = classes.groupBy("gram").agg(
+        most.alias("top"), (F.sum("n") - most).alias("others"),
+        F.max_by("root", F.struct("n", "root")).alias("top_root"),
+    ).where(F.col("others") > 0).select(
+        "gram", F.when(F.col("top") + F.col("others") > BLOCK, F.col("top_root")).alias("apart"),
+        F.ceil(F.col("others") / BLOCK).alias("low"), F.ceil(F.col("top") / BLOCK).alias("high"))
+    whole = F.col("apart").isNull()
+    top = F.col("root") == F.col("apart")
+    place = F.xxhash64("near", F.lit(SEED))
+    side = F.when(whole, 0).when(top, F.col("low") + F.pmod(place, "high")).otherwise(
+        F.pmod(place, "low"))
+    last = F.when(whole, 0).when(top, F.col("low") - 1).otherwise(F.col("low") + F.col("high") - 1)
+    dealt = members.join(sizes, "gram").select(
+        "gram", side.cast("int").alias("side"), "near", "root", "words",
+        F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("other"))
+    return dealt.groupBy(
+        "gram", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")
+    ).agg(F.collect_list(F.struct("side", "near", "root", "words")).alias("members")).select(
+        "i", "j", "members")
+
+
+def met(cells: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b, of different classes that meet in a cell and may be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            ends, flat = lists.offsets.to_numpy().astype(np.int64), lists.values
+            if not batch.num_rows or ends[-1] == ends[0]:
+                continue
+            side, words, node, root = (
+                flat.field(c).to_numpy() for c in ("side", "words", "near", "root"))
+            limits = np.array([limit_of(int(n), least) for n in words], np.int64)
+            within = batch.column(0).to_numpy() == batch.column(1).to_numpy()
+            cell = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            rows = np.arange(ends[0], ends[-1])
+            partners = ends[1:][cell] - 1 - rows  # a row meets those after it in its cell
+            done = np.concatenate([[0], np.cumsum(partners)])
+            at = 0
+            while at < len(rows):
+                end = max(at + 1, int(np.searchsorted(done, done[at] + MET_AT_ONCE, "right")) - 1)
+                x = np.repeat(rows[at:end], partners[at:end])
+                y = x + 1 + np.arange(len(x)) - np.repeat(done[at:end] - done[at], partners[at:end])
+                fits = within[cell[x - ends[0]]] | (side[x] != side[y])
+                fits &= root[x] != root[y]
+                fits &= np.abs(words[x] - words[y]) <= np.maximum(limits[x], limits[y])
+                x, y, at = node[x[fits]], node[y[fits]], end
+                pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+    return cells.mapInArrow(run, "a long, b long").distinct()
+
+
+def bags(texts: DataFrame) -> DataFrame:
+    """(node, bag): how often words of each of ``BAG`` slots are in a text, at most 255 times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes_of = hasher()
+        for batch in batches:
+            found = []
+            for text in batch.column(1).to_pylist():
+                slots = (hashes_of(text.lower().split()) % np.uint64(BAG)).astype(np.int64)
+                counts = np.bincount(slots, minlength=BAG)
+                found.append(np.minimum(counts, 255).astype(np.uint8).tobytes()
+                             + len(slots).to_bytes(4, "little"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(found, pa.binary())], ["node", "bag"])
+
+    return texts.mapInArrow(run, "node binary, bag binary")
+
+
+def matching(pairs: DataFrame, bagged: DataFrame, least: float) -> DataFrame:
+    """The pairs whose bags differ in no more words than the threshold allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(
+                    -1, BAG + 4) for c in (2, 3))
+                longest = np.maximum(*(b[:, BAG:].copy().view("<u4")[:, 0] for b in (x, y)))
+                more = x[:, :BAG].astype(np.int16) - y[:, :BAG]
+                apart = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
+                limits = np.array([limit_of(int(n), least) for n in longest])
+                yield batch.select([0, 1]).filter(pa.array(apart <= limits))
+
+    left, right = (bagged.toDF(c, f"bag_{c}") for c in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(
+        run, "a binary, b binary")
+
+
+def unmet_pairs(documents: DataFrame, nodes: DataFrame, roots: DataFrame, least: float):
+    """(a, b), a < b, by halves of digests: all texts of different classes that may be similar."""
+    grams = written(shared(prefixes(documents, rarities(documents, least), least)), "grams")
+    placed = nodes.select("node").join(roots, "node", "left").select(
+        half(F.col("node")).alias("near"), F.xxhash64(F.coalesce("root", "node")).alias("root"))
+    members = written(
+        grams.join(placed, "near").select("gram", "near", "root", "words"), "members")
+    return met(cells(members), least)
+
+
+def half(node: Column) -> Column:
+    return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long")
+
+
 def linked(documents: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node) of every document with a text, and (node, class_id) of every text."""
     importable(documents.sparkSession)
@@ -320,6 +568,18 @@ def linked(documents: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame,
         if order < ROUNDS:
             rest = leader_pairs(unresolved(buckets, roots), order)
             pairs = written(rest.join(tried, ["a", "b"], "left_anti"), "pairs", narrow=True)
+    halves = nodes.select("node", half(F.col("node")).alias("near"))
+    a, b = (halves.toDF(f"node_{c}", c) for c in "ab")
+    rest = unmet_pairs(documents, nodes, roots, least).join(a, "a").join(b, "b").select(
+        F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    pairs = written(rest.join(tried, ["a", "b"], "left_anti"), "pairs", narrow=True)
+    if not pairs.isEmpty():
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = texts_of(documents, ends.join(nodes, "node"))
+        pairs = written(
+            matching(pairs, written(bags(texts), "bags"), least), "matching", narrow=True)
+        found = written(verified(pairs, texts, least), "verified")
+        roots = extended(roots, found)
     named = nodes.join(roots, "node", "left").select(
         "node", F.coalesce("root", "node").alias("class_node"), "first_id"
     )

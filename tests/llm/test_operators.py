@@ -1,5 +1,6 @@
 """The operators on small tables with every odd case."""
 
+import random
 import re
 import zlib
 
@@ -137,6 +138,63 @@ def test_near_duplicates(docs, empty):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+def classes_by_brute_force(texts):
+    near = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if texts[i] == texts[j] or near_dup.similar(texts[i], texts[j]) is not None:
+                near = [near[j] if c == near[i] else c for c in near]
+    return [near.index(c) for c in near]
+
+
+def classes_found(spark, texts):
+    found = near_dup.near_duplicates(spark.createDataFrame(
+        list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [c for _, c in sorted((r.doc_id, r.class_id) for r in found)]
+
+
+def edited(chance, words, share):
+    words = list(words)
+    for place in chance.sample(range(len(words)), int(len(words) * share)):
+        words[place] = f"n{chance.randrange(10 ** 9)}"
+    return " ".join(words)
+
+
+def test_groups_that_hang_together_through_one_original(spark):
+    chance = random.Random(11)
+    original = [f"o{i}" for i in range(100)]
+    texts = [edited(chance, original, 0.15) for _ in range(40)]
+    texts.insert(23, " ".join(original))
+    # a bucket of mostly unlike texts that share a passage, with a near pair in it
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts += [passage + " " + edited(chance, ["x"] * 60, 1) for _ in range(60)]
+    texts += [edited(chance, t.split(), 0.1) for t in texts[50:60]]
+    assert classes_found(spark, texts) == classes_by_brute_force(texts)
+
+
+def test_pairs_near_the_threshold_and_short_texts(spark):
+    chance = random.Random(12)
+    texts = []
+    for i, (size, share) in enumerate([(100, 0.2), (500, 0.2), (20, 0.15), (10, 0.1), (300, 0.18)] * 4):
+        words = [f"t{i}x{n}" for n in range(size)]
+        texts += [" ".join(words), edited(chance, words, share)]
+    for i, size in enumerate((5, 6, 7, 8, 9, 100, 400)):  # one edit in the middle, one in five words
+        words = [f"m{i}x{n}" for n in range(size)]
+        other = [f"new{i}x{n}" if n % 5 == 2 and (size > 9 or n < 5) else w for n, w in enumerate(words)]
+        texts += [" ".join(words), " ".join(other)]
+    texts += ["a b c d", "a b c d e", "one two three", "one two four"]
+    assert classes_found(spark, texts) == classes_by_brute_force(texts)
+
+
+def test_cells_of_a_run_of_many_texts(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    rows = [(1, i, i if i % 3 else 0, 5 + i % 2) for i in range(40)]
+    members = spark.createDataFrame(rows, "gram long, near long, root long, words int")
+    found = {(r.a, r.b) for r in near_dup.met(near_dup.cells(members), 0.8).collect()}
+    assert found == {(x, y) for x in range(40) for y in range(x + 1, 40)
+                     if rows[x][2] != rows[y][2]}
+
+
 def test_chain_of_links_is_one_component(spark):
     nodes = [bytes([i]) * 16 for i in range(60)]
     links = spark.createDataFrame(list(zip(nodes, nodes[1:])), "a binary, b binary")
