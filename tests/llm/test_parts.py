@@ -110,6 +110,25 @@ def test_band_equals_whole_table():
         assert near_dup.distance(a, b, limit) == (exact if exact <= limit else None)
 
 
+def test_prefixes_of_similar_texts_share_a_run():
+    chance = random.Random(6)
+    rarity = np.random.default_rng(6).integers(0, 9, 1 << near_dup.SLOT_BITS).astype(np.uint8)
+    for _ in range(1500):
+        a = [chance.randrange(1, 9 + 50 * chance.randrange(2)) for _ in range(chance.randrange(1, 60))]
+        b = list(a)
+        for _ in range(chance.randrange(1 + len(a) // 4)):
+            place = chance.randrange(len(b) + 1)
+            b[place:place + chance.randrange(2)] = [chance.randrange(9)] * chance.randrange(2)
+        longest = max(len(a), len(b))
+        for least in (0.8, 0.75, 0.5):
+            if not b or plain_distance(a, b) > near_dup.limit_of(longest, least):
+                continue
+            x, y = (near_dup.prefix(near_dup.labelled_kmers(
+                np.array(t, np.uint64) * near_dup.LABEL, near_dup.gram_of(least)),
+                len(t), rarity, least) for t in (a, b))
+            assert set(x.tolist()) & set(y.tolist())
+
+
 def test_sketch_is_the_same_where_another_word_repeats():
     base = np.arange(1, 400, dtype=np.uint64) * near_dup.LABEL
     one = near_dup.sketch(near_dup.labelled_kmers(base))
