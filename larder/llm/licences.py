@@ -1,10 +1,11 @@
 """License scan: canonical digests of whole texts, joined to those of known licences.
 
-A text is made canonical, then digested: lower case; lines that state a copyright and the words
-"all rights reserved" go; every run of punctuation and white space becomes one space; equivalent
+A text is made canonical, then digested: lower case; lines that state a copyright (by a sign,
+a year or "by", or as the first line, a blank one after it) and the words "all rights reserved" go; every run of punctuation and white space becomes one space; equivalent
 spellings become one. Two texts that differ in these alone have one digest.
 
-``KNOWN`` is the default table of licences; ``scan`` takes any DataFrame of (license, text).
+``KNOWN`` is the default table of licences: short texts with and without their title lines and
+list numbers, the whole texts in the folder ``licence_texts``, and common notices; ``scan`` takes any DataFrame of (license, text).
 
 Defined cases: a missing text has no digest and no licence. An empty one has the digest of
 nothing and matches nothing. Where known texts share a digest the smaller name is given.
@@ -13,10 +14,18 @@ Repeated documents are reported row by row; other columns are passed over.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*(copyright|\(c\)|\x{A9})[^\n]*"
+_YEAR = r"([12][0-9]{3}|[<\[{(]?(year|yyyy))"
+COPYRIGHT_LINE = (
+    r"(^|\n)[ \t*#/;-]*(copyright[ \t:]*(\(c\)|\x{A9}|by[ \t]|" + _YEAR + r")|\(c\)[ \t,]*(copyright|"
+    + _YEAR + r")|\x{A9})[^\n]*|^[ \t*#/;-]*copyright[ \t][^\n]*\n[ \t]*(\n|$)"
+)
 RIGHTS = r"all rights reserved"
 NOT_WORDS = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
@@ -71,7 +80,7 @@ _BSD_END = (
     "TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
     "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
-KNOWN = (
+_BARE = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
      'software and associated documentation files (the "Software"), to deal in the Software '
      "without restriction, including without limitation the rights to use, copy, modify, merge, "
@@ -109,6 +118,33 @@ KNOWN = (
     ("GPL-3.0 line", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0 line", "Licensed under CC BY-NC 4.0."),
 )
+_TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License",
+                     "Simplified BSD License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License",
+                     "New BSD License", 'BSD 3-Clause "New" or "Revised" License'),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License"),
+}
+
+
+def _dressed() -> Iterator[tuple[str, str]]:
+    """Short licences with each title, and with and without the numbers of their lists."""
+    for name, text in _BARE:
+        for body in dict.fromkeys((re.sub(r"(?m)^[0-9]\. ", "", text), text)):
+            yield from ((name, f"{title}\n\n{body}") for title in _TITLES.get(name, ()))
+            yield name, body
+
+
+def _published() -> Iterator[tuple[str, str]]:
+    folder = resources.files(__package__).joinpath("licence_texts")
+    for file in sorted(folder.iterdir(), key=lambda f: f.name):
+        yield file.name.removesuffix(".txt"), file.read_text("utf-8")
+
+
+KNOWN = (*_published(), *_dressed())
 
 
 def canonical(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -86,6 +87,21 @@ def test_licence_text_in_other_dress(spark):
         "BSD-3-Clause", None]
 
 
+def test_licence_files_with_titles_and_wrapped_anew(spark):
+    known = dict(licences.KNOWN)
+    bare = [t for n, t in licences.KNOWN if n == "MIT"][-1]
+    wraps = [textwrap.fill(" ".join(bare.split()), width) for width in range(30, 100, 10)]
+    texts = [("MIT", "MIT License\n\nCopyright (c) 2020 Some One\n\n" + t) for t in wraps]
+    texts += [("MIT", "Copyright Some One\n\n" + bare), ("MIT", "\u00a9 Some One\n" + bare)]
+    texts += [("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright 2001, Some One\nAll rights reserved.\n\n"
+               + re.sub(r"(?m)^\d\.", "*", known["BSD-3-Clause"]))]
+    texts += [(n, " ".join(known[n].split())) for n in ("MPL-2.0", "CC0-1.0")]
+    texts += [(n, known[n].replace("\n", "\r\n")) for n in ("Apache-2.0", "GPL-3.0", "LGPL-2.1")]
+    table = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    found = licences.scan(table).orderBy("doc_id").collect()
+    assert [r.license for r in found] == [name for name, _ in texts]
+
+
 def test_decontaminate(docs, items, empty):
     found = {r.doc_id: r for r in decontaminate.report(docs, items).collect()}
     assert (found[1].n_words, found[1].n_hit, found[1].n_items) == (120, 20, 1)
