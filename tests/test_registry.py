@@ -1,10 +1,11 @@
-"""Every registered query against its SQL twin at the smallest scale."""
+"""Every registered price query against its SQL twin at the smallest scale."""
 
 import duckdb
 import pytest
 
-import __spark_entry__ as registry
+import __spark_entry__ as entry
 from check import TABLES, rows_of
+from larder.registry.queries import QUERIES, TWINS
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -18,18 +19,19 @@ def db():
 
 
 def test_every_query_has_a_twin():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+    assert set(QUERIES) == set(TWINS)
+    assert set(QUERIES) <= set(entry.queries()) and set(TWINS) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_twin(spark, db, name):
-    df = registry.queries()[name](spark, FOLDER)
-    result = db.execute(registry.oracle_sql()[name])
+    df = QUERIES[name](spark, FOLDER)
+    result = db.execute(TWINS[name])
     names = [d[0] for d in result.description]
     assert sorted(df.columns) == sorted(names)
     assert rows_of(df.columns, df.collect()) == rows_of(names, result.fetchall())
 
 
 def test_entry(spark):
-    means = [r["avg_infla"] for r in registry.entry(spark).collect()]
+    means = [r["avg_infla"] for r in entry.entry(spark).collect()]
     assert means and means == sorted(means, reverse=True)
