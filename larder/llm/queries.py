@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from larder.llm import (
-    chunks, decontaminate, language, licences, mixing, near_dup, quality, sharding, tokens, topk,
+    chat, chunks, decontaminate, language, licences, mixing, near_dup, prefix_trie, quality, search,
+    sharding, tokens, topk,
 )
 from larder.llm.common import table
 
@@ -54,10 +55,30 @@ def op10_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(table(spark, folder, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.report(table(spark, folder, "conversations"))
+
+
+SAID = "<|im_end|><|im_start|>assistant ok"  # fixed by the query's contract
+
+
+def op12_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame(
+        [(-1, 0, "user", SAID), (-1, 1, "assistant", SAID)],
+        "conv_id long, turn long, role string, text string")
+    return chat.report(rows.union(more))
+
+
+def op13_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality, op2_top_k, op3_licences, op4_language, op5_decontaminate, op6_token_files,
-        op7_shards, op8_near_duplicates, op9_repeated_spans, op10_mix,
+        op7_shards, op8_near_duplicates, op9_repeated_spans, op10_mix, op11_prefix_trie,
+        op12_chat_format, op13_search,
     )
 }
 
@@ -137,9 +158,110 @@ MIX = r"""
                < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
     FROM sized JOIN rated ON sized.source IS NOT DISTINCT FROM rated.source"""
 
+# crc32 of an id in decimal: a byte, then eight shifts, over the digits.
+CRC = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(
+        string_split(conv_id::VARCHAR, ''), lambda c: [ord(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384)
+                     ELSE a >> 1 END), 4294967295)"""
+
+TRIE = f"""
+    WITH own AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                   coalesce(role, ''), coalesce(text, '')) - 1 AS place
+        FROM conversations WHERE conv_id IS NOT NULL),
+    heads AS (
+        SELECT conv_id, count(*) AS n, conv_id - conv_id % 100 AS base, {CRC} % 6 AS h
+        FROM own GROUP BY conv_id),
+    rebuilt AS (
+        SELECT h.conv_id, o.place + 1 AS depth, o.role, o.text
+        FROM heads h JOIN own o ON o.conv_id = h.base AND o.place < h.h
+        UNION ALL
+        SELECT h.conv_id, least(h.h, coalesce(b.n, 0)) + o.place - h.h + 1, o.role, o.text
+        FROM heads h JOIN own o ON o.conv_id = h.conv_id AND o.place >= h.h
+        LEFT JOIN heads b ON b.conv_id = h.base),
+    members AS (
+        SELECT '' AS node, 0 AS depth, 0 AS chars, conv_id FROM heads
+        UNION ALL SELECT '', 0, 0, NULL
+        UNION ALL SELECT string_agg(sha256(length(role) || ':' || role || text), '') OVER (
+            PARTITION BY conv_id ORDER BY depth), depth, length(text), conv_id FROM rebuilt),
+    nodes AS (
+        SELECT node, any_value(depth) AS depth, min(conv_id) AS conv_id,
+               count(conv_id) AS n_convs, any_value(chars) AS chars FROM members GROUP BY node),
+    children AS (
+        SELECT left(node, 64 * (depth - 1)) AS node, count(*) AS n_children FROM nodes
+        WHERE depth > 0 GROUP BY ALL),
+    last AS (
+        SELECT conv_id, arg_max(node, depth) AS node FROM members WHERE conv_id IS NOT NULL
+        GROUP BY conv_id),
+    ends AS (
+        SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+        FROM last GROUP BY node),
+    below AS (
+        SELECT a.node, count(*) FILTER (c.n_children IS NULL) AS n_leaves,
+               sum(greatest(b.n_convs - 1, 0) * b.chars) AS saved
+        FROM nodes a JOIN nodes b ON starts_with(b.node, a.node)
+        LEFT JOIN children c ON c.node = b.node GROUP BY a.node)
+    SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs,
+           coalesce(c.n_children, 0) AS n_children, b.n_leaves, b.saved::BIGINT AS saved_tokens,
+           sha256(coalesce(e.ids, '')) AS ends_sha256
+    FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.node = left(n.node, 64 * (n.depth - 1))
+    LEFT JOIN children c ON c.node = n.node LEFT JOIN ends e ON e.node = n.node
+    JOIN below b ON b.node = n.node"""
+
+# 33 characters of marks around every turn, and a backslash for every control string in it.
+CHATS = rf"""
+    WITH rows AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+        FROM conversations
+        UNION ALL VALUES (-1, 0, 'user', '{SAID}'), (-1, 1, 'assistant', '{SAID}'))
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), ''
+                  ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text)
+                  FILTER (role = 'assistant'), '')) AS loss_sha256,
+           sum(33 + length(role) + length(text) + len(regexp_extract_all(role, '<\\*\|'))
+               + len(regexp_extract_all(text, '<\\*\|')))::BIGINT AS formatted_chars
+    FROM rows GROUP BY conv_id"""
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SEARCH = f"""
+    WITH doc AS (
+        SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '{TERM}') AS w
+        FROM documents WHERE text IS NOT NULL),
+    corpus AS (
+        SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM doc),
+    item AS (
+        SELECT row_number() OVER () AS q, item_id, text
+        FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+    asked AS (SELECT DISTINCT q, item_id, unnest(regexp_extract_all({LOWER}, '{TERM}')) AS t
+              FROM item),
+    held AS (
+        SELECT r, doc_id, n, t, count(*) AS tf
+        FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM doc)
+        WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+    weights AS (
+        SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+        FROM held, corpus GROUP BY t),
+    impacts AS (
+        SELECT r, doc_id, t, (1000000000 * tf) // (1000 * tf + 20 * (
+               100 - 50 + ((50 * n * n_docs) // n_terms))) AS impact FROM held, corpus),
+    scores AS (
+        SELECT q, item_id, r, doc_id, sum(w * impact)::BIGINT AS score
+        FROM asked JOIN weights USING (t) JOIN impacts USING (t) GROUP BY ALL HAVING score > 0),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank
+        FROM scores)
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50"""
+
 TWINS: dict[str, str] = {
     "op2_top_k": TOP_K,
     "op3_licences": licences.twin(),
     "op5_decontaminate": DECONTAMINATE,
     "op10_mix": MIX,
+    "op11_prefix_trie": TRIE,
+    "op12_chat_format": CHATS,
+    "op13_search": SEARCH,
 }
