@@ -44,7 +44,7 @@ from larder.llm.common import importable, written
 
 TOP = 50
 SLOPE = 50
-SHARD_POSTINGS = 1 << 20
+SHARD_POSTINGS = 1 << 19
 BLOCK = 64
 CENTRES = 256
 DIMENSIONS = 16
