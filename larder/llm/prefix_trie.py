@@ -11,9 +11,8 @@ it, adds them to its own share and sends its total forward to its parent, throug
 queue of (level, key) that spills sorted runs when it is full. First within shards: a shard
 is a largest subtree whose conversations have at most ``SHARD_ROWS`` turns from its top on, so
 it fits a task whatever the data. Then across shard roots: their totals are added up per parent,
-and the nodes above, none of which fits a shard, are one more run. At any depth there are
-at most total turns / ``SHARD_ROWS`` of them; they stream through that run sorted outside
-memory, a row each.
+and the nodes above are dealt into shards of ``FACTOR`` times as many turns, and so on until
+one shard holds the root. Every shard streams, sorted outside memory, a row per node.
 
 ``ends_sha256`` hashes a node's ids in order. They are range-partitioned by node and id and
 joined to texts there, so that a node where very many conversations end is many tasks' work;
@@ -45,7 +44,8 @@ from pyspark.sql import functions as F
 from larder.llm.common import importable, new_folder, written
 from larder.sizing import bounded
 
-SHARD_ROWS = 1 << 16
+SHARD_ROWS = 1 << 12
+FACTOR = 1 << 12
 BLOCK = 1 << 16
 KEY = ["k1", "k2"]
 PARENT = ["p1", "p2"]
@@ -276,36 +276,44 @@ def totals_of(nodes: DataFrame) -> DataFrame:
     ).sortWithinPartitions(*order).mapInArrow(run, TOTALS)
 
 
-def subtree_totals(nodes: DataFrame, rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``TOTALS`` of every node: within shards, then across their roots."""
+def subtree_totals(nodes: DataFrame, rows: DataFrame, shard_rows: int = SHARD_ROWS,
+                   factor: int = FACTOR) -> DataFrame:
+    """``TOTALS`` of every node: within shards, then across shard roots, round by round."""
     importable(nodes.sparkSession)
-    above = (F.col("weight") > shard_rows) | (F.col("depth") == 0)
-    top = written(nodes.where(above), "top", narrow=True)
-    marks = top.where(F.col("depth") > 0).select(*KEY)
-    # A conversation's path leaves the nodes above for good: there its shard begins.
-    below = rows.join(bounded(marks, marks.count()), KEY, "left_anti")
-    shards = below.groupBy("conv_id").agg(
-        F.min_by(F.struct(*KEY), "depth").alias("shard"))
-    none = [F.lit(0).cast("long").alias(c) for c in ("n_children", "n_leaves", "saved_tokens")]
-    inner = nodes.where(~above).join(shards, "conv_id").select(
-        F.col("shard")[KEY[0]].alias("s1"), F.col("shard")[KEY[1]].alias("s2"), "depth", *KEY,
-        *PARENT, "own", *none)
-    inside = written(totals_of(inner.repartition("s1", "s2")), "inside")
-    tops = top.select(*(F.col(k).alias(p) for k, p in zip(KEY, PARENT)))
-    sent = nodes.where(~above).join(
-        bounded(tops, tops.count()), PARENT, "left_semi").select(*KEY, *PARENT)
-    # Summed before the shuffle: a node above may have very many shards below it.
-    sums = inside.join(sent, KEY).groupBy(*PARENT).agg(
-        F.count(F.lit(1)).alias("n_children"), F.sum("n_leaves").alias("n_leaves"),
-        F.sum("saved_tokens").alias("saved_tokens"))
-    given = sums.select(*(F.col(p).alias(k) for k, p in zip(KEY, PARENT)), *sums.columns[2:])
-    across = top.join(given, KEY, "left").select(
-        F.lit(0).cast("long").alias("s1"), F.lit(0).cast("long").alias("s2"), "depth", *KEY,
-        *PARENT, "own",
-        *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_children", "n_leaves", "saved_tokens")))
-    # The root's message would go to itself, so the root must be the last node: it is, alone on
-    # level 0.
-    return inside.union(totals_of(across.repartition(1)))
+    whole = nodes.where(F.col("depth") == 0).agg(F.max("weight")).first()[0]
+    weight, low, limit, done = F.col("weight"), -1, shard_rows, None
+    while low < whole:
+        level = nodes.where((weight > low) & (weight <= limit))
+        given = level.select(*KEY, *PARENT, "depth", "conv_id", "own")
+        counts = ("n_children", "n_leaves", "saved_tokens")
+        if done is None:
+            given = given.withColumns({c: F.lit(0).cast("long") for c in counts})
+        else:
+            here = level.select(*(F.col(k).alias(p) for k, p in zip(KEY, PARENT)))
+            sent = nodes.where(weight <= low).join(
+                bounded(here, here.count()), PARENT, "left_semi").select(*KEY, *PARENT)
+            # Summed before the shuffle: a node may have very many shards right below it.
+            sums = done.join(sent, KEY).groupBy(*PARENT).agg(
+                F.count(F.lit(1)).alias("n_children"), F.sum("n_leaves").alias("n_leaves"),
+                F.sum("saved_tokens").alias("saved_tokens"))
+            sums = sums.select(*(F.col(p).alias(k) for k, p in zip(KEY, PARENT)), *counts)
+            given = given.join(sums, KEY, "left").fillna(0, list(counts))
+        if limit >= whole:
+            dealt = given.select(
+                F.lit(0).cast("long").alias("s1"), F.lit(0).cast("long").alias("s2"), "*"
+            ).repartition(1)
+        else:
+            above = nodes.where((weight > limit) & (F.col("depth") > 0)).select(*KEY)
+            # A conversation's path leaves the nodes above for good: there its shard begins.
+            shards = rows.join(bounded(above, above.count()), KEY, "left_anti").groupBy(
+                "conv_id").agg(F.min_by(F.struct(*KEY), "depth").alias("shard"))
+            dealt = given.join(shards, "conv_id").select(
+                *(F.col("shard")[k].alias(s) for k, s in zip(KEY, ("s1", "s2"))), given["*"]
+            ).repartition("s1", "s2")
+        found = written(totals_of(dealt), "totals")
+        done = found if done is None else done.union(found)
+        low, limit = limit, limit * factor
+    return done
 
 
 # Where conversations end -----------------------------------------------------------
@@ -378,12 +386,13 @@ def digested(texts: DataFrame) -> DataFrame:
         *KEY, "ids").mapInArrow(run, "k1 long, k2 long, ends_sha256 string")
 
 
-def trie(rows: DataFrame, sizes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def trie(rows: DataFrame, sizes: DataFrame, shard_rows: int = SHARD_ROWS,
+         factor: int = FACTOR) -> DataFrame:
     """The nodes of conversations given as (conv_id, depth, g1, g2, chars) and (conv_id, size)."""
     importable(rows.sparkSession)
     walked = written(paths(rows, sizes), "paths")
     nodes = written(nodes_of(walked, sizes), "nodes")
-    totals = written(subtree_totals(nodes, walked, shard_rows), "totals")
+    totals = subtree_totals(nodes, walked, shard_rows, factor)
     nothing = F.lit(0).cast("long")
     ends = walked.where(F.col("below") == 1).select(*KEY, "conv_id").union(
         sizes.where(F.col("size") == 0).select(nothing, nothing, "conv_id"))

@@ -78,8 +78,8 @@ def test_small_shards_and_blocks(spark, rows, monkeypatch):
     monkeypatch.setattr(prefix_trie, "BLOCK", 4)
     table = spark.createDataFrame(rows, DDL)
     parts = prefix_trie.rebuilt(table)
-    for limit in (0, 9, 60):
-        assert found(prefix_trie.trie(*parts, shard_rows=limit)) == plain(rows)
+    for limit, factor in ((1, 4), (9, 9), (200, 5000)):
+        assert found(prefix_trie.trie(*parts, limit, factor)) == plain(rows)
 
 
 def test_empty_table(spark):
