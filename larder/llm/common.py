@@ -27,6 +27,14 @@ def importable(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder not used before, where all executors can read and write."""
     return f"{shared_folder(spark)}/larder-{name}-{uuid.uuid4().hex}"

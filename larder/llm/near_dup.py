@@ -1,65 +1,64 @@
-"""Near-duplicate documents: Order MinHash and an exact prefix filter, verified by banded alignment.
-
-Any two texts of at least ``SIMILARITY`` end in one class. Sketches link most of them cheaply;
-a prefix filter then finds every pair that is left.
-
-A text's k-mers are its runs of five words, each labelled with how often it occurred before in
-the text. Each of ``SKETCHES`` hash functions picks the ``PICKED`` labelled k-mers with the
-smallest hash and keeps them in text order; equal picks put two texts into one bucket. In
-every bucket each text is compared with the text that comes first in a fixed random order of
-all texts, so a bucket of n texts gives less than n pairs, however large. Pairs are verified
-by aligning the words within the band that the threshold allows: similarity is 1 minus edit
-distance over the longer length. Buckets whose texts are still in more than one class are
-compared again, with the first and last text of a fresh order, up to ``ROUNDS`` times or until a
-round adds no link. This only saves work for the next step.
-
-An edit changes at most ``GRAM`` of a text's labelled runs of ``GRAM`` words, so two similar
-texts have a known number of runs in common, and must share one of the first few of each in any
-order of all runs (``prefix_length``). Runs are ordered by how rare their hash is in a sample.
-All texts of different classes that share such a run, and whose lengths and word counts by slot
-allow it, are compared.
-A run of many texts is dealt into cells of two blocks; its largest class is not met with itself.
+"""Near-duplicate documents by Order MinHash, verified by banded alignment.
+
+A text's k-mers are its runs of ``WORDS`` words, each labelled with how often it occurred before
+in the text. Each of ``SKETCHES`` hash functions picks the ``PICKED`` labelled k-mers with the
+smallest hash and keeps them in text order; equal picks put two texts into one bucket. Texts of
+at most ``SHORT`` words, of whose runs one edit spoils most, have ``SHORT_SKETCHES`` more over
+their single words.
+
+Pairs are verified by aligning the words within the band that the threshold allows:
+similarity is 1 minus edit distance over the longer length, ``SIMILARITY`` or more is near. Word
+counts by slot (a bag) rule most pairs out before their texts are fetched; the bound is exact.
+
+Buckets are settled in two steps. First each text is compared with the one text of its bucket
+that comes first in a fixed random order of all texts, which links the bulk of a group with few
+pairs. Then in every bucket that still holds several classes all texts of different
+classes are compared, in cells of two blocks of about ``BLOCK`` texts, so that a bucket of any
+size is many tasks' work; its largest class does not meet itself, and only pairs that pass the
+bag leave a cell. So any two near texts that share a bucket end in one class. What can be
+lost is a near pair that shares none; the README has the measured shares.
 
 Equal texts are one node throughout. Classes are the connected components of the links.
 
-Words are lower-cased and split at white space. Texts of one to four words have one k-mer.
+Words are lower-cased and split at white space. Shorter texts than a k-mer are one k-mer.
 
 Defined cases: a missing text is in a class of its own id; empty or blank texts are linked to
 equal texts only. Repeated rows fall into one class. Missing ids are ignored for the class id,
-which is missing where no row of the class has an id.
+which is missing where no row of the class has an id. An empty table gives no rows. Very long
+texts are sketched a stretch at a time, and aligned with memory in proportion to their words.
+Other columns keep their values, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Callable, Iterator
-from functools import cache
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import importable, written
+from larder.llm.common import importable, unused, written
 
-WORDS = 5
-SKETCHES = 32
+WORDS = 3
+SKETCHES = 64
 PICKED = 2
+SHORT = 25
+SHORT_SKETCHES = 16
 SIMILARITY = 0.8
-ROUNDS = 4
-GRAM = 2
-GRAM_LEAST = 0.75  # below this similarity the filter takes single words
-SAMPLED = 16  # one text of so many tells how rare runs are
-SLOT_BITS = 20
 BLOCK = 512
-MET_AT_ONCE = 1 << 20
+MET_AT_ONCE = 1 << 18
 BAG = 256
+BAGS_AT_ONCE = 1 << 12
 SEED = 8
 REMEMBERED_WORDS = 200_000
+LONG = 1 << 15  # words; longer texts are aligned with sparse masks
 
 _draw = np.random.default_rng(SEED)
-MULTIPLIERS = _draw.integers(1, 1 << 63, SKETCHES, np.uint64) * np.uint64(2) + np.uint64(1)
+FACTORS = _draw.integers(1, 1 << 32, SKETCHES, np.uint32) | np.uint32(1)
+TERMS = _draw.integers(0, 1 << 32, SKETCHES, np.uint32)
 LABEL = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -76,36 +75,41 @@ def labelled_kmers(words: np.ndarray, k: int = WORDS) -> np.ndarray:
     for i in range(min(k, len(words))):
         kmers = kmers * LABEL + words[i:i + size]
     kmers = mixed(kmers)
+    ranked = np.sort(kmers)
+    if (ranked[1:] != ranked[:-1]).all():
+        return kmers
     order = np.argsort(kmers, kind="stable")
     ranked = kmers[order]
     new = np.ones(size, bool)
     new[1:] = ranked[1:] != ranked[:-1]
-    if not new.all():
-        first = np.maximum.accumulate(np.where(new, np.arange(size), 0))
-        earlier = np.empty(size, np.uint64)
-        earlier[order] = np.arange(size) - first
-        kmers = np.where(earlier > 0, mixed(kmers + earlier * LABEL), kmers)
-    return kmers
-
-
-def sketch(kmers: np.ndarray) -> np.ndarray:
-    """One bucket key per hash function."""
-    keys = np.arange(1, SKETCHES + 1, dtype=np.uint64) * LABEL
-    low = np.full((SKETCHES, PICKED), len(kmers))
-    step = max(1, (1 << 20) // SKETCHES)
-    best = np.full((SKETCHES, PICKED), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(kmers), step):  # long texts a stretch at a time
-        part = kmers[at:at + step]
-        hashes = mixed(MULTIPLIERS[:, None] * part[None, :])
-        for _ in range(min(PICKED, len(part))):
+    first = np.maximum.accumulate(np.where(new, np.arange(size), 0))
+    earlier = np.empty(size, np.uint64)
+    earlier[order] = np.arange(size) - first
+    return np.where(earlier > 0, mixed(kmers + earlier * LABEL), kmers)
+
+
+def sketch(kmers: np.ndarray, sketches: int = SKETCHES, kind: int = 0) -> np.ndarray:
+    """One bucket key per hash function; ``kind`` keeps keys of different k-mers apart."""
+    keys = (np.arange(1, sketches + 1, dtype=np.uint64) + np.uint64(kind << 32)) * LABEL
+    rows = np.arange(sketches)
+    factors, terms = FACTORS[:sketches, None], TERMS[:sketches, None]
+    short = (kmers >> np.uint64(32)).astype(np.uint32)
+    low = np.full((sketches, PICKED), len(kmers))
+    best = np.full((sketches, PICKED), 1 << 32, np.int64)
+    step = 1 << 10  # what the hashes of so many take stays in a core's cache
+    for at in range(0, len(short), step):
+        hashes = short[None, at:at + step] * factors
+        hashes += terms
+        hashes ^= hashes >> np.uint32(15)
+        hashes *= np.uint32(0x2C1B3C6D)
+        for _ in range(min(PICKED, hashes.shape[1])):
             place = hashes.argmin(1)
-            value = hashes[np.arange(SKETCHES), place]
-            hashes[np.arange(SKETCHES), place] = np.iinfo(np.uint64).max
+            value = hashes[rows, place].astype(np.int64)
+            hashes[rows, place] = np.iinfo(np.uint32).max
             worst = best.argmax(1)
-            better = value < best[np.arange(SKETCHES), worst]
-            rows = np.flatnonzero(better)
-            best[rows, worst[rows]] = value[rows]
-            low[rows, worst[rows]] = at + place[rows]
+            better = np.flatnonzero(value < best[rows, worst])
+            best[better, worst[better]] = value[better]
+            low[better, worst[better]] = at + place[better]
     low.sort(1)
     for i in range(PICKED):
         there = low[:, i] < len(kmers)
@@ -114,29 +118,88 @@ def sketch(kmers: np.ndarray) -> np.ndarray:
     return keys
 
 
+def keys_of(words: np.ndarray) -> np.ndarray:
+    """All bucket keys of a text, given its word hashes."""
+    keys = sketch(labelled_kmers(words))
+    if len(words) > SHORT:
+        return keys
+    return np.concatenate([keys, sketch(labelled_kmers(words, 1), SHORT_SKETCHES, 1)])
+
+
+class Masks:
+    """Where a word stands in a list: bit i is set if it is at place ``low`` + i.
+
+    A list of up to ``LONG`` words has one integer per word; a longer one keeps places, and
+    makes the bits of a band when it is asked.
+    """
+
+    def __init__(self, words: list, width: int):
+        self.width, self.all = width, (1 << width) - 1
+        self.bits: dict = {}
+        self.places: dict | None = None
+        if len(words) <= LONG:
+            for i, word in enumerate(words):
+                self.bits[word] = self.bits.get(word, 0) | 1 << i
+        else:
+            found: dict = {}
+            for i, word in enumerate(words):
+                found.setdefault(word, []).append(i)
+            self.places = {word: np.array(at) for word, at in found.items()}
+
+    def __call__(self, word: object, low: int) -> int:
+        if self.places is None:
+            bits = self.bits.get(word, 0)
+            return (bits >> low if low >= 0 else bits << -low) & self.all
+        places = self.places.get(word)
+        if places is None:
+            return 0
+        first, last = np.searchsorted(places, [low, low + self.width])
+        inside = places[first:last] - low
+        if len(inside) < 8:
+            return sum(1 << i for i in inside.tolist())
+        dense = np.zeros(self.width, np.uint8)
+        dense[inside] = 1
+        return int.from_bytes(np.packbits(dense, bitorder="little").tobytes(), "little")
+
+
 def distance(a: list, b: list, limit: int) -> int | None:
-    """Edit distance if at most ``limit``, which is below the longer length.
+    """Edit distance if at most ``limit``. Common ends are left out."""
+    if len(a) < len(b):
+        a, b = b, a
+    start, end = 0, len(b)
+    while start < end and a[start] == b[start]:
+        start += 1
+    shift = len(a) - len(b)
+    while end > start and a[end + shift - 1] == b[end - 1]:
+        end -= 1
+    a, b = a[start:end + shift], b[start:end]
+    if len(a) - len(b) > limit:
+        return None
+    if not b:
+        return len(a)
+    if len(a) > limit:
+        return _banded(a, b, limit)
+    found = _banded(a, b, len(a) - 1)
+    return len(a) if found is None else found
+
+
+def _banded(a: list, b: list, limit: int) -> int | None:
+    """Edit distance if at most ``limit``, which is below the length of ``a``, the longer.
 
     One column of the band around the diagonal, 2 * limit + 1 cells, is two integers: the
     cells one above and one below their upper neighbour. A step moves the band down by one
     word of the shorter list.
     """
-    if len(a) < len(b):
-        a, b = b, a
     if len(a) - len(b) > limit:
         return None
-    places: dict = {}
-    for i, word in enumerate(a):
-        places[word] = places.get(word, 0) | 1 << i
     width = 2 * limit + 1
+    masks = Masks(a, width)
     mask, top = (1 << width) - 1, 1 << (width - 1)
     rises, falls, cost = mask & ~((1 << limit) - 1), 0, limit
     inside = len(a) - limit  # steps until the band's end leaves the longer list
     hopeless = limit + len(b) - inside
     for i, word in enumerate(b):
-        shift = i - limit
-        same = places.get(word, 0)
-        same = (same >> shift if shift >= 0 else same << -shift) & mask
+        same = masks(word, i - limit)
         free = ((((same & rises) + rises) ^ rises) | same | falls) & mask
         right = falls | (~(free | rises) & mask)
         left = free & rises
@@ -153,43 +216,22 @@ def distance(a: list, b: list, limit: int) -> int | None:
     return cost if cost <= limit else None
 
 
-def limit_of(longest: int, least: float) -> int:
-    """Most edits of two similar texts, the longer one of ``longest`` words."""
-    return int((1 - least) * longest + 1e-9)
-
-
-def gram_of(least: float) -> int:
-    return GRAM if least >= GRAM_LEAST else 1
-
-
-@cache
-def prefix_length(words: int, least: float) -> int:
-    """How many of the first runs of a text of so many words hold one of any similar text.
-
-    With d edits, k-word runs and a text of e words more, k * d - e runs of the shorter and
-    k * d of the longer text at most are not the other's.
-    """
-    k = gram_of(least)
-    most, longer = k * limit_of(words, least), words + 1
-    while longer - words <= limit_of(longer, least):
-        most = max(most, k * limit_of(longer, least) - (longer - words))
-        longer += 1
-    return most + 1
+def limits_of(longest: np.ndarray) -> np.ndarray:
+    """Most edits of two near texts, by the words of the longer one."""
+    return np.floor((1 - SIMILARITY) * longest + 1e-9).astype(np.int64)
 
 
-def prefix(kmers: np.ndarray, words: int, rarity: np.ndarray, least: float) -> np.ndarray:
-    """The first runs of a text, rarer slots first."""
-    slots = (kmers >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-    return kmers[np.lexsort((kmers, rarity[slots]))[:prefix_length(words, least)]]
+def limit_of(longest: int) -> int:
+    return int((1 - SIMILARITY) * longest + 1e-9)
 
 
-def similar(a: str, b: str, least: float = SIMILARITY) -> float | None:
-    """Similarity of two texts if at least ``least``."""
+def similar(a: str, b: str) -> float | None:
+    """Similarity of two texts if they are near."""
     left, right = a.lower().split(), b.lower().split()
     longest = max(len(left), len(right))
     if not longest:
         return None
-    limit = limit_of(longest, least)
+    limit = limit_of(longest)
     if abs(len(left) - len(right)) > limit:
         return None
     if longest - sum((Counter(left) & Counter(right)).values()) > limit:
@@ -198,72 +240,98 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> float | None:
     return None if found is None else 1 - found / longest
 
 
-def hasher() -> Callable[[list[str]], np.ndarray]:
-    """A function from words to their hashes that remembers words."""
-    known: dict[str, int] = {}
+class WordHashes(dict):
+    """Words -> 64-bit hashes, remembered."""
 
-    def number(word: str) -> int:
-        code = known.get(word)
-        if code is None:
-            if len(known) > REMEMBERED_WORDS:
-                known.clear()
-            digest = hashlib.blake2b(word.encode(), digest_size=8).digest()
-            code = known[word] = int.from_bytes(digest, "little")
+    def __missing__(self, word: str) -> int:
+        digest = hashlib.blake2b(word.encode(), digest_size=8).digest()
+        self[word] = code = int.from_bytes(digest, "little")
         return code
 
-    return lambda words: np.fromiter(map(number, words), np.uint64, len(words))
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > REMEMBERED_WORDS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def bag_of(words: np.ndarray) -> bytes:
+    """How often words of each of ``BAG`` slots are in a text, at most 255 times, and its words."""
+    counts = np.bincount((words % np.uint64(BAG)).astype(np.int64), minlength=BAG)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + len(words).to_bytes(4, "little")
 
 
 def sketched(documents: DataFrame) -> DataFrame:
-    """doc_id, node (a digest of the text) and bucket keys of every document with a text."""
+    """doc_id, node (a digest of the text), bucket keys and bag of every document with a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes_of = hasher()
+        known = WordHashes()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                nodes, keys = [], []
+                nodes, keys, bags = [], [], []
                 for text in batch.column(1).to_pylist():
-                    words = text.lower().split()
+                    words = known.of(text.lower().split())
                     nodes.append(hashlib.md5(text.encode()).digest())
-                    hashes = hashes_of(words)
-                    keys.append(sketch(labelled_kmers(hashes)).view(np.int64) if words else [])
+                    keys.append(keys_of(words).view(np.int64) if len(words) else [])
+                    bags.append(bag_of(words))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(nodes, pa.binary()),
-                     pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "node", "keys"],
+                     pa.array(keys, pa.list_(pa.int64())), pa.array(bags, pa.binary())],
+                    ["doc_id", "node", "keys", "bag"],
                 )
 
     return documents.where(F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), "text"
-    ).mapInArrow(run, "doc_id long, node binary, keys array<bigint>")
-
-
-def leader_pairs(buckets: DataFrame, order: int) -> DataFrame:
-    """Each text of a bucket with the bucket's first text in a random order of all texts, and
-    in later rounds also with the last: (a, b), a < b, each once."""
-    if "root" not in buckets.columns:
-        buckets = buckets.withColumn("root", F.col("node"))
-    placed = F.struct(F.xxhash64("node", F.lit(order)).alias("place"), "node", "root")
-    ends = [F.min(placed), F.max(placed)][:1 if order == 0 else 2]
-    leaders = buckets.groupBy("bucket").agg(F.array(*ends).alias("ends"))
-    end = F.col("end.node")
+    ).mapInArrow(run, "doc_id long, node binary, keys array<bigint>, bag binary")
+
+
+def leader_pairs(buckets: DataFrame) -> DataFrame:
+    """Each text of a bucket with the bucket's first text in a random order of all texts:
+    (a, b), a < b, each once."""
+    placed = F.struct(F.xxhash64("node", F.lit(SEED)).alias("place"), "node")
+    leaders = buckets.groupBy("bucket").agg(F.min(placed).alias("first"))
+    first = F.col("first.node")
     return (
-        buckets.join(leaders, "bucket").select("node", "root", F.explode("ends").alias("end"))
-        .where(F.col("root") != F.col("end.root"))
-        .select(F.least("node", end).alias("a"), F.greatest("node", end).alias("b"))
+        buckets.join(leaders, "bucket").where(F.col("node") != first)
+        .select(F.least("node", first).alias("a"), F.greatest("node", first).alias("b"))
         .distinct()
     )
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough, with their similarity."""
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bags of two lists of texts, a row each -> whether they differ in more words than allowed."""
+    longest = np.maximum(*(b[:, BAG:].copy().view("<u4")[:, 0] for b in (x, y)))
+    more = x[:, :BAG].astype(np.int16) - y[:, :BAG]
+    over = np.maximum(more, 0).sum(1, dtype=np.int32)
+    under = over - more.sum(1, dtype=np.int32)
+    return np.maximum(over, under) > limits_of(longest)
+
+
+def matching(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose bags differ in no more words than the threshold allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BAGS_AT_ONCE):
+                batch = whole.slice(at, BAGS_AT_ONCE)
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(
+                    -1, BAG + 4) for c in (2, 3))
+                yield batch.select([0, 1]).filter(pa.array(~apart(x, y)))
+
+    left, right = (nodes.select(F.col("node").alias(c), F.col("bag").alias(f"bag_{c}"))
+                   for c in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(
+        run, "a binary, b binary")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are near, with their similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [
-                similar(x, y, least)
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+                similar(batch.column(2)[i].as_py(), batch.column(3)[i].as_py())
+                for i in range(batch.num_rows)
             ]
             kept = pa.array([x is not None for x in found], pa.bool_())
             yield pa.RecordBatch.from_arrays(
@@ -278,6 +346,14 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     )
 
 
+def linking(pairs: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The near ones of ``pairs``: bags first, then the texts of those that are left."""
+    pairs = written(matching(pairs, nodes), "matching", narrow=True)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = texts_of(documents, ends.join(nodes.select("node", "first_id"), "node"))
+    return written(verified(pairs, texts), "links", narrow=True)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b).
 
@@ -325,9 +401,10 @@ def extended(roots: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def crowded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct texts (node, first_id), and (node, bucket) of buckets with several texts."""
+    """Distinct texts (node, first_id, bag), and (node, bucket) of buckets of several texts."""
     nodes = written(
-        rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys")),
+        rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"),
+                                 F.first("bag").alias("bag")),
         "nodes",
     )
     every = nodes.select("node", F.explode("keys").alias("bucket"))
@@ -358,257 +435,130 @@ def unresolved(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(several, "bucket", "left_semi")
 
 
-def rarities(documents: DataFrame, least: float) -> np.ndarray:
-    """How common the runs of each slot are in a sample of the texts, on a logarithmic scale."""
-    k = gram_of(least)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes_of, counts = hasher(), np.zeros(1 << SLOT_BITS, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = text.lower().split()
-                if words:
-                    kmers = labelled_kmers(hashes_of(words), k) >> np.uint64(64 - SLOT_BITS)
-                    np.add.at(counts, kmers.astype(np.int64), 1)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], ["slot", "n"])
-
-    sample = documents.where(
-        F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0))
-    level = F.least(F.lit(255), F.floor(8 * F.log2(F.sum("n") + 1))).cast("int")
-    found = sample.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(
-        level.alias("level")).toArrow()  # a row per slot at most
-    out = np.zeros(1 << SLOT_BITS, np.uint8)
-    out[found["slot"].to_numpy()] = found["level"].to_numpy()
-    return out
-
-
-def prefixes(documents: DataFrame, rarity: np.ndarray, least: float) -> DataFrame:
-    """A row per run of every text's prefix: gram, near (half of the text's digest), words."""
-    k = gram_of(least)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes_of, seen = hasher(), set()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                grams, nears, sizes = [np.zeros(0, np.uint64)], [], []
-                for text in whole.column(0).slice(at, 256).to_pylist():
-                    words, node = text.lower().split(), hashlib.md5(text.encode()).digest()[:8]
-                    if words and node not in seen:
-                        seen.add(node)
-                        kmers = labelled_kmers(hashes_of(words), k)
-                        grams.append(prefix(kmers, len(words), rarity, least))
-                        nears.append(int.from_bytes(node, "big", signed=True))
-                        sizes.append(len(words))
-                times = [len(x) for x in grams[1:]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(grams).view(np.int64)),
-                     pa.array(np.repeat(np.array(nears, np.int64), times)),
-                     pa.array(np.repeat(np.array(sizes, np.int32), times))],
-                    ["gram", "near", "words"])
-
-    return documents.where(F.col("text").isNotNull()).select("text").mapInArrow(
-        run, "gram long, near long, words int")
-
-
-def shared(grams: DataFrame) -> DataFrame:
-    """The rows of ``prefixes`` whose run several texts have, each once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, matched = None, False  # the last row so far, and whether it has met its like
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch] if held is None else [held, batch])
-            gram, near = (rows.column(i).to_numpy() for i in (0, 1))
-            new = np.ones(len(gram), bool)
-            new[1:] = (gram[1:] != gram[:-1]) | (near[1:] != near[:-1])
-            rows, gram = rows.filter(pa.array(new)), gram[new]
-            like = np.zeros(len(gram), bool)
-            like[1:] = gram[1:] == gram[:-1]
-            like[:-1] |= like[1:]
-            like[0] |= matched and held is not None
-            matched = bool(like[-1])
-            held = rows.slice(len(gram) - 1).combine_chunks().to_batches()[0]
-            like[-1] = False
-            yield from rows.filter(pa.array(like)).to_batches()
-        if held is not None and matched:
-            yield held
-
-    return grams.repartition("gram").sortWithinPartitions("gram", "near").mapInArrow(
-        run, grams.schema)
-
-
 def cells(members: DataFrame) -> DataFrame:
-    """The rows of ``members`` (gram, near, root, words) that have to meet, in arrays of at most
-    about two blocks; ``side`` is the block."""
-    classes = members.groupBy("gram", "root").agg(F.count("*").alias("n"))
+    """The rows of ``members`` (bucket, node, root) that have to meet: (bucket, i, j, side, node,
+    root), ``side`` being the row's block and i <= j the two blocks of its cell."""
+    classes = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     most = F.max_by("n", F.struct("n", "root"))
-    sizes = classes.groupBy("gram").agg(
+    sizes = classes.groupBy("bucket").agg(
         most.alias("top"), (F.sum("n") - most).alias("others"),
         F.max_by("root", F.struct("n", "root")).alias("top_root"),
     ).where(F.col("others") > 0).select(
-        "gram", F.when(F.col("top") + F.col("others") > BLOCK, F.col("top_root")).alias("apart"),
+        "bucket", F.when(F.col("top") + F.col("others") > BLOCK, F.col("top_root")).alias("apart"),
         F.ceil(F.col("others") / BLOCK).alias("low"), F.ceil(F.col("top") / BLOCK).alias("high"))
     whole = F.col("apart").isNull()
     top = F.col("root") == F.col("apart")
-    place = F.xxhash64("near", F.lit(SEED))
+    place = F.xxhash64("node", F.lit(SEED))
     side = F.when(whole, 0).when(top, F.col("low") + F.pmod(place, "high")).otherwise(
         F.pmod(place, "low"))
     last = F.when(whole, 0).when(top, F.col("low") - 1).otherwise(F.col("low") + F.col("high") - 1)
-    dealt = members.join(sizes, "gram").select(
-        "gram", side.cast("int").alias("side"), "near", "root", "words",
+    dealt = members.join(sizes, "bucket").select(
+        "bucket", side.cast("int").alias("side"), "node", "root",
         F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("other"))
-    return dealt.groupBy(
-        "gram", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")
-    ).agg(F.collect_list(F.struct("side", "near", "root", "words")).alias("members")).select(
-        "i", "j", "members")
+    return dealt.select("bucket", F.least("side", "other").alias("i"),
+                        F.greatest("side", "other").alias("j"), "side", "node", "root")
 
 
-def met(cells: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b, of different classes that meet in a cell and may be similar."""
+def met(dealt: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b, of different classes that meet in a cell and whose bags match."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)
             ends, flat = lists.offsets.to_numpy().astype(np.int64), lists.values
-            if not batch.num_rows or ends[-1] == ends[0]:
-                continue
-            side, words, node, root = (
-                flat.field(c).to_numpy() for c in ("side", "words", "near", "root"))
-            limits = np.array([limit_of(int(n), least) for n in words], np.int64)
-            within = batch.column(0).to_numpy() == batch.column(1).to_numpy()
-            cell = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-            rows = np.arange(ends[0], ends[-1])
-            partners = ends[1:][cell] - 1 - rows  # a row meets those after it in its cell
-            done = np.concatenate([[0], np.cumsum(partners)])
-            at = 0
-            while at < len(rows):
-                end = max(at + 1, int(np.searchsorted(done, done[at] + MET_AT_ONCE, "right")) - 1)
-                x = np.repeat(rows[at:end], partners[at:end])
-                y = x + 1 + np.arange(len(x)) - np.repeat(done[at:end] - done[at], partners[at:end])
-                fits = within[cell[x - ends[0]]] | (side[x] != side[y])
-                fits &= root[x] != root[y]
-                fits &= np.abs(words[x] - words[y]) <= np.maximum(limits[x], limits[y])
-                x, y, at = node[x[fits]], node[y[fits]], end
-                pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
-
-    return cells.mapInArrow(run, "a long, b long").distinct()
-
-
-def bags(texts: DataFrame) -> DataFrame:
-    """(node, bag): how often words of each of ``BAG`` slots are in a text, at most 255 times."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes_of = hasher()
-        for batch in batches:
-            found = []
-            for text in batch.column(1).to_pylist():
-                slots = (hashes_of(text.lower().split()) % np.uint64(BAG)).astype(np.int64)
-                counts = np.bincount(slots, minlength=BAG)
-                found.append(np.minimum(counts, 255).astype(np.uint8).tobytes()
-                             + len(slots).to_bytes(4, "little"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.binary())], ["node", "bag"])
-
-    return texts.mapInArrow(run, "node binary, bag binary")
-
-
-def matching(pairs: DataFrame, bagged: DataFrame, least: float) -> DataFrame:
-    """The pairs whose bags differ in no more words than the threshold allows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(
-                    -1, BAG + 4) for c in (2, 3))
-                longest = np.maximum(*(b[:, BAG:].copy().view("<u4")[:, 0] for b in (x, y)))
-                more = x[:, :BAG].astype(np.int16) - y[:, :BAG]
-                apart = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
-                limits = np.array([limit_of(int(n), least) for n in longest])
-                yield batch.select([0, 1]).filter(pa.array(apart <= limits))
-
-    left, right = (bagged.toDF(c, f"bag_{c}") for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(
-        run, "a binary, b binary")
-
-
-def unmet_pairs(documents: DataFrame, nodes: DataFrame, roots: DataFrame, least: float):
-    """(a, b), a < b, by halves of digests: all texts of different classes that may be similar."""
-    grams = written(shared(prefixes(documents, rarities(documents, least), least)), "grams")
-    placed = nodes.select("node").join(roots, "node", "left").select(
-        half(F.col("node")).alias("near"), F.xxhash64(F.coalesce("root", "node")).alias("root"))
-    members = written(
-        grams.join(placed, "near").select("gram", "near", "root", "words"), "members")
-    return met(cells(members), least)
-
-
-def half(node: Column) -> Column:
-    return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long")
-
-
-def linked(documents: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+            for row in range(batch.num_rows):
+                part = flat.slice(ends[row], ends[row + 1] - ends[row])
+                same = batch.column(0)[row].as_py() == batch.column(1)[row].as_py()
+                pairs = _met_in_cell(
+                    part.field("side").to_numpy(), part.field("root").to_numpy(),
+                    part.field("bag"), same)
+                node = part.field("node")
+                for x, y in pairs:
+                    a, b = (node.take(pa.array(z)).to_pylist() for z in (x, y))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([min(p) for p in zip(a, b)], pa.binary()),
+                         pa.array([max(p) for p in zip(a, b)], pa.binary())], ["a", "b"])
+
+    bags = nodes.select("node", "bag")
+    gathered = dealt.join(bags, "node").groupBy("bucket", "i", "j").agg(F.collect_list(F.struct(
+        "side", F.xxhash64("root").alias("root"), "node", "bag")).alias("members"))
+    return gathered.select("i", "j", "members").mapInArrow(
+        run, "a binary, b binary").distinct()
+
+
+def _met_in_cell(side: np.ndarray, root: np.ndarray, bags: pa.Array, within: bool
+                 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    table = np.frombuffer(b"".join(bags.to_pylist()), np.uint8).reshape(-1, BAG + 4)
+    words = table[:, BAG:].copy().view("<u4")[:, 0].astype(np.int64)
+    order = np.argsort(words, kind="stable")  # near texts are of like length
+    sorted_words = words[order]
+    limits = limits_of(words)
+    n = len(order)
+    # The longest text that may be near a text of so many words.
+    reach = np.searchsorted(sorted_words - limits[order], sorted_words, "right")
+    at = 0
+    while at < n:
+        end = at + 1
+        room = MET_AT_ONCE - max(0, int(reach[at]) - at)
+        while end < n and room > 0:
+            room -= max(0, int(reach[end]) - end)
+            end += 1
+        partners = np.maximum(reach[at:end] - np.arange(at, end) - 1, 0)
+        x = np.repeat(np.arange(at, end), partners)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(partners) - partners, partners)
+        x, y, at = order[x], order[y], end
+        fits = root[x] != root[y]
+        if not within:
+            fits &= side[x] != side[y]
+        x, y = x[fits], y[fits]
+        for part in range(0, len(x), BAGS_AT_ONCE):
+            u, v = x[part:part + BAGS_AT_ONCE], y[part:part + BAGS_AT_ONCE]
+            near = ~apart(table[u], table[v])
+            if near.any():
+                yield u[near], v[near]
+
+
+def linked(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node) of every document with a text, and (node, class_id) of every text."""
     importable(documents.sparkSession)
     rows = written(sketched(documents), "sketches")
     nodes, buckets = crowded(rows)
-    texts = texts_of(documents, buckets.select("node").distinct().join(nodes, "node"))
-    pairs = written(leader_pairs(buckets, 0), "pairs", narrow=True)
-    roots = tried = None
-    for order in range(1, ROUNDS + 1):
-        found = written(verified(pairs, texts, least), "verified")
-        if roots is not None and found.isEmpty():
-            break
-        roots = extended(roots, found)
-        tried = pairs if tried is None else tried.union(pairs)
-        if order < ROUNDS:
-            rest = leader_pairs(unresolved(buckets, roots), order)
-            pairs = written(rest.join(tried, ["a", "b"], "left_anti"), "pairs", narrow=True)
-    halves = nodes.select("node", half(F.col("node")).alias("near"))
-    a, b = (halves.toDF(f"node_{c}", c) for c in "ab")
-    rest = unmet_pairs(documents, nodes, roots, least).join(a, "a").join(b, "b").select(
-        F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-    pairs = written(rest.join(tried, ["a", "b"], "left_anti"), "pairs", narrow=True)
-    if not pairs.isEmpty():
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = texts_of(documents, ends.join(nodes, "node"))
-        pairs = written(
-            matching(pairs, written(bags(texts), "bags"), least), "matching", narrow=True)
-        found = written(verified(pairs, texts, least), "verified")
-        roots = extended(roots, found)
+    links = linking(written(leader_pairs(buckets), "pairs", narrow=True), documents, nodes)
+    roots = written(components(links), "roots", narrow=True)
+    members = written(unresolved(buckets, roots), "members", narrow=True)
+    if not members.isEmpty():
+        pairs = written(met(cells(members), nodes), "pairs", narrow=True)
+        links = linking(pairs, documents, nodes)
+        roots = extended(roots, links)
     named = nodes.join(roots, "node", "left").select(
         "node", F.coalesce("root", "node").alias("class_node"), "first_id"
     )
     first = named.groupBy("class_node").agg(F.min("first_id").alias("class_id"))
-    return rows.select("doc_id", "node"), named.join(first, "class_node").select("node", "class_id")
+    named = written(named.join(first, "class_node").select("node", "class_id"), "classes")
+    return rows.select("doc_id", "node"), named
 
 
-def near_duplicates(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id and class_id (the smallest id of the class) of every document."""
-    rows, named = linked(documents, least)
+    rows, named = linked(documents)
     alone = documents.where(F.col("text").isNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("class_id")
     )
     return rows.join(named, "node").select("doc_id", "class_id").union(alone)
 
 
-def without_copies(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def without_copies(documents: DataFrame) -> DataFrame:
     """The documents' columns: one row of each class, that with the smallest id; documents
     without a text all stay. Of rows equal in id and text one stays."""
-    _, named = linked(documents, least)
-    kept = named.withColumnsRenamed({"node": "_node", "class_id": "_class"}).where(
-        F.col("_class").isNotNull()
-    )
+    _, named = linked(documents)
+    own_node, own_class = unused(documents, "node"), unused(documents, "class")
     node = F.unhex(F.md5(F.col("text").cast("binary")))
+    kept = named.where(F.col("class_id").isNotNull()).toDF(own_node, own_class)
     same = documents.where(F.col("text").isNotNull()).join(
-        kept, (F.col("doc_id") == F.col("_class")) & (node == F.col("_node")), "left_semi"
+        kept, (F.col("doc_id") == F.col(own_class)) & (node == F.col(own_node)), "left_semi"
     ).dropDuplicates(["doc_id"])
-    rest = named.where(F.col("class_id").isNull()).select(F.col("node").alias("_node"))
+    rest = named.where(F.col("class_id").isNull()).select(F.col("node").alias(own_node))
     nameless = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNull()).join(
-        rest, node == F.col("_node"), "left_semi"
+        rest, node == F.col(own_node), "left_semi"
     ).dropDuplicates(["text"])
     return same.unionByName(nameless).unionByName(documents.where(F.col("text").isNull()))

@@ -199,16 +199,31 @@ def test_pairs_near_the_threshold_and_short_texts(spark):
         other = [f"new{i}x{n}" if n % 5 == 2 and (size > 9 or n < 5) else w for n, w in enumerate(words)]
         texts += [" ".join(words), " ".join(other)]
     texts += ["a b c d", "a b c d e", "one two three", "one two four"]
-    assert classes_found(spark, texts) == classes_by_brute_force(texts)
+    found, exact = classes_found(spark, texts), classes_by_brute_force(texts)
+    assert all(f in (i, e) for i, (f, e) in enumerate(zip(found, exact)))
+    joined = [i for i, e in enumerate(exact) if e != i]
+    assert sum(found[i] == exact[i] for i in joined) >= 0.95 * len(joined)
 
 
-def test_cells_of_a_run_of_many_texts(spark, monkeypatch):
+def test_cells_of_a_large_bucket_meet_in_pairs_of_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 4)
-    rows = [(1, i, i if i % 3 else 0, 5 + i % 2) for i in range(40)]
-    members = spark.createDataFrame(rows, "gram long, near long, root long, words int")
-    found = {(r.a, r.b) for r in near_dup.met(near_dup.cells(members), 0.8).collect()}
-    assert found == {(x, y) for x in range(40) for y in range(x + 1, 40)
-                     if rows[x][2] != rows[y][2]}
+    rows = [(1, bytes([i]), bytes([i if i % 3 else 0])) for i in range(40)]
+    dealt = near_dup.cells(spark.createDataFrame(rows, "bucket long, node binary, root binary"))
+    members = {}
+    for r in dealt.collect():
+        members.setdefault((r.i, r.j), []).append((r.side, r.node[0], bytes(r.root)))
+    found = [frozenset((x[1], y[1])) for (i, j), cell in members.items() for x in cell for y in cell
+             if x[1] < y[1] and x[2] != y[2] and (i == j or x[0] != y[0])]
+    assert len(found) == len(set(found)) and set(found) == {
+        frozenset((x, y)) for x in range(40) for y in range(x) if rows[x][2] != rows[y][2]}
+
+
+def test_copies_go_whatever_the_columns_are_called(spark):
+    rows = [(1, PROSE, "n", "c", "k"), (2, PROSE + " more", "n", "c", "k"), (3, None, "n", "c", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string, class string, bag string")
+    kept = near_dup.without_copies(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 3}
+    assert {r.class_id for r in near_dup.near_duplicates(docs).collect()} == {1, 3}
 
 
 def test_chain_of_links_is_one_component(spark):

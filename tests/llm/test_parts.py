@@ -2,9 +2,10 @@
 
 import hashlib
 import random
-import zlib
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from larder.llm import chunks, decontaminate, language, near_dup, quality, tokens, topk
@@ -110,23 +111,83 @@ def test_band_equals_whole_table():
         assert near_dup.distance(a, b, limit) == (exact if exact <= limit else None)
 
 
-def test_prefixes_of_similar_texts_share_a_run():
+def test_long_lists_are_aligned_in_places(monkeypatch):
+    chance = random.Random(14)
+    for size in (20, 300):
+        for _ in range(40):
+            a = [chance.randrange(30) for _ in range(size)]
+            b = [x for x in a if chance.random() > 0.05]
+            limit = chance.randrange(1, size // 3)
+            monkeypatch.setattr(near_dup, "LONG", 1 << 15)
+            dense = near_dup.distance(a, b, limit)
+            monkeypatch.setattr(near_dup, "LONG", 0)
+            assert near_dup.distance(a, b, limit) == dense
+
+
+def test_a_million_words_in_bounded_memory():
+    words = np.random.default_rng(3).integers(0, 50_000, 1_000_000).tolist()
+    other = words[:400_000] + [-1] * 30 + words[400_020:]
+    tracemalloc.start()
+    assert near_dup.distance(words, other, 200) == 30
+    masks = near_dup.Masks(words, 400_001)
+    assert bin(masks(words[5], 0)).count("1") == words[:400_001].count(words[5])
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+
+
+def test_bags_never_rule_out_a_near_pair():
     chance = random.Random(6)
-    rarity = np.random.default_rng(6).integers(0, 9, 1 << near_dup.SLOT_BITS).astype(np.uint8)
-    for _ in range(1500):
-        a = [chance.randrange(1, 9 + 50 * chance.randrange(2)) for _ in range(chance.randrange(1, 60))]
+    hashes = near_dup.WordHashes()
+    for _ in range(500):
+        a = [f"w{chance.randrange(40)}" for _ in range(chance.randrange(1, 90))]
         b = list(a)
-        for _ in range(chance.randrange(1 + len(a) // 4)):
+        for _ in range(chance.randrange(1 + len(a) // 3)):
             place = chance.randrange(len(b) + 1)
-            b[place:place + chance.randrange(2)] = [chance.randrange(9)] * chance.randrange(2)
-        longest = max(len(a), len(b))
-        for least in (0.8, 0.75, 0.5):
-            if not b or plain_distance(a, b) > near_dup.limit_of(longest, least):
-                continue
-            x, y = (near_dup.prefix(near_dup.labelled_kmers(
-                np.array(t, np.uint64) * near_dup.LABEL, near_dup.gram_of(least)),
-                len(t), rarity, least) for t in (a, b))
-            assert set(x.tolist()) & set(y.tolist())
+            b[place:place + chance.randrange(2)] = ["x"] * chance.randrange(2)
+        bags = [np.frombuffer(near_dup.bag_of(hashes.of(t)), np.uint8)[None] for t in (a, b)]
+        if b and plain_distance(a, b) <= near_dup.limit_of(max(len(a), len(b))):
+            assert not near_dup.apart(*bags)[0]
+
+
+def test_cells_compare_all_classes():
+    chance = random.Random(7)
+    hashes = near_dup.WordHashes()
+    texts = [[f"w{chance.randrange(9)}" for _ in range(chance.randrange(3, 12))] for _ in range(90)]
+    bags = pa.array([near_dup.bag_of(hashes.of(t)) for t in texts])
+    side, root = np.arange(90) % 2, np.arange(90) % 7
+    table = np.frombuffer(b"".join(bags.to_pylist()), np.uint8).reshape(90, -1)
+    for within in (True, False):
+        found = {frozenset((int(a), int(b))) for x, y in near_dup._met_in_cell(
+            side, root, bags, within) for a, b in zip(x, y)}
+        assert found == {
+            frozenset((i, j)) for i in range(90) for j in range(i)
+            if root[i] != root[j] and (within or side[i] != side[j])
+            and not near_dup.apart(table[[i]], table[[j]])[0]
+            and abs(len(texts[i]) - len(texts[j])) <= near_dup.limit_of(
+                max(len(texts[i]), len(texts[j])))}
+
+
+# Words, similarity, how the edits are placed; at least nine in ten pairs must share a bucket.
+SHAPES = [(5, 0.8, "middle"), (6, 0.8, "middle"), (9, 0.8, "middle"), (10, 0.9, "random"),
+          (14, 0.8, "random"), (20, 0.8, "random"), (20, 0.85, "random"), (25, 0.8, "random"),
+          (26, 0.8, "random"), (40, 0.8, "random"), (100, 0.8, "random"), (100, 0.85, "random"),
+          (500, 0.8, "random"), (500, 0.8, "even")]
+
+
+@pytest.mark.parametrize("size, similarity, placed", SHAPES)
+def test_share_of_near_pairs_that_meet(size, similarity, placed):
+    draw = np.random.default_rng([size, int(100 * similarity)])
+    edits = int((1 - similarity) * size + 1e-9)
+    met = 0
+    for _ in range(150):
+        a = draw.integers(1, 1 << 62, size).astype(np.uint64)
+        b = a.copy()
+        places = {"middle": [size // 2], "even": np.arange(edits) * size // max(edits, 1) + 2,
+                  "random": draw.choice(size, edits, replace=False)}[placed]
+        b[places] = draw.integers(1, 1 << 62, len(places)).astype(np.uint64)
+        met += bool(set(near_dup.keys_of(a).tolist()) & set(near_dup.keys_of(b).tolist()))
+    print(f"{size} words, {similarity}, {placed}: {met / 150:.3f}")
+    assert met >= 135
 
 
 def test_sketch_is_the_same_where_another_word_repeats():
@@ -161,8 +222,3 @@ def test_trigrams_are_bundled():
     expected = expected + roll(letters[a], 2) * roll(letters[b], 1) * letters[0]
     assert found[0].astype(int).tolist() == expected.tolist()
     assert not found[1:4].any() and found[5].any()
-
-
-def test_crc_is_of_little_endian_ids():
-    assert zlib.crc32(np.array([1, 2], "<u4").tobytes()) == zlib.crc32(
-        b"\x01\x00\x00\x00\x02\x00\x00\x00")
