@@ -50,7 +50,8 @@ SHORT_SKETCHES = 16
 SIMILARITY = 0.8
 BLOCK = 512
 MET_AT_ONCE = 1 << 18
-BAG = 256
+BAG = 1024
+FOLDED = 256  # slots of the bag that every pair of a cell is held against first
 BAGS_AT_ONCE = 1 << 12
 SEED = 8
 REMEMBERED_WORDS = 200_000
@@ -261,50 +262,60 @@ def bag_of(words: np.ndarray) -> bytes:
 
 
 def sketched(documents: DataFrame) -> DataFrame:
-    """doc_id, node (a digest of the text), bucket keys and bag of every document with a text."""
+    """doc_id, node (a digest of the text), bucket keys, bag and words of every document with a
+    text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                nodes, keys, bags = [], [], []
+                nodes, keys, bags, sizes = [], [], [], []
                 for text in batch.column(1).to_pylist():
                     words = known.of(text.lower().split())
                     nodes.append(hashlib.md5(text.encode()).digest())
                     keys.append(keys_of(words).view(np.int64) if len(words) else [])
                     bags.append(bag_of(words))
+                    sizes.append(len(words))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(nodes, pa.binary()),
-                     pa.array(keys, pa.list_(pa.int64())), pa.array(bags, pa.binary())],
-                    ["doc_id", "node", "keys", "bag"],
+                     pa.array(keys, pa.list_(pa.int64())), pa.array(bags, pa.binary()),
+                     pa.array(sizes, pa.int32())],
+                    ["doc_id", "node", "keys", "bag", "words"],
                 )
 
     return documents.where(F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), "text"
-    ).mapInArrow(run, "doc_id long, node binary, keys array<bigint>, bag binary")
+    ).mapInArrow(run, "doc_id long, node binary, keys array<bigint>, bag binary, words int")
 
 
 def leader_pairs(buckets: DataFrame) -> DataFrame:
     """Each text of a bucket with the bucket's first text in a random order of all texts:
-    (a, b), a < b, each once."""
-    placed = F.struct(F.xxhash64("node", F.lit(SEED)).alias("place"), "node")
+    (a, b), a < b, each once, where their lengths allow it."""
+    placed = F.struct(F.xxhash64("node", F.lit(SEED)).alias("place"), "node", "words")
     leaders = buckets.groupBy("bucket").agg(F.min(placed).alias("first"))
-    first = F.col("first.node")
+    first, words = F.col("first.node"), F.col("first.words")
+    longest = F.greatest("words", words)
+    like = longest - F.least("words", words) <= F.lit(1 - SIMILARITY) * longest + 1e-9
     return (
-        buckets.join(leaders, "bucket").where(F.col("node") != first)
+        buckets.join(leaders, "bucket").where((F.col("node") != first) & like)
         .select(F.least("node", first).alias("a"), F.greatest("node", first).alias("b"))
         .distinct()
     )
 
 
-def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Bags of two lists of texts, a row each -> whether they differ in more words than allowed."""
-    longest = np.maximum(*(b[:, BAG:].copy().view("<u4")[:, 0] for b in (x, y)))
-    more = x[:, :BAG].astype(np.int16) - y[:, :BAG]
+def bags_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by slot and words, a row per text."""
+    table = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BAG + 4)
+    return table[:, :BAG], table[:, BAG:].copy().view("<u4")[:, 0].astype(np.int64)
+
+
+def apart(x: np.ndarray, y: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """Slot counts of two lists of texts -> whether they differ in more words than allowed."""
+    more = x.astype(np.int16) - y
     over = np.maximum(more, 0).sum(1, dtype=np.int32)
     under = over - more.sum(1, dtype=np.int32)
-    return np.maximum(over, under) > limits_of(longest)
+    return np.maximum(over, under) > limits
 
 
 def matching(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -314,9 +325,9 @@ def matching(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, BAGS_AT_ONCE):
                 batch = whole.slice(at, BAGS_AT_ONCE)
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(
-                    -1, BAG + 4) for c in (2, 3))
-                yield batch.select([0, 1]).filter(pa.array(~apart(x, y)))
+                (x, m), (y, n) = (bags_of(batch.column(c)) for c in (2, 3))
+                far = apart(x, y, limits_of(np.maximum(m, n)))
+                yield batch.select([0, 1]).filter(pa.array(~far))
 
     left, right = (nodes.select(F.col("node").alias(c), F.col("bag").alias(f"bag_{c}"))
                    for c in "ab")
@@ -347,11 +358,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def linking(pairs: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The near ones of ``pairs``: bags first, then the texts of those that are left."""
-    pairs = written(matching(pairs, nodes), "matching", narrow=True)
+    """The near ones of ``pairs``, whose bags match."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = texts_of(documents, ends.join(nodes.select("node", "first_id"), "node"))
-    return written(verified(pairs, texts), "links", narrow=True)
+    return written(verified(pairs, texts), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -401,17 +411,18 @@ def extended(roots: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def crowded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct texts (node, first_id, bag), and (node, bucket) of buckets of several texts."""
+    """Distinct texts (node, first_id, bag), and (node, words, bucket) of buckets of several."""
     nodes = written(
         rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"),
-                                 F.first("bag").alias("bag")),
+                                 F.first("bag").alias("bag"), F.first("words").alias("words")),
         "nodes",
     )
-    every = nodes.select("node", F.explode("keys").alias("bucket"))
+    every = nodes.select("node", "words", F.explode("keys").alias("bucket"))
     short = F.xxhash64("node")
     several = every.groupBy("bucket").agg(F.min(short).alias("low"), F.max(short).alias("high"))
     several = several.where(F.col("low") != F.col("high")).select("bucket")
-    return nodes.drop("keys"), written(every.join(several, "bucket", "left_semi"), "buckets")
+    buckets = written(every.join(several, "bucket", "left_semi"), "buckets")
+    return nodes.select("node", "first_id", "bag"), buckets
 
 
 def texts_of(documents: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -488,14 +499,13 @@ def met(dealt: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _met_in_cell(side: np.ndarray, root: np.ndarray, bags: pa.Array, within: bool
                  ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    table = np.frombuffer(b"".join(bags.to_pylist()), np.uint8).reshape(-1, BAG + 4)
-    words = table[:, BAG:].copy().view("<u4")[:, 0].astype(np.int64)
+    table, words = bags_of(bags)
+    folded = table.reshape(len(table), -1, FOLDED).sum(1, dtype=np.int16)
     order = np.argsort(words, kind="stable")  # near texts are of like length
-    sorted_words = words[order]
     limits = limits_of(words)
     n = len(order)
     # The longest text that may be near a text of so many words.
-    reach = np.searchsorted(sorted_words - limits[order], sorted_words, "right")
+    reach = np.searchsorted((words - limits)[order], words[order], "right")
     at = 0
     while at < n:
         end = at + 1
@@ -506,14 +516,16 @@ def _met_in_cell(side: np.ndarray, root: np.ndarray, bags: pa.Array, within: boo
         partners = np.maximum(reach[at:end] - np.arange(at, end) - 1, 0)
         x = np.repeat(np.arange(at, end), partners)
         y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(partners) - partners, partners)
-        x, y, at = order[x], order[y], end
+        x, y, at = order[x], order[y], end  # y is the longer
         fits = root[x] != root[y]
         if not within:
             fits &= side[x] != side[y]
         x, y = x[fits], y[fits]
         for part in range(0, len(x), BAGS_AT_ONCE):
             u, v = x[part:part + BAGS_AT_ONCE], y[part:part + BAGS_AT_ONCE]
-            near = ~apart(table[u], table[v])
+            near = ~apart(folded[u], folded[v], limits[v])
+            u, v = u[near], v[near]
+            near = ~apart(table[u], table[v], limits[v])
             if near.any():
                 yield u[near], v[near]
 
@@ -523,12 +535,12 @@ def linked(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     importable(documents.sparkSession)
     rows = written(sketched(documents), "sketches")
     nodes, buckets = crowded(rows)
-    links = linking(written(leader_pairs(buckets), "pairs", narrow=True), documents, nodes)
+    pairs = written(leader_pairs(buckets), "pairs", narrow=True)
+    links = linking(written(matching(pairs, nodes), "pairs"), documents, nodes)
     roots = written(components(links), "roots", narrow=True)
     members = written(unresolved(buckets, roots), "members", narrow=True)
     if not members.isEmpty():
-        pairs = written(met(cells(members), nodes), "pairs", narrow=True)
-        links = linking(pairs, documents, nodes)
+        links = linking(written(met(cells(members), nodes), "pairs"), documents, nodes)
         roots = extended(roots, links)
     named = nodes.join(roots, "node", "left").select(
         "node", F.coalesce("root", "node").alias("class_node"), "first_id"

@@ -144,9 +144,10 @@ def test_bags_never_rule_out_a_near_pair():
         for _ in range(chance.randrange(1 + len(a) // 3)):
             place = chance.randrange(len(b) + 1)
             b[place:place + chance.randrange(2)] = ["x"] * chance.randrange(2)
-        bags = [np.frombuffer(near_dup.bag_of(hashes.of(t)), np.uint8)[None] for t in (a, b)]
-        if b and plain_distance(a, b) <= near_dup.limit_of(max(len(a), len(b))):
-            assert not near_dup.apart(*bags)[0]
+        limit = near_dup.limit_of(max(len(a), len(b)))
+        if b and plain_distance(a, b) <= limit:
+            x, _ = near_dup.bags_of(pa.array([near_dup.bag_of(hashes.of(t)) for t in (a, b)]))
+            assert not near_dup.apart(x[:1], x[1:], np.array([limit]))[0]
 
 
 def test_cells_compare_all_classes():
@@ -155,16 +156,15 @@ def test_cells_compare_all_classes():
     texts = [[f"w{chance.randrange(9)}" for _ in range(chance.randrange(3, 12))] for _ in range(90)]
     bags = pa.array([near_dup.bag_of(hashes.of(t)) for t in texts])
     side, root = np.arange(90) % 2, np.arange(90) % 7
-    table = np.frombuffer(b"".join(bags.to_pylist()), np.uint8).reshape(90, -1)
+    table, words = near_dup.bags_of(bags)
+    limits = near_dup.limits_of(words)
     for within in (True, False):
         found = {frozenset((int(a), int(b))) for x, y in near_dup._met_in_cell(
             side, root, bags, within) for a, b in zip(x, y)}
         assert found == {
             frozenset((i, j)) for i in range(90) for j in range(i)
             if root[i] != root[j] and (within or side[i] != side[j])
-            and not near_dup.apart(table[[i]], table[[j]])[0]
-            and abs(len(texts[i]) - len(texts[j])) <= near_dup.limit_of(
-                max(len(texts[i]), len(texts[j])))}
+            and not near_dup.apart(table[[i]], table[[j]], np.maximum(limits[[i]], limits[[j]]))[0]}
 
 
 # Words, similarity, how the edits are placed; at least nine in ten pairs must share a bucket.
