@@ -12,11 +12,12 @@ position of a document in the whole corpus is its place in its pack, plus the pa
 A text is encoded in pieces: before each single space that stands between other characters,
 and inside a piece new to the worker, between a letter and a mark or a line end. The
 vocabulary's own splitting always starts a new token there, so the ids equal those of the
-whole text; a worker remembers the ids of up to ``REMEMBERED`` pieces from task to task.
+whole text; a worker remembers pieces from task to task, in two generations of ``REMEMBERED``.
 
 Defined cases: a missing text is an empty one, a single ``END``. Rows of equal or missing ids
-are all kept, missing ids first, equal ids in the order of their texts. Special tokens spelt
-out in a text are ordinary text. Other columns are passed over.
+are all kept, missing ids first, equal ids in the order of their texts' hashes and texts. Special
+tokens spelt out in a text are ordinary text. An empty table gives no rows. A text is one value
+and in one pack, however long. Other columns are passed over.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from larder.llm.common import importable, new_folder
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 PACK_IDS = 1 << 18
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 # A single space between characters that are not white space.
 BETWEEN = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 # Inside a piece: a letter before a mark or line end, and around a line end alone.
@@ -99,15 +100,26 @@ SPELLING = {b: chr(256 + i) for i, b in enumerate(_OTHERS)}
 
 
 class Remembered(dict):
-    """Keys -> what ``find`` gives for them, found once."""
+    """Keys -> what ``find`` gives for them, in two generations: what is used of the old one is
+    young again, so frequent keys stay and rare ones go."""
 
     def __init__(self, find):
         self.find = find
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
-        self[key] = found = self.find(key)
+        found = self.old.get(key)
+        if found is None:
+            found = self.find(key)
+        self[key] = found
         return found
 
+    def age(self, most: int) -> None:
+        """Once more than ``most`` keys are young, they are the old ones."""
+        if len(self) > most:
+            self.old = dict(self)
+            self.clear()
+
 
 class Encoder:
     """Texts -> ids as little-endian unsigned 32-bit integers."""
@@ -125,15 +137,17 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         for remembered in (self.known, self.parts):
-            if len(remembered) > REMEMBERED:
-                remembered.clear()
+            remembered.age(REMEMBERED)
         first, *rest = text.split(" ") if self._plain(text) else BETWEEN.split(text)
         return self._piece(first) + b"".join(map(self.known.__getitem__, rest))
 
     def _after_space(self, piece: str) -> bytes:
         """The ids of a space and ``piece``."""
-        if piece.isascii() and piece.isalpha():
-            return self._letters(SPELLING[32] + piece)
+        if piece.isascii():
+            if piece.isalpha():
+                return self._letters(SPELLING[32] + piece)
+            if piece[-1:] in (".", ",") and piece[:-1].isalpha():
+                return self.known[piece[:-1]] + self.parts[piece[-1]]
         first, *rest = INSIDE.split(" " + piece)
         if not rest:
             return self._part(first)
@@ -218,8 +232,10 @@ def write_packs(documents: DataFrame, folder: str, path: str | None = None) -> N
             yield pack()
 
     (
+        # Rows of one id, or of none, may be very many: the text's hash deals them out too.
         documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+        .withColumn("hash", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "hash")
+        .sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
         .mapInArrow(encode, PACKS).write.parquet(folder)
     )
 

@@ -128,6 +128,12 @@ def test_token_files(spark, docs, empty, tmp_path):
         whole = encoder.tokenizer.encode(text, add_special_tokens=False).ids + [tokens.END]
         assert [x.tolist() for x in tokens.ids_of(spark, folder, i)] == [whole]
     assert len(tokens.ids_of(spark, folder, 5)) == 2
+    expected, start = [], 0
+    for i, text in sorted(((d[0], d[1] or "") for d in ODD), key=lambda d: -1 if d[0] is None else d[0]):
+        whole = encoder.tokenizer.encode(text, add_special_tokens=False).ids + [tokens.END]
+        expected.append((i, start, len(whole), zlib.crc32(np.array(whole, "<u4").tobytes())))
+        start += len(whole)
+    assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows] == expected
     assert tokens.binary_output(empty).count() == 0
 
 

@@ -53,14 +53,15 @@ def test_bits_round_trip(width, size):
         size // 3:size // 2].tolist()
 
 
-def test_pieces_encode_like_whole_texts():
+def test_pieces_encode_like_whole_texts(monkeypatch):
     encoder = tokens.Encoder(tokens.vocabulary_path())
     texts = [
         "", " ", "  a  b ", "a \n b", "a\n\nb", "don't, I'll\nGo. he's", "x.\n\ny z", "é.\nÉa,b",
         "tab\tq  \n", "<|endoftext|> hi", "a\r\nb c\x85d e\x1cf g", "12,3 45.6\n7a", "ab\n,c",
         "q|\nr|s |t", "\U0001f600 z!!\nA", "word " * 1000,
     ]
-    for text in texts:
+    monkeypatch.setattr(tokens, "REMEMBERED", 7)
+    for text in texts * 2:
         whole = encoder.tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(encoder(text), "<u4").tolist() == whole
 
