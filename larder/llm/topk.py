@@ -8,13 +8,16 @@ is negative, plus a constant of the query. Carry-save adders over whole bitmaps
 the slices of the scores. The k best rows are chosen from the most significant score slice
 downward; rows that tie at the boundary are resolved exactly, by smaller id.
 
-Blocks hold ``BLOCK_ROWS`` rows on average, query chunks at most about ``CHUNK_QUERIES``; each
-(chunk, block) cell is one task's unit, and only the k best of a cell leave it.
-
-Defined cases: vectors that are missing, or hold missing or non-finite components, or
-components of 2**20 and more, take no part; neither do rows without an id. Shorter vectors are
-filled with zeros. A row repeated with equal id and vector counts once; a row is never a
-neighbour of a query with its own id. Other columns are passed over.
+Blocks hold ``BLOCK_ROWS`` rows on average. A task builds the slices of one block and streams the
+queries past it, ``CHUNK_QUERIES`` at a time, so what moves is the queries to every block; where
+there are few blocks a block is built in several lanes, each with a part of the queries. Only the
+k best of a chunk and a block leave it.
+
+Defined cases: vectors that are missing, or hold missing or non-finite components, take no
+part; neither do rows without an id. A component whose floor(64 x) is beyond 62 bits, or vectors
+whose scores could leave 64 bits, raise an error. Shorter vectors are filled with zeros. A row
+repeated with equal id and quantised vector counts once; a row is never a neighbour of a query
+with its own id. An empty table gives no rows. Other columns are passed over.
 """
 
 from __future__ import annotations
@@ -24,13 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.llm.common import importable, written
 
 SCALE = 64
-LARGEST = 1 << 20
 BLOCK_ROWS = 1 << 16
 CHUNK_QUERIES = 512
 
@@ -39,14 +42,16 @@ def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     """(vec_id, v): the rows that take part, each once."""
 
     def whole(x: Column) -> Column:
-        return F.floor(F.lit(float(SCALE)) * x.cast("double"))
+        scaled = F.floor(F.lit(float(SCALE)) * x.cast("double"))
+        error = F.raise_error(F.lit("a component is too large to be scored")).cast("long")
+        return F.when(F.abs(x.cast("double")) < float((1 << 62) // SCALE), scaled).otherwise(error)
 
     fit = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x.cast("double"))
-                   & (F.abs(x.cast("double")) < LARGEST))
+                   & (F.abs(x.cast("double")) < float("inf")))
     return (
         vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding))
         .where(F.col("vec_id").isNotNull() & F.col(embedding).isNotNull() & fit)
-        .select("vec_id", F.transform(embedding, whole).cast("array<int>").alias("v"))
+        .select("vec_id", F.transform(embedding, whole).alias("v"))
         .distinct()
     )
 
@@ -170,19 +175,23 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     importable(spark)
     rows = written(quantised(vectors), "quantised")
     asked = F.col("vec_id") % every == 0
-    count, n_queries, width = rows.agg(
-        F.count("*"), F.count(F.when(asked, 1)), F.max(F.size("v"))
-    ).first()
+    size = F.aggregate(
+        "v", F.lit(0).cast("long"), lambda most, x: F.greatest(most, F.abs(x)))
+    count, n_queries, width, largest = rows.agg(
+        F.count("*"), F.count(F.when(asked, 1)), F.max(F.size("v")), F.max(size)).first()
+    width, largest = width or 0, largest or 0
+    if width * largest * largest >= 1 << 62:
+        raise OverflowError("scores of these vectors could leave 64 bits")
+    kind = np.int32 if largest < 1 << 31 else np.int64
     blocks = max(1, math.ceil(count / BLOCK_ROWS))
-    parts = max(1, math.ceil(n_queries / CHUNK_QUERIES))
-    width = width or 0
+    chunks = max(1, math.ceil(n_queries / CHUNK_QUERIES))
+    lanes = min(chunks, max(1, math.ceil(2 * spark.sparkContext.defaultParallelism / blocks)))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id", kind="stable")
-        values = matrix(group["v"], width)
         return pd.DataFrame({
             "place": [group["place"].iloc[0]], "ids": [group["vec_id"].to_numpy().tobytes()],
-            "cells": [values.astype(np.int32).tobytes()],
+            "cells": [matrix(group["v"], width).astype(kind).tobytes()],
         })
 
     def packed(part: DataFrame, seed: int, n: int) -> DataFrame:
@@ -191,35 +200,39 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
             pack, "place int, ids binary, cells binary"
         )
 
-    def unpack(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.frombuffer(frame["ids"].iloc[0], np.int64)
-        cells = np.frombuffer(frame["cells"].iloc[0], np.int32).astype(np.int64)
-        return ids, cells.reshape(len(ids), width)
-
-    def search(candidates: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(candidates) and len(chunk) and width:
-            ids, values = unpack(candidates)
-            query_ids, queries = unpack(chunk)
-            found = search_block(queries, query_ids, ids, build_index(values), k)
-            for number, (own, (near, scores)) in enumerate(zip(query_ids, found)):
-                key = (int(chunk["place"].iloc[0]) << 32) + number
-                out.append(pd.DataFrame({"query_id": own, "key": key, "vec_id": near,
-                                         "score": scores}))
-        if not out:
-            return pd.DataFrame({c: pd.Series(dtype="int64")
-                                 for c in ("query_id", "key", "vec_id", "score")})
-        return pd.concat(out)
-
-    cell = ["block", "chunk"]
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = ids = None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                chunk, own, cells = (batch.column(i)[row].as_py() for i in (2, 3, 4))
+                query_ids = np.frombuffer(own, np.int64)
+                queries = np.frombuffer(cells, kind).astype(np.int64).reshape(len(query_ids), width)
+                if chunk < 0:  # the rows of a block come first
+                    ids, index = query_ids, build_index(queries) if width else None
+                elif index is not None:
+                    found = list(search_block(queries, query_ids, ids, index, k))
+                    sizes = [len(near) for near, _ in found]
+                    numbers = (chunk << 32) + np.arange(len(sizes))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x) for x in (
+                            np.repeat(query_ids, sizes), np.repeat(numbers, sizes),
+                            np.concatenate([near for near, _ in found]),
+                            np.concatenate([scores for _, scores in found]))],
+                        ["query_id", "key", "vec_id", "score"])
+
+    def every_one(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
     index = packed(rows, 1, blocks).select(
-        F.col("place").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-        .alias("chunk"), "place", "ids", "cells")
-    queries = packed(rows.where(asked), 2, parts).select(
-        F.col("place").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        .alias("block"), "place", "ids", "cells")
-    found = index.groupBy(*cell).cogroup(queries.groupBy(*cell)).applyInPandas(
-        search, "query_id long, key long, vec_id long, score long"
+        F.col("place").alias("block"), every_one(lanes).alias("lane"), F.lit(-1).alias("chunk"),
+        "ids", "cells")
+    queries = written(packed(rows.where(asked), 2, chunks), "queries").select(
+        every_one(blocks).alias("block"), (F.col("place") % lanes).alias("lane"),
+        F.col("place").alias("chunk"), "ids", "cells")
+    found = (
+        index.union(queries).repartition("block", "lane")
+        .sortWithinPartitions("block", "lane", "chunk")
+        .mapInArrow(search, "query_id long, key long, vec_id long, score long")
     )
     best = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
