@@ -7,11 +7,12 @@ so target = min(LIMIT * size, level * weight); the level follows from the source
 in which they fill up.
 
 A source's rate is target over size. Each document is emitted floor(rate) times, and once more
-if a draw from the hash of its id is below the fraction.
+if a draw from the hash of its id and text is below the fraction.
 
-Defined cases: a missing text has no words; a source without words has target 0 and rate 0. A
-missing id draws like any other, rows of equal id draw alike. Columns of the names this adds
-are replaced.
+Defined cases: a missing text has no words; a source without words has target 0 and rate 0.
+Documents without an id are drawn by their texts; rows of equal id and text draw alike, as nothing
+tells them apart. Texts of any length are counted whole. An empty table gives no rows. ``mix``
+keeps every column, whatever its name.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import written
+from larder.llm.common import unused, written
 
 LIMIT = 3
 WEIGHTS = 3
@@ -31,10 +32,11 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column) -> Column:
-    """A number in [0, 1) that the id alone decides."""
-    digest = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
-                   .cast("binary"))
+def draw(doc_id: Column, text: Column) -> Column:
+    """A number in [0, 1) that id and text decide."""
+    digest = F.md5(F.concat(
+        F.lit(f"{SEED}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"),
+        F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
@@ -64,32 +66,33 @@ def rates(sized: DataFrame) -> DataFrame:
     )
 
 
-def copies(rate: Column, doc_id: Column) -> Column:
+def copies(rate: Column, drawn: Column) -> Column:
     whole = F.floor(rate)
-    return (whole + (draw(doc_id) < rate - whole).cast("int")).cast("long")
+    return (whole + (drawn < rate - whole).cast("int")).cast("long")
 
 
 def with_rates(documents: DataFrame, shares: DataFrame) -> DataFrame:
-    named = shares.withColumnRenamed("source", "_source")
-    return documents.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    """``documents`` with the other columns of ``shares``, one row per source."""
+    source = unused(documents, "own_source")
+    named = shares.withColumnRenamed("source", source)
+    return documents.join(named, F.col("source").eqNullSafe(F.col(source))).drop(source)
 
 
 def report(documents: DataFrame) -> DataFrame:
     """doc_id, size, its source's size and target, and the words the mix takes of it."""
-    sized = written(
-        documents.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes"
-    )
+    sized = written(documents.select(
+        "doc_id", "source", words(F.col("text")).alias("size"),
+        draw(F.col("doc_id"), F.col("text")).alias("drawn")), "sizes")
     return with_rates(sized, rates(sized)).select(
         "doc_id", "size", "source_size", "target",
-        (F.col("size") * copies(F.col("rate"), F.col("doc_id"))).alias("taken"),
+        (F.col("size") * copies(F.col("rate"), F.col("drawn"))).alias("taken"),
     )
 
 
 def mix(documents: DataFrame) -> DataFrame:
     """The documents' columns, each document as often as the mix takes it."""
     shares = rates(documents.select("source", words(F.col("text")).alias("size")))
-    names = documents.columns
-    return with_rates(documents, shares.select("source", F.col("rate").alias("_rate"))).select(
-        *names, F.explode(F.array_repeat(F.lit(1), copies(F.col("_rate"), F.col("doc_id"))
-                                         .cast("int"))).alias("_copy")
-    ).drop("_copy")
+    rate, copy = unused(documents, "own_rate"), unused(documents, "own_copy")
+    times = copies(F.col(rate), draw(F.col("doc_id"), F.col("text"))).cast("int")
+    return with_rates(documents, shares.select("source", F.col("rate").alias(rate))).select(
+        *documents.columns, F.explode(F.array_repeat(F.lit(1), times)).alias(copy)).drop(copy)

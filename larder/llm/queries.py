@@ -128,8 +128,9 @@ DECONTAMINATE = r"""
 
 MIX = r"""
     WITH sized AS (
-        SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)
-            ::BIGINT AS size FROM documents),
+        SELECT doc_id, source, md5(coalesce(text, '')) AS digest,
+               coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+        FROM documents),
     sources AS (
         SELECT source, sum(size)::BIGINT AS source_size,
                ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS weight
@@ -154,7 +155,7 @@ MIX = r"""
                        ELSE 0 END AS rate FROM targets)
     SELECT doc_id, size, source_size, target,
            (size * (floor(rate) + CASE WHEN ('0x' || substr(md5('mix:' ||
-               coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE
+               coalesce(doc_id::VARCHAR, '') || ':' || digest), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE
                < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
     FROM sized JOIN rated ON sized.source IS NOT DISTINCT FROM rated.source"""
 
