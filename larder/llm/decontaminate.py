@@ -7,17 +7,19 @@ hit words out of a text and drops texts of which more than ``COVERAGE`` is hit.
 
 Words are runs of ``[0-9a-z]`` and characters above U+007F after lower-casing A-Z.
 
-Items enter automata of at most ``AUTOMATON_WORDS`` words (or one item); each is broadcast and
-applied in turn, so a larger benchmark means more passes over the words, not more memory.
+Items enter automata of about ``AUTOMATON_WORDS`` words, dealt by hash. Each is broadcast and
+applied in a pass of its own, whose result is stored before the next, so a larger benchmark means
+more passes over the words, not more memory, and the driver holds one group of items at a time.
 
 Defined cases: missing, empty or wordless texts have no words, no hits and, as items, no
 windows. An item without an id makes hits but is not listed. Repeated items are listed once.
-Missing or repeated document ids are kept row by row. Extra columns named like a result are
-replaced.
+Missing or repeated document ids are kept row by row. Empty tables give no rows, or no hits. Texts
+of any length are streamed whole. Extra columns named like a result are replaced.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections.abc import Callable, Iterator
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from larder.llm.common import importable
+from larder.llm.common import importable, written
 
 WINDOW = 10
 COVERAGE = 0.5
@@ -140,7 +142,7 @@ class Automaton:
             state = target
             size += 1
             if size >= window:
-                hit[i + 1 - size:i + 1] = True
+                hit[i + 1 - window:i + 1] = True  # what is before was marked by earlier words
                 found |= self.items[self._shortest(state, window)]
             if whole and state in whole:
                 for n, item in whole[state]:
@@ -152,18 +154,20 @@ class Automaton:
 
 
 def _automata(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
-    """Items in groups of at most ``limit`` words, read a few at a time."""
-    group, room = [], limit
-    for row in benchmark.select(
-        F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")
-    ).dropDuplicates().toLocalIterator():
-        words = words_of(bytes(row.text) if row.text is not None else None)
-        if group and len(words) > room:
-            yield group
-            group, room = [], limit
-        group.append((row.item, words))
-        room -= len(words)
-    yield group
+    """Items in groups of about ``limit`` words, dealt by hash."""
+    items = benchmark.select(
+        F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
+    # A word has a byte at least, and one between it and the next.
+    most = items.agg(F.coalesce(F.sum((F.length("text") + 1) / 2), F.lit(0.0))).first()[0]
+    groups = max(1, math.ceil(most / (4 * limit)))
+    if groups > 1:
+        items = written(items.dropDuplicates(), "items")
+    else:
+        items = items.dropDuplicates()
+    for group in range(groups):
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == group)
+        yield [(row.item, words_of(bytes(row.text) if row.text is not None else None))
+               for row in part.collect()]
 
 
 def matches(
@@ -212,9 +216,14 @@ def matches(
                 yield after(done) if after else done
         return run
 
-    *groups, last = map(spark.sparkContext.broadcast, _automata(benchmark, limit))
-    for group in groups:
-        out = out.mapInArrow(passed(group, None), schema)
+    groups = _automata(benchmark, limit)
+    group = next(groups)
+    for following in groups:
+        shared = spark.sparkContext.broadcast(group)
+        out = written(out.mapInArrow(passed(shared, None), schema), "matches")
+        shared.destroy()
+        group = following
+    last = spark.sparkContext.broadcast(group)
     return out.mapInArrow(passed(last, finish), finished if finish else schema)
 
 
