@@ -13,7 +13,8 @@ Learned from ``TRAINING_ROWS`` texts per language, those with the smallest hash
 
 Defined cases: a text that is missing or has no letter gets ``und`` with score 0; so does
 every text when there is nothing to learn from. Rows without a language, a text or a letter
-are not learned from. Ids may be missing or repeated: each row is predicted on its own.
+are not learned from. Ids may be missing or repeated: each row is predicted on its own. An empty
+table gives no rows. Texts of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ SEED = 20
 RESULTS = (StructField("lang_pred", StringType()), StructField("score", DoubleType()))
 CHUNK_ROWS, CHUNK_CHARACTERS = 256, 1_000_000
 BOUND_AT_ONCE = 2048  # trigram vectors in memory
+COUNTED = 1 << 23  # counts of trigrams by text in memory
 
 
 @cache
@@ -92,6 +94,9 @@ def bundles(texts: list[str | None]) -> np.ndarray:
     seen = np.zeros(1 << 24, bool)
     seen[keys] = True
     used = np.flatnonzero(seen)
+    if len(texts) > 1 and len(texts) * len(used) > COUNTED:  # many different trigrams
+        half = len(texts) // 2
+        return np.concatenate([bundles(texts[:half]), bundles(texts[half:])])
     place = np.empty(1 << 24, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
     counts = np.bincount(owner * len(used) + place[keys], minlength=len(texts) * len(used))

@@ -3,6 +3,7 @@
 import random
 import re
 import textwrap
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -58,19 +59,29 @@ def test_language(docs, empty):
     assert set(language.predict(docs, [], None).select("lang_pred").distinct().first()) == {"und"}
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     data = [(i, [float(i % 5), -float(i % 3), 0.5]) for i in range(90)]
     data += [(200, None), (220, [float("nan")] * 3), (240, [None, 1.0, 1.0]), (None, [1.0] * 3),
-             (0, [0.0, 0.0, 0.5]), (260, [1e30, 0.0, 0.0]), (300, [1.0])]
+             (0, [0.0, 0.0, 0.5]), (260, [3e6, 0.0, -2e6]), (300, [1.0])]
     table = spark.createDataFrame(data, "vec_id long, embedding array<float>").selectExpr(
         "*", "1 AS score")
-    rows = {i: [int(64 * x // 1) for x in v] for i, v in data[:90]} | {300: [64, 0, 0]}
+    rows = {i: [int(64 * x // 1) for x in v] for i, v in data[:90]} | {
+        260: [192_000_000, 0, -128_000_000], 300: [64, 0, 0]}
     expected = []
     for q in [i for i in rows if i % 20 == 0]:
         near = sorted((-sum(a * b for a, b in zip(rows[q], rows[c])), c) for c in rows if c != q)
         expected += [(q, r, c, -s) for r, (s, c) in enumerate(near[:20], 1)]
     assert sorted(map(tuple, topk.top_k(table).collect())) == sorted(expected)
     assert topk.top_k(table.limit(0)).count() == 0
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(topk, "CHUNK_QUERIES", 2)
+    assert sorted(map(tuple, topk.top_k(table).collect())) == sorted(expected)
+    far = spark.createDataFrame([(0, [1e30])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(far)
+    far = spark.createDataFrame([(0, [1e15])], "vec_id long, embedding array<double>")
+    with pytest.raises(OverflowError):
+        topk.top_k(far)
 
 
 def test_licences(docs, empty):
@@ -240,11 +251,89 @@ def test_chain_of_links_is_one_component(spark):
 
 def test_repeats(docs, empty):
     found = chunks.repeats(docs).collect()
-    assert {r.doc_id for r in found} == {2, 5} and {r.first_doc_id for r in found} == {1}
+    assert {(r.doc_id, r.first_doc_id) for r in found} == {(2, 1), (5, 1), (8, 8)}
     assert all(r.end - r.begin >= chunks.SPAN_BYTES for r in found)
     assert chunks.repeats(empty).count() == 0
 
 
+def plain_cuts(data):
+    ends, last = [], 0
+    for at in range(len(data)):
+        code = 0
+        for byte in data[max(0, at - chunks.WINDOW + 1):at + 1]:
+            code = ((code << 1) + int(chunks.GEAR[byte])) & 0xFFFF
+        if code >> (chunks.WINDOW - chunks.MASK_BITS) == 0 and at + 1 - last >= chunks.SMALLEST \
+                or at + 1 - last == chunks.LARGEST:
+            ends.append(at + 1)
+            last = at + 1
+    return ends + [len(data)] * (last < len(data))
+
+
+def plain_repeats(texts, least):
+    """(document, begin, end) by plain loops over ids in order."""
+    first, out = {}, []
+    for doc, text in texts:
+        ends, spans, run = plain_cuts(text), [], None
+        for begin, end in zip([0, *ends], ends):
+            source = first.setdefault(text[begin:end], (doc, begin))
+            if source == (doc, begin):
+                continue
+            if run and run[1] == begin and run[2:] == (source[0], begin - source[1]):
+                run[1] = end
+            else:
+                run = [begin, end, source[0], begin - source[1]]
+                spans.append(run)
+        by_id = dict(texts)
+        longer = []
+        for begin, end, source, shift in spans:
+            other, at, stop = by_id[source], begin, end
+            while at > max(0, begin - chunks.REACH) and at > shift and text[at - 1] == other[at - 1 - shift]:
+                at -= 1
+            while stop < min(len(text), end + chunks.REACH) and stop - shift < len(other) \
+                    and text[stop] == other[stop - shift]:
+                stop += 1
+            if stop - at >= least:
+                longer.append((at, stop))
+        joined = []
+        for begin, end in sorted(longer):
+            if joined and begin <= joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], end)
+            else:
+                joined.append([begin, end])
+        out += [(doc, begin, end) for begin, end in joined]
+    return out
+
+
+@pytest.mark.parametrize("hot", [10_000, 3])
+def test_repeats_equal_plain_loops(spark, monkeypatch, hot):
+    monkeypatch.setattr(chunks, "HOT", hot)
+    chance = random.Random(21)
+    prose = lambda n: " ".join("".join(chance.choices("abcdeé", k=chance.randrange(2, 9)))
+                               for _ in range(n))
+    passages = [prose(n) for n in (12, 35, 50, 60, 60, 400)]
+    texts = []
+    for doc in range(40):
+        parts = [prose(chance.randrange(0, 40))]
+        for _ in range(chance.randrange(3)):
+            parts += [chance.choice(passages), prose(chance.randrange(0, 30))]
+        texts.append((doc, "".join(parts)))
+    texts += [(50, (passages[5] + "|") * 9), (51, "x" * 3000), (52, "x" * 500)]
+    table = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "'a' AS k", "1 AS begin")
+    found = sorted((r.doc_id, r.begin, r.end) for r in chunks.repeats(table).collect())
+    plain = plain_repeats([(d, t.encode()) for d, t in texts], chunks.SPAN_BYTES)
+    assert found == plain and {50, 51} <= {d for d, _, _ in plain}
+    # a passage of over 50 words is found to its ends wherever it comes again
+    long = [p.encode() for p in passages[3:]]
+    seen = set()
+    for doc, text in texts[:40]:
+        for number, passage in enumerate(long):
+            at = text.encode().find(passage)
+            if at >= 0 and number in seen:
+                assert any(d == doc and b <= at and e >= at + len(passage) for d, b, e in found)
+            if at >= 0:
+                seen.add(number)
+
+
 def test_mix(docs, empty):
     rows = mixing.report(docs).collect()
     sizes = [len(re.findall(r"[^\x20\x09-\x0D]+", d[1] or "")) for d in ODD]
@@ -253,9 +342,48 @@ def test_mix(docs, empty):
     shares = mixing.rates(docs.select("source", mixing.words(docs.text).alias("size"))).collect()
     assert sum(r.target for r in shares) == pytest.approx(sum(sizes))
     assert mixing.mix(docs).columns == docs.columns
+    clash = docs.selectExpr("*", "1 AS own_rate", "2 AS own_source", "3 AS own_copy", "4 AS _rate")
+    assert mixing.mix(clash).columns == clash.columns
+    assert mixing.mix(clash).count() == mixing.mix(docs).count()
     assert mixing.report(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_documents_without_ids_are_drawn_each(spark):
+    rows = [(None, f"word number {i}", source) for source in "abc" for i in range(1000)]
+    found = mixing.report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for target in {r.target for r in found}:
+        taken = sum(r.taken for r in found if r.target == target)
+        assert taken == pytest.approx(target, rel=0.1)
+
+
+def test_many_different_letters_in_bounded_memory():
+    chance = random.Random(9)
+    texts = ["".join(chr(0x4E00 + chance.randrange(20_000)) for _ in range(3900)) for _ in range(64)]
+    tracemalloc.start()
+    found = language.bundles(texts)
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+    assert np.array_equal(found[:1], language.bundles(texts[:1]))
+
+
+def test_gibberish_and_unknown_scripts_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    chance = random.Random(8)
+    noise = []
+    for i in range(200):
+        letters = "abcdefghijklmnopqrstuvwxyz" if i % 2 else [chr(0x430 + n) for n in range(32)]
+        noise.append((100_000 + i, " ".join("".join(chance.choices(letters, k=chance.randrange(2, 10)))
+                                            for _ in range(100)), None, None, 0))
+    # the noise has no language, so nothing is learned from it
+    mixed = docs.union(spark.createDataFrame(noise, docs.schema))
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, mixed, "").select("doc_id").collect()}
+    assert sum(i in kept for i in range(100_000, 100_200)) <= 4
+    prose = [r.doc_id for r in docs.where("lang IS NOT NULL AND text IS NOT NULL").collect()
+             if re.search(r"[^\W\d_]", r.text)]
+    gone = [i for i in prose if i not in kept]
+    assert len(gone) <= 0.002 * len(prose), gone
+
+
 def test_pipeline_stages_keep_the_columns(spark, docs, items, tmp_path):
     items.write.parquet(str(tmp_path / "benchmark.parquet"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
