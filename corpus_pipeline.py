@@ -1,12 +1,16 @@
 """From raw documents to packed token ids, in stages that are each stored.
 
-language       documents whose language can't be determined go
+language       documents without a letter go, and those of LEAST_CHARACTERS or more that are
+               not near any learned language
 near_dup       one document of each class of near-duplicates stays
 decontaminate  benchmark passages are cut out; documents that mostly consist of them go
 mix            documents are repeated or left out so that sources come to their weights
 tokens         the documents' token ids are written to packed files and read back
 
-Every stage but the last returns the columns of its documents.
+Every stage but the last returns the columns of its documents, whatever else they are called
+(columns named lang_pred and score are replaced on the way). Missing and empty texts have no letter
+and go in the first stage; rows of equal id and text become one in the second; very long texts are
+taken whole; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -17,15 +21,17 @@ from pyspark.sql import functions as F
 from larder.llm import decontaminate, language, mixing, near_dup, tokens
 from larder.llm.common import table, written
 
-LEAST_COSINE = 0.02
+# Cosines of unrelated vectors scatter by 1 / sqrt(dimensions) around zero; prose of the learned
+# languages lies far above four times that. Texts of fewer characters are too short to tell.
+LEAST_COSINE = 4 / language.DIMENSIONS ** 0.5
+LEAST_CHARACTERS = 100
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names, vectors = language.prototypes(language.learnable(docs))
     found = language.predict(docs, names, vectors)
-    return found.where(
-        (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_COSINE)
-    ).select(*docs.columns)
+    near = (F.col("score") >= LEAST_COSINE) | (F.length("text") < LEAST_CHARACTERS)
+    return found.where((F.col("lang_pred") != language.UNDETERMINED) & near).select(*docs.columns)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
