@@ -470,31 +470,35 @@ def cells(members: DataFrame) -> DataFrame:
                         F.greatest("side", "other").alias("j"), "side", "node", "root")
 
 
-def met(dealt: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b), a < b, of different classes that meet in a cell and whose bags match."""
+def met(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b, of different classes that share a bucket and whose bags match, each once:
+    in the smallest bucket that both are in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(3)
             ends, flat = lists.offsets.to_numpy().astype(np.int64), lists.values
             for row in range(batch.num_rows):
                 part = flat.slice(ends[row], ends[row + 1] - ends[row])
-                same = batch.column(0)[row].as_py() == batch.column(1)[row].as_py()
-                pairs = _met_in_cell(
-                    part.field("side").to_numpy(), part.field("root").to_numpy(),
-                    part.field("bag"), same)
-                node = part.field("node")
-                for x, y in pairs:
-                    a, b = (node.take(pa.array(z)).to_pylist() for z in (x, y))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([min(p) for p in zip(a, b)], pa.binary()),
-                         pa.array([max(p) for p in zip(a, b)], pa.binary())], ["a", "b"])
-
-    bags = nodes.select("node", "bag")
-    gathered = dealt.join(bags, "node").groupBy("bucket", "i", "j").agg(F.collect_list(F.struct(
-        "side", F.xxhash64("root").alias("root"), "node", "bag")).alias("members"))
-    return gathered.select("i", "j", "members").mapInArrow(
-        run, "a binary, b binary").distinct()
+                bucket, i, j = (batch.column(c)[row].as_py() for c in range(3))
+                node = part.field("node").to_pylist()
+                shared = [frozenset(own) for own in part.field("own").to_pylist()]
+                a, b = [], []
+                for x, y in _met_in_cell(part.field("side").to_numpy(),
+                                         part.field("root").to_numpy(), part.field("bag"), i == j):
+                    for u, v in zip(x.tolist(), y.tolist()):
+                        if min(shared[u] & shared[v]) == bucket:
+                            a.append(min(node[u], node[v]))
+                            b.append(max(node[u], node[v]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    # A text has a bucket per sketch at most.
+    own = members.groupBy("node").agg(F.collect_list("bucket").alias("own"))
+    dealt = cells(members).join(nodes.select("node", "bag").join(own, "node"), "node")
+    gathered = dealt.groupBy("bucket", "i", "j").agg(F.collect_list(F.struct(
+        "side", F.xxhash64("root").alias("root"), "node", "bag", "own")).alias("members"))
+    return gathered.select("bucket", "i", "j", "members").mapInArrow(run, "a binary, b binary")
 
 
 def _met_in_cell(side: np.ndarray, root: np.ndarray, bags: pa.Array, within: bool
@@ -540,7 +544,7 @@ def linked(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = written(components(links), "roots", narrow=True)
     members = written(unresolved(buckets, roots), "members", narrow=True)
     if not members.isEmpty():
-        links = linking(written(met(cells(members), nodes), "pairs"), documents, nodes)
+        links = linking(written(met(members, nodes), "pairs"), documents, nodes)
         roots = extended(roots, links)
     named = nodes.join(roots, "node", "left").select(
         "node", F.coalesce("root", "node").alias("class_node"), "first_id"
