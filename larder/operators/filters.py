@@ -84,8 +84,19 @@ def min_group_size(
 def drop_outlier_rows(
     df: DataFrame, outliers: DataFrame, on: Sequence[str], rows: int | None = None
 ) -> DataFrame:
-    """Drop the rows named by ``outliers``, a list of at most ``rows`` keys."""
-    return df.join(bounded(outliers.select(*on), rows), list(on), "left_anti")
+    """Drop the rows named by ``outliers``, a list of at most ``rows`` keys.
+
+    A listed key with a missing part names the rows where that part is missing.
+    """
+    marks = {name: f"_listed_{name}" for name in on}
+    listed = bounded(outliers.select(*on).withColumnsRenamed(marks), rows)
+    same = [F.col(name).eqNullSafe(F.col(mark)) for name, mark in marks.items()]
+    return df.join(listed, same, "left_anti")
+
+
+def drop_ordinals(df: DataFrame, ordinals: Iterable[int], name: str = "ordinal") -> DataFrame:
+    """Drop the rows with these ordinals (from 1); ordinals past the end name no row."""
+    return df.filter(~F.col(name).isin(list(ordinals)))
 
 
 def drop_outliers_by_spread(

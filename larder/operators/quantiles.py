@@ -1,21 +1,17 @@
-"""Exact quantiles of groups of any size."""
+"""Exact quantiles of groups of any size, by radix selection."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import inf
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.sizing import bounded
 
-# The sketch places a quantile within 1 / ACCURACY of its rank; MARGIN is several times
-# that, so the exact value lies between the two sketched ends.
-ACCURACY = 10_000
-MARGIN = 5 / ACCURACY
-# Slices of the values between the two ends, each put in order by one task.
-CUTS = 100
+# Two levels of this many bits narrow a group's values down before any is put in order.
+BITS = 12
+LARGEST = 1.7e308
 
 
 def present(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
@@ -31,95 +27,90 @@ def same_keys(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFram
     return df.join(groups.withColumnsRenamed(marks), on).drop(*marks.values())
 
 
-def sliced(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """``df`` with ``_slice``: each group's values cut, in order, into about ``CUTS`` slices.
+def value_counts(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """Each value of each group once, with its rows as ``_n``: combined before the shuffle, which
+    all passes over it share."""
+    return present(df, value, keys).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
 
-    Missing values are slice -1. A sketch gives the cuts: they settle how even the slices are.
-    """
-    v = F.col(value)
-    shares = F.array(*(F.lit(i / CUTS) for i in range(1, CUTS)))
-    cuts = df.groupBy(*keys).agg(
-        F.percentile_approx(v, shares, F.lit(10 * CUTS)).alias("_cuts"))
-    number = F.size(F.filter("_cuts", lambda cut: cut < v))
-    return same_keys(df, cuts, keys).withColumn(
-        "_slice", F.when(v.isNull(), -1).otherwise(number)).drop("_cuts")
 
+def holding(
+    targets: DataFrame, cells: DataFrame, within: Sequence[str], cell: str, bound: int | None,
+) -> DataFrame:
+    """For each target (``within``, _place, _rank) the cell that holds its rank.
 
-def running_count(df: DataFrame, keys: Sequence[str], value: str, n: str) -> DataFrame:
-    """``df`` with ``_upto``: the sum of ``n`` over the group's rows up to this value.
+    ``cells`` count rows (_n) per ``within`` and ``cell``; ``_ahead``, where there is one, says how
+    many rows lie before all of them.
+    """
+    order = Window.partitionBy(*within).orderBy(cell)
+    upto = F.sum("_n").over(order)
+    if "_ahead" in cells.columns:
+        upto += F.col("_ahead")
+    counted = cells.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_n"))
+    found = same_keys(counted.select(*within, cell, "_before", "_upto"),
+                      bounded(targets, bound), within)
+    rank = F.col("_rank")
+    return found.filter((rank >= F.col("_before")) & (rank < F.col("_upto"))).drop("_upto")
+
+
+def quantiles_of(
+    counts: DataFrame, value: str, keys: Sequence[str], shares: Sequence[float],
+    key_rows: int | None = None,
+) -> DataFrame:
+    """Quantiles ``q1``, ``q2``, ... of each group of ``value_counts``, interpolated between
+    neighbours.
 
-    One task orders one slice; what lies before it is summed over the slices.
+    Values get a code of 2 * ``BITS`` bits in their order: their place between the group's ends on
+    a logarithmic scale. Counts per leading bits tell in which cell a quantile's two neighbours
+    lie, counts per code within that cell narrow it to one code, and only the distinct values of
+    that code are put in order. Every pass is an aggregation; no group is sorted.
     """
-    cut, slices = sliced(df, keys, value), [*keys, "_slice"]
-    ahead = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(
-        Window.unboundedPreceding, -1)
-    before = cut.groupBy(*slices).agg(F.sum(n).alias("_rows")).select(
-        *slices, F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_before"))
-    inside = F.sum(n).over(Window.partitionBy(*slices).orderBy(value))
-    return same_keys(cut, before, slices).withColumn(
-        "_upto", F.col("_before") + inside).drop("_before", "_slice")
+    keys, v = list(keys), F.col(value)
+    clipped = F.greatest(F.least(F.abs(v), F.lit(LARGEST)), F.lit(0.0))
+    line = F.signum(v) * F.log1p(clipped)
+    ends = counts.groupBy(*keys).agg(
+        F.min(line).alias("_low"), F.max(line).alias("_high"), F.sum("_n").alias("_total"))
+    width, top = F.col("_high") - F.col("_low"), (1 << 2 * BITS) - 1
+    code = F.least(F.floor((line - F.col("_low")) / F.nullif(width, F.lit(0.0)) * (top + 1)),
+                   F.lit(top))
+    coded = same_keys(counts, bounded(ends, key_rows), keys).withColumn(
+        "_code", F.coalesce(code, F.lit(0)).cast("long")
+    ).withColumn("_cell", F.shiftright("_code", BITS)).select(*keys, value, "_n", "_code", "_cell")
+
+    def place(share: float) -> Column:
+        return F.lit(float(share)) * (F.col("_total") - 1)
+
+    ranks = [f(place(share)) for share in shares for f in (F.floor, F.ceil)]
+    targets = ends.select(*keys, F.posexplode(F.array(*ranks)).alias("_place", "_rank"))
+    bound = None if key_rows is None else key_rows * len(ranks)
+
+    cells = coded.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_n"))
+    found = holding(targets, cells, keys, "_cell", bound)
+    chosen = found.select(*keys, "_cell", F.col("_before").alias("_ahead")).distinct()
+    inner = same_keys(coded, bounded(chosen, bound), [*keys, "_cell"])
+    codes = inner.groupBy(*keys, "_cell", "_code", "_ahead").agg(F.sum("_n").alias("_n"))
+    found = holding(found.drop("_before"), codes, [*keys, "_cell"], "_code", bound)
+    chosen = found.select(*keys, "_code", F.col("_before").alias("_ahead")).distinct()
+    last = same_keys(coded.drop("_cell"), bounded(chosen, bound), [*keys, "_code"])
+    found = holding(found.drop("_before", "_cell"), last, [*keys, "_code"], value, bound)
+
+    def at(number: int) -> Column:
+        return F.max(F.when(F.col("_place") == number, v))
+
+    near = found.groupBy(*keys).agg(*(at(i).alias(f"_v{i}") for i in range(len(ranks))))
+    whole = same_keys(near, bounded(ends.select(*keys, "_total"), key_rows), keys)
+    return whole.select(*keys, *(
+        (F.col(f"_v{2 * i}") + (F.col(f"_v{2 * i + 1}") - F.col(f"_v{2 * i}"))
+         * (place(share) - F.floor(place(share)))).alias(f"q{i + 1}")
+        for i, share in enumerate(shares)
+    ))
 
 
 def quantiles_by(
-    df: DataFrame,
-    value: str,
-    keys: Sequence[str],
-    shares: Sequence[float],
+    df: DataFrame, value: str, keys: Sequence[str], shares: Sequence[float],
     key_rows: int | None = None,
 ) -> DataFrame:
-    """Quantiles ``q1``, ``q2``, ... of each group, interpolated between neighbours.
+    """``quantiles_of`` the values present in each group.
 
-    Spark's ``percentile`` holds all values of a group in one task. Here a sketch of
-    fixed size gives a narrow range around each quantile; rows below it are counted and
-    only the distinct values inside, a thousandth of the group, are put in order, a
-    hundredth of them in a task. Both are combined before they move. Should the sketch ever miss its margin, the job fails.
+    Spark's ``percentile`` holds all values of a group in one task.
     """
-    keys, v = list(keys), F.col(value)
-    known = present(df, value, keys)
-    ends = []
-    for share in shares:
-        ends += [max(share - MARGIN, 0.0), min(share + MARGIN, 1.0)]
-    sketched = known.groupBy(*keys).agg(
-        F.percentile_approx(v, F.array(*map(F.lit, ends)), F.lit(ACCURACY)).alias("_ends"),
-        F.count(v).alias("_total"),
-    )
-    # A group no larger than the sketch is put in order whole: there the margin may be
-    # less than one rank.
-    small = F.col("_total") <= ACCURACY
-    ranges = F.array(*(
-        F.struct(
-            F.lit(i).alias("i"), F.lit(share).alias("share"),
-            F.when(small, -inf).otherwise(F.get("_ends", F.lit(2 * i))).alias("low"),
-            F.when(small, inf).otherwise(F.get("_ends", F.lit(2 * i + 1))).alias("high"),
-        )
-        for i, share in enumerate(shares)
-    ))
-    placed = same_keys(known, bounded(sketched, key_rows), keys)
-    cells = (
-        placed.select(*keys, value, "_total", F.explode(ranges).alias("_range"))
-        .filter(v <= F.col("_range.high"))
-        # All rows below the range become one cell without a value.
-        .groupBy(
-            *keys, "_total", F.col("_range.i").alias("_i"), F.col("_range.share").alias("_share"),
-            F.when(v >= F.col("_range.low"), v).alias("_value"),
-        )
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    ranked = running_count(cells, [*keys, "_i"], "_value", "_n")
-    place = F.col("_share") * (F.col("_total") - 1)
-
-    def at(rank):
-        here = (rank >= F.col("_upto") - F.col("_n")) & (rank < F.col("_upto"))
-        return F.max(F.when(here, F.col("_value")))
-
-    neighbours = ranked.groupBy(*keys, "_i", place.alias("_place")).agg(
-        at(F.floor(place)).alias("_low"), at(F.ceil(place)).alias("_high")
-    )
-    part = F.col("_place") - F.floor("_place")
-    exact = F.col("_low") + (F.col("_high") - F.col("_low")) * part
-    missed = F.raise_error(F.lit("a quantile is outside its sketched range")).cast("double")
-    named = [
-        F.coalesce(F.max(F.when(F.col("_i") == i, exact)), missed).alias(f"q{i + 1}")
-        for i in range(len(shares))
-    ]
-    return neighbours.groupBy(*keys).agg(*named)
+    return quantiles_of(value_counts(df, value, keys), value, keys, shares, key_rows)

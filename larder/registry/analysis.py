@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.operators import averages, filters, statistics, windows
+from larder.operators import averages, filters, statistics, unions, windows
 from larder.plans import analysis
 from larder.registry import twins as T
 from larder.registry.inputs import (
@@ -323,7 +323,7 @@ def _part(table: str, key: str, where: str = "true") -> str:
             f"FROM series WHERE {TOP} AND {where} GROUP BY food_group, key, date")
 
 
-@query("group_analysis", f"""WITH {T.SERIES}, published AS (
+GROUP_ANALYSIS = f"""WITH {T.SERIES}, published AS (
 SELECT DISTINCT food_group AS g, country AS c FROM series WHERE market = 'National Average')
 {_part("world", "'World'")} UNION ALL {_part("region", "region")}
 UNION ALL {_part("import", "import")} UNION ALL {_part(
@@ -331,17 +331,20 @@ UNION ALL {_part("import", "import")} UNION ALL {_part(
     "NOT EXISTS (SELECT 1 FROM published WHERE g = food_group AND c = country)")}
 UNION ALL SELECT 'national', food_group, country, date, round(price_per_one_unit, 4),
 round(unified_price, 4), ppp_factor, price FROM series
-WHERE {TOP} AND market = 'National Average'""")
-def group_analysis(t: Inputs) -> DataFrame:
-    """Every average of the six groups, stacked.
+WHERE {TOP} AND market = 'National Average'"""
+
 
-    Like the published pipeline: the clean table, then the series, are written once and
-    read back, with their columns and food groups pruned.
-    """
-    series = t.stored("series", analysis.group_analysis(
+def _group_series(t: Inputs) -> DataFrame:
+    """Like the published pipeline: the clean table, then the series, are written once and
+    read back, with their columns and food groups pruned."""
+    return t.stored("series", analysis.group_analysis(
         t.stored_clean(), CLEAN_ORDER, tuple(GROUPS), split=CLEAN_SPLIT, key_rows=t.group_rows
     )["series"])
-    tables = analysis.tables_of(series, CLEAN_ORDER, REGIONS, strict=False, **CENTS)
+
+
+def _stacked(series: DataFrame, outliers: DataFrame | None = None) -> DataFrame:
+    tables = analysis.tables_of(
+        series, CLEAN_ORDER, REGIONS, outliers=outliers, strict=False, **CENTS)
     keys = {"world": "country", "region": "region", "import": "import", "national": "country"}
     parts = [
         tables[level].select(
@@ -350,10 +353,31 @@ def group_analysis(t: Inputs) -> DataFrame:
         )
         for level, key in keys.items()
     ]
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part)
-    return rounded(stacked, "price_per_one_unit", "unified_price")
+    return rounded(unions.union_all(*parts), "price_per_one_unit", "unified_price")
+
+
+@query("group_analysis", GROUP_ANALYSIS)
+def group_analysis(t: Inputs) -> DataFrame:
+    """Every average of the six groups, stacked."""
+    return _stacked(_group_series(t))
+
+
+# Each country's dearest row of a group is the one that is out of line.
+LISTED = f"""kept AS (SELECT * FROM (SELECT *, row_number() OVER (
+PARTITION BY food_group, country ORDER BY price DESC, import_block, {T.ID}) AS place FROM series)
+WHERE place > 1), published AS ("""
+
+
+@query("group_analysis_outliers", GROUP_ANALYSIS.replace("FROM series WHERE", "FROM kept WHERE").replace(
+    "published AS (", LISTED, 1))
+def group_analysis_outliers(t: Inputs) -> DataFrame:
+    """The averages without a list of rows, the dearest of each country and group."""
+    series = _group_series(t)
+    keys = ["food_group", "country", *CLEAN_ORDER]
+    dearest = statistics.first_row_carry(
+        series.withColumn("cheapness", -F.col("price")), ["food_group", "country"],
+        list(CLEAN_ORDER), ["cheapness", *CLEAN_ORDER])
+    return _stacked(series, t.stored("outliers", dearest.select(*keys)))
 
 
 @query("group_analysis_stats", T.select(

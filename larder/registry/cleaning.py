@@ -17,7 +17,9 @@ from larder.registry.inputs import AFTER, BEFORE, GROUPS, ROW_ID, YEARS, Inputs
 from larder.registry.queries import query
 from larder.session import shared_folder
 from larder.sources.csv import read_csv, write_csv
-from larder.sources.tables import load_tables, save_tables
+from larder.sources.tables import (
+    load_tables, load_with_ordinals, save_in_order, save_tables,
+)
 
 ID = list(ROW_ID)
 
@@ -50,6 +52,36 @@ def src_csv_na(t: Inputs) -> DataFrame:
     return read_csv(t.spark, path, ddl, na="")
 
 
+@query("src_csv_inferred", T.select(
+    T.OBS, "country, market, CAST(date AS VARCHAR) AS date, year, unit, price, "
+    "l_linenumber % 2 = 0 AS even, l_linenumber AS line, l_orderkey * 10000000.0::DOUBLE AS large, "
+    "CASE WHEN l_linenumber = 7 THEN price ELSE l_partkey END::DOUBLE AS late, "
+    "CASE WHEN l_linenumber = 7 THEN 'none' ELSE l_partkey::VARCHAR END AS word", "obs"))
+def src_csv_inferred(t: Inputs) -> DataFrame:
+    """Columns of each type, some of which only a few rows tell from a narrower one."""
+    path, last = _folder(t), F.col("l_linenumber") == 7
+    rows = t.obs().select(
+        "country", "market", "date", "year", "unit", "price",
+        (F.col("l_linenumber") % 2 == 0).alias("even"), F.col("l_linenumber").alias("line"),
+        (F.col("l_orderkey") * 10_000_000).cast("double").alias("large"),
+        F.when(last, F.col("price")).otherwise(F.col("l_partkey").cast("double")).alias("late"),
+        F.when(last, F.lit("none")).otherwise(F.col("l_partkey").cast("string")).alias("word"))
+    write_csv(rows, path)
+    return read_csv(t.spark, path)
+
+
+@query("src_csv_header", T.select(T.PPP, "*", "ppp"))
+def src_csv_header(t: Inputs) -> DataFrame:
+    """A file whose header is spelt as published, in another order than the schema's."""
+    path, raw = _folder(t), t.ppp_raw()
+    spelt = {name: name.replace(".", " ").removeprefix("X") for name in raw.columns}
+    published = raw.select(*(F.col(f"`{name}`").alias(spelt[name]) for name in reversed(raw.columns)))
+    write_csv(published, path, na="")
+    years = ", ".join(f"X{y} double" for y in YEARS)
+    wide = read_csv(t.spark, path, f"`Country.Name` string, `Country.Code` string, {years}", na="")
+    return C.rename_columns(wide, V.RAW_PPP_NAMES)
+
+
 @query("sink_csv", T.select(
     T.CLEAN, "country, date, food_name, import, unit_type, unit, price, unified_price, "
     "price_per_one_unit, ppp_factor * 10000000 AS large, ppp_factor / 10000000 AS small",
@@ -221,6 +253,17 @@ def drop_outlier_rows(t: Inputs) -> DataFrame:
     return _with_id(filters.drop_outlier_rows(obs, dearest, ID, t.nations))
 
 
+@query("drop_outlier_ordinals", T.select(
+    T.OBS, OBS_ID, f"(SELECT *, row_number() OVER (ORDER BY {T.ID}) AS place FROM obs)",
+    "WHERE place NOT IN (1, 2, 100, 20716, 89587)"))
+def drop_outlier_ordinals(t: Inputs) -> DataFrame:
+    """The rows to drop are named by their place in the table."""
+    path = _folder(t)
+    save_in_order(_with_id(t.obs()), path, ID)
+    numbered = load_with_ordinals(t.spark, path)
+    return _with_id(filters.drop_ordinals(numbered, (1, 2, 100, 20716, 89587)))
+
+
 @query("drop_outliers_by_spread", T.select(
     T.OBS, OBS_ID,
     "obs JOIN (SELECT country AS c, avg(price) AS mean, stddev_samp(price) AS spread "

@@ -7,34 +7,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.functions.scalars import plain_number
+from larder.sources.inference import inferred, repaired_names
 
 # Stands for "no null text": a control character that the data does not contain.
 NO_TOKEN = "\u0001"
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: str, na: str = "NA", multiline: bool = False,
-    named: bool = True,
+    spark: SparkSession, path: str, schema: str | None = None, na: str = "NA",
+    multiline: bool = False,
 ) -> DataFrame:
     """Scan a headered CSV; ``na`` is the text that means missing.
 
-    An empty text field is the empty string unless ``na`` is empty; in other columns it
-    is missing, as is anything that does not parse. Columns go by position, their names
-    and types come from ``schema``; a header with other names, or another
-    order, fails unless ``named`` is off, for files whose header is spelt otherwise. ``multiline`` allows line breaks inside quotes but
-    makes each file one task.
+    Columns go by name, whatever their order: the header's names are made valid
+    (``repaired_names``: "Country Name" is ``Country.Name``, "2000" is ``X2000``) and those of
+    ``schema`` are taken; one that is not there is an error, and so is a file whose header differs
+    from the others'. Without a schema all columns are, with inferred types (``inferred``).
+
+    An empty text field is the empty string unless ``na`` is empty; in other columns it is missing,
+    as is anything that does not parse. ``multiline`` allows line breaks inside quotes but makes each
+    file one task.
     """
-    fields = T.StructType.fromDDL(schema).fields
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in fields])
-    raw = (
-        spark.read.schema(text)
-        .option("header", True)
-        .option("enforceSchema", not named)
-        .option("nullValue", NO_TOKEN)
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .csv(path)
-    )
+    reader = spark.read.options(
+        nullValue=NO_TOKEN, escape='"', multiLine=multiline, header=False)
+    header = [name or "" for name in reader.csv(path).first() or []]
+    names = repaired_names(header)
+    unique = len({name.lower() for name in header}) == len(header) and "" not in header
+    text = T.StructType([
+        T.StructField(own if unique else name, T.StringType())
+        for own, name in zip(header, names)])
+    raw = reader.schema(text).options(header=True, enforceSchema=not unique).csv(path)
+    raw = raw.toDF(*names)
+    fields = (T.StructType.fromDDL(schema) if schema else inferred(raw, na)).fields
+    absent = [f.name for f in fields if f.name not in names]
+    if absent:
+        raise ValueError(f"the header has no {', '.join(absent)}")
     return raw.select(*(_typed(f, na).alias(f.name) for f in fields))
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from larder.sizing import bounded
 
 PARTITION = "food_group"
 
@@ -25,3 +28,25 @@ def save_tables(tables: Mapping[str, DataFrame], root: str) -> None:
 
 def load_tables(spark: SparkSession, root: str, names: Iterable[str]) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{root}/{name}") for name in names}
+
+
+def save_in_order(df: DataFrame, path: str, order: Sequence[str]) -> None:
+    """Write ``df`` so that its files, by number, and the rows in each follow ``order``."""
+    df.orderBy(*order).write.mode("overwrite").parquet(path)
+
+
+def load_with_ordinals(spark: SparkSession, path: str, name: str = "ordinal") -> DataFrame:
+    """A table of ``save_in_order`` with every row's place in it, from 1 and without gaps.
+
+    A row's place is its place in its file, which the file itself tells, plus the rows of the
+    files before: rows are neither sorted nor moved.
+    """
+    file = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
+    table = spark.read.parquet(path)
+    rows = table.select("*", file.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    before = Window.orderBy("_number").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    files = rows.groupBy(F.col("_file").alias("_number")).agg(F.count(F.lit(1)).alias("_n")).select(
+        "_number", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = rows.join(bounded(files, len(table.inputFiles())), F.col("_file") == F.col("_number"))
+    return placed.select(
+        *table.columns, (F.col("_before") + F.col("_row") + 1).alias(name))

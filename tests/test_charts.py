@@ -2,10 +2,9 @@ import datetime as dt
 
 import numpy as np
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from larder.operators import charts, quantiles
+from larder.operators import charts
 from larder.operators.quantiles import quantiles_by
 
 
@@ -37,18 +36,21 @@ def test_quantiles_are_exact(spread, key_rows):
         assert list(row)[1:] == pytest.approx(list(expected), rel=1e-12, abs=1e-12)
 
 
-def test_running_count_puts_few_rows_in_a_task(spark):
-    """One group of two million distinct values, one with a missing key, ties, missing values."""
-    some = F.col("id") % 20 == 0
-    values = spark.range(2_100_000).select(
-        F.when(some, F.lit(None)).otherwise(F.lit("hot")).alias("k"),
-        F.when(some, F.col("id") % 70).otherwise(F.xxhash64("id")).cast("double").alias("v"),
-        F.lit(2).alias("n")).withColumn("v", F.when(F.col("v") != 60, F.col("v")))
-    cut = quantiles.sliced(values, ["k"], "v").groupBy("k", "_slice").count()
-    assert cut.where("k = 'hot'").agg(F.max("count")).first()[0] < 2 * 2_000_000 / 100
-    plain = F.sum("n").over(Window.partitionBy("k").orderBy("v"))
-    counted = quantiles.running_count(values, ["k"], "v", "n").withColumn("plain", plain)
-    assert counted.agg(F.count("*"), F.count_if(F.expr("plain <> _upto"))).first()[:] == (2_100_000, 0)
+def test_quantiles_of_odd_values(spark):
+    far = [float("-inf"), -1e300, -5e-324, -0.0, 0.0, 5e-324, 1.0, 1.0 + 2 ** -52, 1e300, float("inf")]
+    rows = [(None, v) for v in far] + [("k", 1e15 + i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    shares = [i / 9 for i in range(10)]
+    found = {r["k"]: list(r)[1:] for r in quantiles_by(df, "v", ["k"], shares).collect()}
+    assert found[None][1:9] == pytest.approx(far[1:9], rel=1e-12, abs=0)
+    assert found["k"] == pytest.approx(np.quantile([v for k, v in rows if k], shares).tolist(), rel=1e-15)
+
+
+def test_no_group_is_sorted(spark):
+    df = spark.createDataFrame([("k", 1.0)], "k string, v double")
+    plan = quantiles_by(df, "v", ["k"], (0.5,))._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if " Window " in line]
+    assert windows and all("_cell" in w or "_code" in w for w in windows)
 
 
 def test_boxplot(spread):

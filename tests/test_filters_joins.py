@@ -1,3 +1,4 @@
+from larder.sources.tables import load_with_ordinals, save_in_order
 import math
 
 from pyspark.sql import functions as F
@@ -67,6 +68,21 @@ def test_drop_outliers(spark, rows):
     assert rows(filters.drop_outlier_rows(df, listed, ["i"]), "i") == [
         (0,), (1,), (2,), (3,), (9,)
     ]
+    missing = spark.createDataFrame([("a", None), ("b", None)], "k string, v double")
+    assert rows(filters.drop_outlier_rows(df, missing, ["k", "v"]), "i") == [
+        (0,), (1,), (2,), (3,), (4,), (9,)]
+
+
+def test_rows_by_ordinal(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id", "(id * 7919) % 1000 AS place", "CAST(NULL AS INT) AS no")
+    path = str(tmp_path / "ordered")
+    save_in_order(df.repartition(7), path, ["place"])
+    numbered = load_with_ordinals(spark, path)
+    assert all(r.ordinal == r.place + 1 for r in numbered.collect())
+    left = filters.drop_ordinals(numbered, [1, 500, 1000, 5000])
+    keys = df.where("place IN (0, 499, 999)").select("id", "no")
+    same = filters.drop_outlier_rows(df, keys, ["id", "no"])
+    assert {r.id for r in left.collect()} == {r.id for r in same.collect()}
 
 
 WIDE = "country string, country_code string, X2000 double, X2001 double"

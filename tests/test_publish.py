@@ -6,6 +6,7 @@ import pytest
 
 from larder.plans import publish
 from larder.sources.csv import read_csv, write_csv
+from larder.sources.inference import repaired_names
 from larder.sources.tables import load_tables
 
 HEAD = ("adm0_id,adm0_name,adm1_id,adm1_name,mkt_id,mkt_name,cm_id,cm_name,cur_id,cur_name,"
@@ -137,7 +138,41 @@ def test_csv_missing_token(spark, tmp_path, rows):
         ("NA", None), ("NA", None), (None, 1.0), (None, None)]
 
 
-def test_csv_with_other_columns_fails(spark, tmp_path):
-    (tmp_path / "f.csv").write_text("v,t\n1,a\n")
-    with pytest.raises(Exception, match="(?i)header"):
-        read_csv(spark, str(tmp_path / "f.csv"), "t string, v double").collect()
+def test_csv_columns_go_by_name(spark, tmp_path, rows):
+    (tmp_path / "f.csv").write_text("Some Name,2000,v\na,1.5,2\n")
+    (tmp_path / "g.csv").write_text("2000,v,Some Name\n1.5,2,a\n")
+    schema = "v int, X2000 double, `Some.Name` string"
+    for name in "fg":
+        assert rows(read_csv(spark, str(tmp_path / f"{name}.csv"), schema)) == [(2, 1.5, "a")]
+    with pytest.raises(ValueError, match="header has no t"):
+        read_csv(spark, str(tmp_path / "f.csv"), "t string, v int")
+    with pytest.raises(Exception, match="(?i)header"):  # two files that do not agree
+        read_csv(spark, str(tmp_path), schema).collect()
+
+
+def test_names_are_repaired():
+    header = ["Country Name", "2000", "ok_1", "", ".5a", ".a", "_b", "if", "x", "x", "x.1", "x", "é-è", None]
+    assert repaired_names(header) == [
+        "Country.Name", "X2000", "ok_1", "X", "X.5a", ".a", "X_b", "if.", "x", "x.2", "x.1", "x.3",
+        "é.è", "X.1"]
+
+
+def test_types_are_inferred_by_the_last_odd_row(spark, tmp_path):
+    plain = ["T", "1", "1", "1", "NA", "", " 7 ", "1", "2147483647", "-2147483648", "1", "x y", "TRUE"]
+    odd = ["false", "NA", "2.5e3", "a", "NA", " ", "", "Inf", "2147483648", "0", "1,5", "", "yes"]
+    cells = [",".join(f'"{v}"' for v in row) for row in [plain] * 20_000 + [odd]]
+    folder = tmp_path / "wide"
+    folder.mkdir()
+    head = ",".join(f"c{i}" for i in range(len(plain)))
+    for part in range(4):  # the odd row is the last of the last file
+        (folder / f"p{part}.csv").write_text("\n".join([head, *cells[part * 5001:(part + 1) * 5001]]))
+    found = read_csv(spark, str(folder))
+    assert [kind for _, kind in found.dtypes] == [
+        "boolean", "int", "double", "string", "boolean", "boolean", "int", "double", "double",
+        "double", "string", "string", "string"]
+    row = found.where("c0 = false").collect()
+    assert len(row) == 1 and tuple(row[0])[1:3] == (None, 2500.0) and row[0].c7 == float("inf")
+    assert found.select("c6").distinct().count() == 2 and found.where("c11 = ''").count() == 1
+    empty = tmp_path / "e.csv"
+    empty.write_text("a,b\n")
+    assert read_csv(spark, str(empty)).dtypes == [("a", "boolean"), ("b", "boolean")]
