@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.fixed_values import HISTOGRAM_BINS
-from larder.operators.quantiles import present, quantiles_of, same_keys, value_counts
+from larder.operators.quantiles import coded_counts, present, quantiles_of, same_keys
 from larder.sizing import bounded
 
 
@@ -98,15 +98,22 @@ def boxplot_table(
 
     Whiskers end at the last value within 1.5 interquartile ranges of the box.
     """
-    counts = value_counts(df, value, keys)  # quartiles and whiskers are read from these
-    box = quantiles_of(counts, value, keys, (0.25, 0.5, 0.75), key_rows).withColumnsRenamed(
+    return boxplot_of(coded_counts(df, value, keys), keys, value, key_rows)
+
+
+def boxplot_of(
+    coded: DataFrame, keys: Sequence[str], value: str = "monthly_inflation",
+    key_rows: int | None = None,
+) -> DataFrame:
+    """The same from ``coded_counts``, which it reads several times."""
+    box = quantiles_of(coded, value, keys, (0.25, 0.5, 0.75), key_rows).withColumnsRenamed(
         {"q1": "lower", "q2": "middle", "q3": "upper"}
     )
     reach = 1.5 * (F.col("upper") - F.col("lower"))
     v = F.col(value)
     inside = v.between(F.col("lower") - reach, F.col("upper") + reach)
     return (
-        same_keys(counts, bounded(box, key_rows), keys)
+        same_keys(coded, bounded(box, key_rows), keys)
         .groupBy(*keys, "lower", "middle", "upper")
         .agg(
             F.min(F.when(inside, v)).alias("whisker_low"),

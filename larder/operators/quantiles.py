@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from larder.sizing import bounded
 
-# Two levels of this many bits narrow a group's values down before any is put in order.
+# Bits of the fraction in a value's code: values of one code differ by less than a part in so
+# many powers of two.
 BITS = 12
+EXPONENTS = 1100  # above the least exponent there is
 LARGEST = 1.7e308
 
 
@@ -27,10 +29,21 @@ def same_keys(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFram
     return df.join(groups.withColumnsRenamed(marks), on).drop(*marks.values())
 
 
-def value_counts(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """Each value of each group once, with its rows as ``_n``: combined before the shuffle, which
-    all passes over it share."""
-    return present(df, value, keys).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+def coded_counts(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """Each value of each group once, with its rows as ``_n`` and its ``_code``.
+
+    A code is made of a number's leading bits: sign, exponent and ``BITS`` of the fraction. So
+    codes follow the order of the values. Store the table where several operators read it.
+    """
+    v = F.col(value)
+    counts = present(df, value, keys).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    size = F.least(F.abs(v), F.lit(LARGEST))
+    exponent = F.floor(F.log2(F.when(size > 0, size)))
+    # Where rounding gives the neighbouring exponent, the fraction leaves [1, 2) to match.
+    fraction = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * (1 << BITS))
+    code = (exponent + EXPONENTS) * (1 << BITS) + fraction
+    signed = F.when(v < 0, -code).otherwise(code)
+    return counts.withColumn("_code", F.coalesce(signed, F.lit(0)).cast("long"))
 
 
 def holding(
@@ -53,52 +66,37 @@ def holding(
 
 
 def quantiles_of(
-    counts: DataFrame, value: str, keys: Sequence[str], shares: Sequence[float],
+    coded: DataFrame, value: str, keys: Sequence[str], shares: Sequence[float],
     key_rows: int | None = None,
 ) -> DataFrame:
-    """Quantiles ``q1``, ``q2``, ... of each group of ``value_counts``, interpolated between
+    """Quantiles ``q1``, ``q2``, ... of each group of ``coded_counts``, interpolated between
     neighbours.
 
-    Values get a code of 2 * ``BITS`` bits in their order: their place between the group's ends on
-    a logarithmic scale. Counts per leading bits tell in which cell a quantile's two neighbours
-    lie, counts per code within that cell narrow it to one code, and only the distinct values of
-    that code are put in order. Every pass is an aggregation; no group is sorted.
+    Rows counted per code tell which codes hold a quantile's two neighbours; only the distinct
+    values of those codes are put in order. No group is sorted.
     """
     keys, v = list(keys), F.col(value)
-    clipped = F.greatest(F.least(F.abs(v), F.lit(LARGEST)), F.lit(0.0))
-    line = F.signum(v) * F.log1p(clipped)
-    ends = counts.groupBy(*keys).agg(
-        F.min(line).alias("_low"), F.max(line).alias("_high"), F.sum("_n").alias("_total"))
-    width, top = F.col("_high") - F.col("_low"), (1 << 2 * BITS) - 1
-    code = F.least(F.floor((line - F.col("_low")) / F.nullif(width, F.lit(0.0)) * (top + 1)),
-                   F.lit(top))
-    coded = same_keys(counts, bounded(ends, key_rows), keys).withColumn(
-        "_code", F.coalesce(code, F.lit(0)).cast("long")
-    ).withColumn("_cell", F.shiftright("_code", BITS)).select(*keys, value, "_n", "_code", "_cell")
+    totals = coded.groupBy(*keys).agg(F.sum("_n").alias("_total"))
 
     def place(share: float) -> Column:
         return F.lit(float(share)) * (F.col("_total") - 1)
 
     ranks = [f(place(share)) for share in shares for f in (F.floor, F.ceil)]
-    targets = ends.select(*keys, F.posexplode(F.array(*ranks)).alias("_place", "_rank"))
+    targets = totals.select(
+        *keys, "_total", F.posexplode(F.array(*ranks)).alias("_place", "_rank"))
     bound = None if key_rows is None else key_rows * len(ranks)
 
-    cells = coded.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_n"))
-    found = holding(targets, cells, keys, "_cell", bound)
-    chosen = found.select(*keys, "_cell", F.col("_before").alias("_ahead")).distinct()
-    inner = same_keys(coded, bounded(chosen, bound), [*keys, "_cell"])
-    codes = inner.groupBy(*keys, "_cell", "_code", "_ahead").agg(F.sum("_n").alias("_n"))
-    found = holding(found.drop("_before"), codes, [*keys, "_cell"], "_code", bound)
+    codes = coded.groupBy(*keys, "_code").agg(F.sum("_n").alias("_n"))
+    found = holding(targets, codes, keys, "_code", bound)
     chosen = found.select(*keys, "_code", F.col("_before").alias("_ahead")).distinct()
-    last = same_keys(coded.drop("_cell"), bounded(chosen, bound), [*keys, "_code"])
-    found = holding(found.drop("_before", "_cell"), last, [*keys, "_code"], value, bound)
+    last = same_keys(coded, bounded(chosen, bound), [*keys, "_code"])
+    found = holding(found.drop("_before"), last, [*keys, "_code"], value, bound)
 
     def at(number: int) -> Column:
         return F.max(F.when(F.col("_place") == number, v))
 
-    near = found.groupBy(*keys).agg(*(at(i).alias(f"_v{i}") for i in range(len(ranks))))
-    whole = same_keys(near, bounded(ends.select(*keys, "_total"), key_rows), keys)
-    return whole.select(*keys, *(
+    near = found.groupBy(*keys, "_total").agg(*(at(i).alias(f"_v{i}") for i in range(len(ranks))))
+    return near.select(*keys, *(
         (F.col(f"_v{2 * i}") + (F.col(f"_v{2 * i + 1}") - F.col(f"_v{2 * i}"))
          * (place(share) - F.floor(place(share)))).alias(f"q{i + 1}")
         for i, share in enumerate(shares)
@@ -113,4 +111,4 @@ def quantiles_by(
 
     Spark's ``percentile`` holds all values of a group in one task.
     """
-    return quantiles_of(value_counts(df, value, keys), value, keys, shares, key_rows)
+    return quantiles_of(coded_counts(df, value, keys), value, keys, shares, key_rows)

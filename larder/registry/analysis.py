@@ -368,7 +368,8 @@ PARTITION BY food_group, country ORDER BY price DESC, import_block, {T.ID}) AS p
 WHERE place > 1), published AS ("""
 
 
-@query("group_analysis_outliers", GROUP_ANALYSIS.replace("FROM series WHERE", "FROM kept WHERE").replace(
+@query("group_analysis_outliers", GROUP_ANALYSIS.replace(
+    "FROM series\nWHERE", "FROM series WHERE").replace("FROM series WHERE", "FROM kept WHERE").replace(
     "published AS (", LISTED, 1))
 def group_analysis_outliers(t: Inputs) -> DataFrame:
     """The averages without a list of rows, the dearest of each country and group."""

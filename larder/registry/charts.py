@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.operators import averages, charts, statistics
+from larder.operators.quantiles import coded_counts
 from larder.registry import twins as T
 from larder.registry.analysis import COST, cost, rounded
 from larder.registry.inputs import CLEAN_ORDER, REGIONS, Inputs
@@ -83,8 +84,9 @@ SELECT {named}, round(lower, 6) AS lower, round(middle, 6) AS middle, round(uppe
 FROM v JOIN q ON {on} GROUP BY {named}, lower, middle, upper"""
 
 
-def _box(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    box = charts.boxplot_table(df, keys, key_rows=rows)
+def _box(t: Inputs, df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    coded = t.stored("coded", coded_counts(df, "monthly_inflation", keys))
+    box = charts.boxplot_of(coded, keys, key_rows=rows)
     return rounded(
         box, "lower", "middle", "upper", "whisker_low", "whisker_high", places=6
     )
@@ -92,23 +94,23 @@ def _box(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
 
 @query("boxplot_table", _boxplot(T.INFLATION, "inflation", "region, country"))
 def boxplot_table(t: Inputs) -> DataFrame:
-    return _box(t.with_inflation(), ["region", "country"], t.nations)
+    return _box(t, t.with_inflation(), ["region", "country"], t.nations)
 
 
 @query("boxplot_table_region", _boxplot(T.INFLATION, "inflation", "region"))
 def boxplot_table_region(t: Inputs) -> DataFrame:
-    return _box(t.with_inflation(), ["region"], t.nations)
+    return _box(t, t.with_inflation(), ["region"], t.nations)
 
 
 @query("boxplot_table_food_group", _boxplot(T.SERIES, "series", "food_group"))
 def boxplot_table_food_group(t: Inputs) -> DataFrame:
-    return _box(t.series(), ["food_group"], t.names)
+    return _box(t, t.series(), ["food_group"], t.names)
 
 
 @query("boxplot_table_import", _boxplot(T.INFLATION, "inflation", "country, import"))
 def boxplot_table_import(t: Inputs) -> DataFrame:
     # Three import labels.
-    return _box(t.with_inflation(), ["country", "import"], 3 * t.nations)
+    return _box(t, t.with_inflation(), ["country", "import"], 3 * t.nations)
 
 
 @query("bar_table", f"{COST} "

@@ -50,7 +50,7 @@ def test_no_group_is_sorted(spark):
     df = spark.createDataFrame([("k", 1.0)], "k string, v double")
     plan = quantiles_by(df, "v", ["k"], (0.5,))._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.split("\n") if " Window " in line]
-    assert windows and all("_cell" in w or "_code" in w for w in windows)
+    assert windows and all("_code" in w for w in windows)
 
 
 def test_boxplot(spread):
