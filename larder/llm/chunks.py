@@ -39,7 +39,7 @@ MASK_BITS = 5
 SMALLEST = 16
 LARGEST = 256
 SPAN_BYTES = 160
-REACH = 1024
+REACH = 256
 HOT = 10_000
 SEED = 9
 GEAR = np.random.default_rng(SEED).integers(0, 1 << 16, 256, np.uint16)
