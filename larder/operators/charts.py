@@ -66,6 +66,70 @@ def trend_table(
     )
 
 
+def local_trend_table(
+    df: DataFrame, value: str, keys: Sequence[str], span: float = 0.75
+) -> DataFrame:
+    """Smooth line per group by local regression, at every month that has points.
+
+    A quadratic is fitted around each month to the nearest ``span`` of the group's points, with
+    tricube weights that fall to zero at the farthest of these; its value at the month is the
+    line. Where fewer than three months have weight the fit is a straight line, with a single one
+    the mean. Points are first summed per month: what is held per group is its months, however
+    many points they have. A missing value, NaN or date takes no part.
+    """
+    y = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    monthly = (
+        df.filter(y.isNotNull() & F.col("date").isNotNull())
+        .groupBy(*keys, month_index(F.col("date")).alias("x"))
+        .agg(F.count(y).cast("double").alias("n"), F.avg(y).alias("y"))
+    )
+    group = Window.partitionBy(*keys)
+    months = monthly.select(
+        *keys, "x", "n", F.collect_list(F.struct("x", "n", "y")).over(group).alias("_months"),
+        F.greatest(F.floor(F.sum("n").over(group) * span + 1e-5), F.lit(1)).alias("_least"),
+    )
+
+    def farther(state: Column, near: Column) -> Column:
+        """The points counted so far, and the distance where they first suffice."""
+        counted = state["n"] + near["n"]
+        found = F.when(counted >= F.col("_least"), near["d"])
+        return F.struct(counted.alias("n"), F.coalesce(state["d"], found).alias("d"))
+
+    distances = F.array_sort(F.transform("_months", lambda m: F.struct(
+        F.abs(m["x"] - F.col("x")).cast("double").alias("d"), m["n"].alias("n"))))
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(None).cast("double").alias("d"))
+    reached = months.withColumn("_reach", F.aggregate(distances, start, farther)["d"])
+
+    def weighed(m: Column) -> Column:
+        """A month's offset in units of the reach, its weight and its mean."""
+        offset = F.coalesce(F.try_divide(m["x"] - F.col("x"), F.col("_reach")),
+                            F.signum((m["x"] - F.col("x")).cast("double")))
+        weight = F.when(F.abs(offset) < 1, m["n"] * F.pow(1 - F.pow(F.abs(offset), 3.0), 3.0))
+        return F.struct(offset.alias("u"), F.coalesce(weight, F.lit(0.0)).alias("w"),
+                        m["y"].alias("y"))
+
+    def summed(state: Column, m: Column) -> Column:
+        """Moments of the offsets (s) and of the offsets with the value (t), and the months."""
+        u, w = m["u"], m["w"]
+        steps = {"s0": w, "s1": w * u, "s2": w * u * u, "s3": w * u * u * u,
+                 "s4": w * u * u * u * u, "t0": w * m["y"], "t1": w * u * m["y"],
+                 "t2": w * u * u * m["y"], "months": F.when(w > 0, 1.0).otherwise(0.0)}
+        return F.struct(*((state[name] + step).alias(name) for name, step in steps.items()))
+
+    names = ("s0", "s1", "s2", "s3", "s4", "t0", "t1", "t2", "months")
+    nothing = F.struct(*(F.lit(0.0).alias(name) for name in names))
+    fitted = reached.withColumn(
+        "_m", F.aggregate(F.transform("_months", weighed), nothing, summed))
+    s0, s1, s2, s3, s4, t0, t1, t2, used = (F.col("_m")[name] for name in names)
+    # Cramer's rule for the fit's value where the offset is zero.
+    c0, c1, c2 = s2 * s4 - s3 * s3, s1 * s4 - s2 * s3, s1 * s3 - s2 * s2
+    curve = (t0 * c0 - t1 * c1 + t2 * c2) / (s0 * c0 - s1 * c1 + s2 * c2)
+    line = (t0 * s2 - t1 * s1) / (s0 * s2 - s1 * s1)
+    smooth = F.when(used >= 3, curve).when(used == 2, line).otherwise(t0 / s0)
+    return fitted.select(*keys, F.col("x").alias("month_index"),
+                         F.col("n").cast("long").alias("points"), smooth.alias("smooth"))
+
+
 def histogram_table(
     df: DataFrame,
     keys: Sequence[str],

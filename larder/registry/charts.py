@@ -46,6 +46,36 @@ def trend_table(t: Inputs) -> DataFrame:
     return rounded(rounded(trend, "smooth", "slope"), "intercept", places=2)
 
 
+@query("local_trend_table", f"""WITH {T.CLEAN}, monthly AS (
+SELECT country, CAST(year AS INT) * 12 + CAST(month AS INT) - 1 AS x, count(*) AS n,
+       avg(unified_price) AS y FROM clean WHERE unified_price IS NOT NULL GROUP BY ALL),
+pairs AS (
+SELECT a.country, a.x AS centre, a.n AS points, b.x - a.x AS d, b.n, b.y,
+       sum(b.n) OVER (PARTITION BY a.country, a.x ORDER BY abs(b.x - a.x)) AS counted,
+       sum(b.n) OVER (PARTITION BY a.country, a.x) AS total
+FROM monthly a JOIN monthly b ON a.country = b.country),
+reached AS (
+SELECT *, min(CASE WHEN counted >= greatest(floor(total * 0.75::DOUBLE + 1e-5), 1) THEN abs(d) END)
+          OVER (PARTITION BY country, centre) AS reach FROM pairs),
+weighed AS (
+SELECT country, centre, points, y, CASE WHEN reach > 0 THEN d / reach::DOUBLE ELSE 0 END AS u,
+       n * pow(1 - pow(CASE WHEN reach > 0 THEN abs(d) / reach::DOUBLE ELSE 0 END, 3), 3) AS w
+FROM reached WHERE abs(d) < reach OR d = 0),
+m AS (
+SELECT country, centre, points, count(*) AS months, sum(w) AS s0, sum(w * u) AS s1,
+       sum(w * u * u) AS s2, sum(w * u * u * u) AS s3, sum(w * u * u * u * u) AS s4,
+       sum(w * y) AS t0, sum(w * u * y) AS t1, sum(w * u * u * y) AS t2
+FROM weighed GROUP BY country, centre, points)
+SELECT country, centre AS month_index, points, round(CASE WHEN months >= 3 THEN
+  (t0 * (s2 * s4 - s3 * s3) - t1 * (s1 * s4 - s2 * s3) + t2 * (s1 * s3 - s2 * s2))
+  / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2))
+  WHEN months = 2 THEN (t0 * s2 - t1 * s1) / (s0 * s2 - s1 * s1) ELSE t0 / s0 END, 3) AS smooth
+FROM m""")
+def local_trend_table(t: Inputs) -> DataFrame:
+    trend = charts.local_trend_table(t.clean(), "unified_price", ["country"])
+    return rounded(trend, "smooth", places=3)
+
+
 def _histogram(source: str, table: str, keys: str) -> str:
     on = " AND ".join(f"v.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
     named = ", ".join(f"v.{k.strip()}" for k in keys.split(","))

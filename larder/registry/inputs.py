@@ -19,7 +19,7 @@ from larder.operators.windows import food_group_by, monthly_inflation
 from larder.operators.unions import import_block
 from larder.plans import cleaning
 from larder.session import shared_folder
-from larder.sources.tables import load_tables, save_tables
+from larder.sources.tables import write_table
 
 # Tells all rows apart, and starts with the day of the observation.
 ROW_ID = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -246,9 +246,9 @@ class Inputs:
 
         For what a query reads several times; the folder belongs to whoever names it.
         """
-        root = f"{shared_folder(self.spark)}/larder-{uuid.uuid4().hex}"
-        save_tables({name: df}, root)
-        return load_tables(self.spark, root, [name])[name]
+        path = f"{shared_folder(self.spark)}/larder-{uuid.uuid4().hex}/{name}"
+        write_table(df, path)
+        return self.spark.read.parquet(path)
 
     def stored_clean(self) -> DataFrame:
         return self.stored("food", self.clean())

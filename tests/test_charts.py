@@ -110,3 +110,40 @@ def test_series_is_ordered(spark):
          ("a", dt.date(2001, 3, 1), 3.0)], "country string, date date, p double")
     out = [tuple(r) for r in charts.series_table(df, "p", "country").collect()]
     assert [v for *_, v in out] == [3.0, 2.0, 1.0]
+
+
+def local_fit(x, y, at, span=0.75):
+    """The local quadratic at ``at`` by numpy, from single points."""
+    distance = np.abs(x - at)
+    reach = np.sort(distance)[max(int(np.floor(len(x) * span + 1e-5)), 1) - 1]
+    near = (distance < reach) | (distance == 0)
+    weight = (1 - (distance[near] / max(reach, 1)) ** 3) ** 3
+    degree = min(len(set(x[near])) - 1, 2)
+    return np.polyval(np.polyfit(x[near] - at, y[near], degree, w=np.sqrt(weight)), 0)
+
+
+def test_local_trend_is_a_local_quadratic(spark):
+    chance = np.random.default_rng(5)
+    groups = {
+        "long": np.sort(chance.integers(0, 40, 300)),
+        "hot month": np.concatenate([[3] * 500, np.arange(0, 12)]),
+        "two months": np.array([1, 1, 9]),
+        "one": np.array([4]),
+    }
+    data, points = [], {}
+    for key, months in groups.items():
+        values = np.sin(months / 4) * 20 + chance.normal(0, 1, len(months))
+        points[key] = (months + 2001 * 12, values)
+        data += [(key, dt.date(2001 + m // 12, int(m % 12) + 1, 1), float(v))
+                 for m, v in zip(months.tolist(), values)]
+    data += [("long", dt.date(2001, 1, 1), None), ("long", None, 1.0),
+             ("one", dt.date(2001, 2, 1), float("nan")), ("none", dt.date(2001, 1, 1), None)]
+    df = spark.createDataFrame(data, "k string, date date, v double")
+    out = charts.local_trend_table(df, "v", ["k"]).collect()
+    assert {(r["k"], r["month_index"]) for r in out} == {
+        (k, m) for k, (months, _) in points.items() for m in months.tolist()}
+    for row in out:
+        x, y = points[row["k"]]
+        assert row["points"] == (x == row["month_index"]).sum()
+        assert row["smooth"] == pytest.approx(local_fit(x, y, row["month_index"]), rel=1e-6)
+    assert charts.local_trend_table(df.limit(0), "v", ["k"]).count() == 0

@@ -3,11 +3,13 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
+from larder.operators import statistics
 from larder.plans import publish
 from larder.sources.csv import read_csv, write_csv
 from larder.sources.inference import repaired_names
-from larder.sources.tables import load_tables
+from larder.sources.tables import load_tables, save_tables
 
 HEAD = ("adm0_id,adm0_name,adm1_id,adm1_name,mkt_id,mkt_name,cm_id,cm_name,cur_id,cur_name,"
         "pt_id,pt_name,um_id,um_name,mp_month,mp_year,mp_price,mp_commoditysource\n")
@@ -176,3 +178,35 @@ def test_types_are_inferred_by_the_last_odd_row(spark, tmp_path):
     empty = tmp_path / "e.csv"
     empty.write_text("a,b\n")
     assert read_csv(spark, str(empty)).dtypes == [("a", "boolean"), ("b", "boolean")]
+
+
+def test_a_job_that_dies_leaves_the_former_tables(spark, tmp_path, rows):
+    root = str(tmp_path / "tables")
+    former = {name: spark.createDataFrame([(name, 1)], "food_group string, v int") for name in "ab"}
+    save_tables(former, root)
+    broken = former["b"].select("food_group", F.raise_error(F.lit("lost")).cast("int").alias("v"))
+    with pytest.raises(Exception, match="lost"):
+        save_tables({"a": former["a"].withColumn("v", F.lit(2)), "b": broken}, root)
+    loaded = load_tables(spark, root, ["a", "b"])
+    assert [rows(loaded[name].select("food_group", "v")) for name in "ab"] == [[("a", 1)], [("b", 1)]]
+    # A table may be made from its own former version, and others keep theirs.
+    save_tables({"a": loaded["a"].withColumn("v", F.col("v") + 2)}, root)
+    again = load_tables(spark, root, ["a", "b"])
+    assert [again[name].first()["v"] for name in "ab"] == [3, 1]
+    assert loaded["a"].first()["v"] == 1
+    with pytest.raises(FileNotFoundError, match="c"):
+        load_tables(spark, root, ["a", "c"])
+
+
+def test_stored_sketches_join(spark, tmp_path):
+    path = str(tmp_path / "sketches")
+    for month in range(3):  # each month adds its own rows; half its values are the next one's too
+        new = spark.range(month * 100_000, (month + 2) * 100_000).withColumn("month", F.lit(month))
+        statistics.distinct_sketches(new, "id", ["month"]).write.mode("append").parquet(path)
+    sketches = spark.read.parquet(path)
+    total = statistics.count_distinct_of(sketches).first()["n"]
+    assert abs(total / 400_000 - 1) < 3 * 2 ** (-statistics.SKETCH_BITS / 2)
+    for row in statistics.count_distinct_of(sketches, ["month"]).collect():
+        assert abs(row["n"] / 200_000 - 1) < 3 * 2 ** (-statistics.SKETCH_BITS / 2)
+    few = spark.createDataFrame([("a",), ("b",), ("a",), (None,), ("",)], "v string")
+    assert statistics.count_distinct_of(statistics.distinct_sketches(few, "v", [])).first()["n"] == 3
