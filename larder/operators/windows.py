@@ -11,49 +11,57 @@ from larder.fixed_values import MIN_GROUP_ROWS
 from larder.functions.scalars import divide
 from larder.operators.filters import filter_equals, min_group_size
 
-# Rows of a series that one task puts in order.
-STRETCH_ROWS = 500_000
+# Rows that one task puts in order, on average.
+STRETCH_ROWS = 50_000
+# Rows looked at for each bound between stretches: the more, the more alike the stretches.
+SAMPLED = 8
+# Most bounds. They travel with every task; on tables of more rows than
+# STRETCH_ROWS * MOST_BOUNDS the stretches grow instead.
+MOST_BOUNDS = 20_000
+_HASHES = 1 << 40
 
 
-def _same(keys: Sequence[str], marks: Sequence[str]) -> list[Column]:
-    return [F.col(k).eqNullSafe(F.col(m)) for k, m in zip(keys, marks)]
+def bounds(df: DataFrame, columns: Sequence[str], rows: int) -> Column:
+    """An ascending array of rows of ``df``, as structs of ``columns``, about ``rows`` apart.
+
+    They come from a sample by hash, so all bounds are the same whenever they are computed.
+    The column is a scalar subquery: it is computed as the query runs, once.
+    """
+    total = df.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).cast("double")).scalar()
+    wanted = F.least(F.ceil(total / rows).cast("double"), F.lit(float(MOST_BOUNDS)))
+    hashed = F.pmod(F.xxhash64(*columns), F.lit(_HASHES))
+    sample = df.filter(hashed < wanted * SAMPLED / total * F.lit(float(_HASHES)))
+    ordered = sample.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_rows"))
+    return ordered.select(F.array_distinct(
+        F.filter("_rows", lambda _, i: i % SAMPLED == SAMPLED - 1))).scalar()
+
+
+def with_stretch(df: DataFrame, limits: Column, columns: Sequence[str]) -> DataFrame:
+    """Add ``_stretch``: how many of the ascending ``limits`` lie before the row, by bisection."""
+    found = df.withColumns({"_row": F.struct(*columns), "_stretch": F.lit(0)})
+    for power in reversed(range(MOST_BOUNDS.bit_length())):
+        further = F.get(limits, F.col("_stretch") + F.lit((1 << power) - 1)) < F.col("_row")
+        step = F.when(further, F.lit(1 << power)).otherwise(F.lit(0))
+        found = found.withColumn("_stretch", F.col("_stretch") + step)
+    return found
 
 
 def stretches(
-    df: DataFrame, partition: Sequence[str], order: Sequence[str], split: tuple[int, int],
-    rows: int,
+    df: DataFrame, partition: Sequence[str], order: Sequence[str], rows: int = STRETCH_ROWS
 ) -> DataFrame:
-    """``df`` with ``_stretch``: every series cut, in order, into stretches of about ``rows``.
+    """``df`` with ``_stretch``, its place in a cut of all rows, by ``partition`` and ``order``.
 
-    Rows are counted per cell, the leading ``sum(split)`` order columns. A running count
-    over the cells says how many rows lie before each; the cell is in stretch count / rows.
-    It is taken within the first ``split[0]`` columns, then over these, so that no task
-    counts all cells of a series.
+    The cut knows no series: a long one lies in many stretches, many short ones in one. The
+    row that ends a stretch also stands in the next one, there with ``_copy`` set.
     """
-    keys, coarse = list(partition), list(order[:split[0]])
-    fine = list(order[split[0]:sum(split)])
-    whole = [*keys, *coarse, *fine]
-    cells = df.groupBy(*whole).agg(F.count(F.lit(1)).alias("_n"))
-    steps = cells.groupBy(*keys, *coarse).agg(F.sum("_n").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(*coarse).rowsBetween(
-        Window.unboundedPreceding, -1)
-    steps = steps.select(
-        *(F.col(c).alias(f"_s{i}") for i, c in enumerate([*keys, *coarse])),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_earlier"),
-    )
-    inside = F.lit(0)
-    if fine:
-        here = Window.partitionBy(*keys, *coarse).orderBy(*fine).rowsBetween(
-            Window.unboundedPreceding, -1)
-        inside = F.coalesce(F.sum("_n").over(here), F.lit(0))
-    placed = cells.withColumn("_inside", inside)
-    marks = [f"_s{i}" for i in range(len(keys) + len(coarse))]
-    placed = placed.join(steps, _same([*keys, *coarse], marks)).select(
-        *(F.col(c).alias(f"_c{i}") for i, c in enumerate(whole)),
-        F.floor((F.col("_earlier") + F.col("_inside")) / rows).alias("_stretch"),
-    )
-    marks = [f"_c{i}" for i in range(len(whole))]
-    return df.join(placed, _same(whole, marks)).drop(*marks)
+    columns = [*partition, *order]
+    limits = bounds(df, columns, rows)
+    placed = with_stretch(df, limits, columns)
+    ends = F.get(limits, F.col("_stretch")).eqNullSafe(F.col("_row"))
+    once, twice = F.array(F.lit(False)), F.array(F.lit(False), F.lit(True))
+    copied = placed.withColumn("_copy", F.explode(F.when(ends, twice).otherwise(once)))
+    place = F.col("_stretch") + F.col("_copy").cast("int")
+    return copied.withColumn("_stretch", place).drop("_row")
 
 
 def previous_value(
@@ -62,41 +70,37 @@ def previous_value(
     into: str,
     partition: Sequence[str],
     order: Sequence[str],
-    split: tuple[int, int] = (1, 0),
     rows: int = STRETCH_ROWS,
 ) -> DataFrame:
     """Add ``into``: ``value`` of the row before, in ``order``, within ``partition``.
 
     A plain ``lag`` brings a whole partition into one task. Here a task orders one stretch of
-    a series (``stretches``). The first row of a stretch takes the last value of the stretch
-    before, of which there is one row each. The result equals the plain ``lag``.
+    all rows (``stretches``), which starts with a copy of the row before it; the rows are
+    shuffled once. The result equals the plain ``lag``. Rows that ``order`` doesn't tell apart
+    follow each other in any order, as they do there.
     """
     keys, order = list(partition), list(order)
-    cut = stretches(df, keys, order, split, rows)
-    last = cut.groupBy(*keys, "_stretch").agg(
-        F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
-    series = Window.partitionBy(*keys).orderBy("_stretch")
-    marks = [f"_l{i}" for i in range(len(keys) + 1)]
-    links = last.withColumn("_link", F.lag("_last").over(series)).select(
-        *(F.col(c).alias(m) for c, m in zip([*keys, "_stretch"], marks)), "_link")
-    within = Window.partitionBy(*keys, "_stretch").orderBy(*order)
-    inner = cut.withColumn("_inner", F.lag(F.struct(F.col(value).alias("v"))).over(within))
-    linked = inner.join(links, _same([*keys, "_stretch"], marks))
-    known = linked.withColumn(into, F.coalesce("_inner", "_link")["v"])
-    return known.drop("_inner", "_link", "_stretch", *marks)
+    inside = Window.partitionBy("_stretch").orderBy(*keys, *order)
+    fields = [F.col(value).alias("v"), *(F.col(k).alias(f"k{i}") for i, k in enumerate(keys))]
+    found = stretches(df, keys, order, rows).withColumn(
+        "_before", F.lag(F.struct(*fields)).over(inside))
+    same = F.lit(True)
+    for i, key in enumerate(keys):
+        same &= F.col(key).eqNullSafe(F.col("_before")[f"k{i}"])
+    known = found.filter(~F.col("_copy")).withColumn(into, F.when(same, F.col("_before")["v"]))
+    return known.drop("_before", "_stretch", "_copy")
 
 
 def monthly_inflation(
     df: DataFrame,
     order: Sequence[str],
     partition: Sequence[str] = ("country",),
-    split: tuple[int, int] = (1, 0),
 ) -> DataFrame:
     """Percent change of ``price`` against the previous row of the partition.
 
     Missing on a partition's first row and after a price of zero.
     """
-    known = previous_value(df, "price", "_previous", partition, order, split)
+    known = previous_value(df, "price", "_previous", partition, order)
     ratio = divide(F.col("price"), F.col("_previous"))
     change = F.lit(100) * (ratio - F.lit(1))
     return known.withColumn("monthly_inflation", change).drop("_previous")
@@ -107,18 +111,16 @@ SERIES = ("country", "city", "market", "food_name", "seller_type", "currency", "
 
 
 def monthly_inflation_series(
-    df: DataFrame, order: Sequence[str], split: tuple[int, int] = (1, 0),
-    keys: Sequence[str] = SERIES,
+    df: DataFrame, order: Sequence[str], keys: Sequence[str] = SERIES
 ) -> DataFrame:
     """Percent change within one product series instead of across a whole country."""
-    return monthly_inflation(df, order, keys, split)
+    return monthly_inflation(df, order, keys)
 
 
 def food_group_by(
     food: DataFrame,
     order: Sequence[str],
     group: str | None = None,
-    split: tuple[int, int] = (1, 0),
     key_rows: int | None = None,
 ) -> DataFrame:
     """Rows of a food group (of every group if None) with monthly inflation.
@@ -128,7 +130,7 @@ def food_group_by(
     keys = ["food_group", "country"]
     chosen = food if group is None else filter_equals(food, food_group=group)
     large = min_group_size(chosen, keys, MIN_GROUP_ROWS, key_rows)
-    return monthly_inflation(large, order, keys, split)
+    return monthly_inflation(large, order, keys)
 
 
 def country_food_series(
@@ -136,7 +138,6 @@ def country_food_series(
     order: Sequence[str],
     country: str | None = None,
     food_name: str | None = None,
-    split: tuple[int, int] = (1, 0),
     key_rows: int | None = None,
 ) -> DataFrame:
     """The same for one (or, if None, every) country and exact food name.
@@ -150,4 +151,4 @@ def country_food_series(
         chosen = filter_equals(chosen, food_name=food_name)
     keys = ["country", "food_name"]
     large = min_group_size(chosen, keys, MIN_GROUP_ROWS, key_rows)
-    return monthly_inflation(large, order, keys, split)
+    return monthly_inflation(large, order, keys)

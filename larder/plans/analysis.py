@@ -19,7 +19,6 @@ def group_analysis(
     groups: Sequence[str] = V.TOP_FOODS,
     regions: Sequence[str] = V.WORLD_REGIONS,
     without: Sequence[str] = V.COUNTRIES_WITHOUT_PPP,
-    split: tuple[int, int] = (1, 0),
     key_rows: int | None = None,
     **options,
 ) -> dict[str, DataFrame]:
@@ -30,7 +29,7 @@ def group_analysis(
     them.
     """
     chosen = unions.top_foods_union(clean, groups)
-    series = windows.food_group_by(chosen, order, split=split, key_rows=key_rows)
+    series = windows.food_group_by(chosen, order, key_rows=key_rows)
     return {"series": series, **tables_of(series, order, regions, without, **options)}
 
 

@@ -24,12 +24,11 @@ FILES = {
 }
 
 # The published rows have no identity of their own: the columns that tell them apart,
-# the label's block first, then date: a series is cut by month and then by market.
+# the label's block first, then date.
 ROW_ORDER = (
     "import_block", "date", "market", "food_name", "seller_type", "unit", "currency", "city",
     "price",
 )
-ROW_SPLIT = (2, 1)
 
 
 def clean_inputs(spark: SparkSession, source: str, root: str) -> DataFrame:
@@ -64,13 +63,12 @@ def analyse(
     spark: SparkSession,
     root: str,
     order: Sequence[str] = ROW_ORDER,
-    split: tuple[int, int] = ROW_SPLIT,
     **options,
 ) -> None:
     """Read the clean food table under ``root`` and write every analysis table there."""
     food = load_tables(spark, root, ["food"])["food"]
     clean = food.withColumn("import_block", import_block())
-    tables = analysis.group_analysis(clean, order, split=split, **options)
+    tables = analysis.group_analysis(clean, order, **options)
     # The series feeds all the others: written once, read back with its columns pruned.
     save_tables({"series": tables["series"]}, root)
     series = load_tables(spark, root, ["series"])["series"]

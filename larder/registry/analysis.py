@@ -9,7 +9,7 @@ from larder.operators import averages, filters, statistics, unions, windows
 from larder.plans import analysis
 from larder.registry import twins as T
 from larder.registry.inputs import (
-    CLEAN_ORDER, CLEAN_SPLIT, GROUPS, ORDER, REGIONS, ROW_ID, SPLIT, Inputs,
+    CLEAN_ORDER, GROUPS, ORDER, REGIONS, ROW_ID, Inputs,
 )
 from larder.registry.queries import query
 
@@ -281,7 +281,7 @@ SERIES_KEYS = "country, city, seller_type, currency, unit"
     f"PARTITION BY {SERIES_KEYS} ORDER BY {T.ID}), 0) - 1) AS monthly_inflation", "obs"))
 def monthly_inflation_series(t: Inputs) -> DataFrame:
     keys = SERIES_KEYS.split(", ")
-    rows = windows.monthly_inflation_series(t.stored("obs", t.obs()), ORDER, SPLIT, keys)
+    rows = windows.monthly_inflation_series(t.stored("obs", t.obs()), ORDER, keys)
     return rows.select(*ID, *keys, "monthly_inflation")
 
 
@@ -300,7 +300,7 @@ def food_group_by(t: Inputs) -> DataFrame:
     "WHERE size >= 10"))
 def country_food_series(t: Inputs) -> DataFrame:
     rows = windows.country_food_series(
-        t.stored_clean(), CLEAN_ORDER, split=CLEAN_SPLIT, key_rows=t.group_rows
+        t.stored_clean(), CLEAN_ORDER, key_rows=t.group_rows
     )
     return rows.select(*ID, "import", "country", "food_name", "monthly_inflation")
 
@@ -349,7 +349,7 @@ def _group_series(t: Inputs) -> DataFrame:
     """Like the published pipeline: the clean table, then the series, are written once and
     read back, with their columns and food groups pruned."""
     return t.stored("series", analysis.group_analysis(
-        t.stored_clean(), CLEAN_ORDER, tuple(GROUPS), split=CLEAN_SPLIT, key_rows=t.group_rows
+        t.stored_clean(), CLEAN_ORDER, tuple(GROUPS), key_rows=t.group_rows
     )["series"])
 
 
@@ -398,7 +398,7 @@ def group_analysis_outliers(t: Inputs) -> DataFrame:
     f"WHERE {TOP} GROUP BY food_group, country"))
 def group_analysis_stats(t: Inputs) -> DataFrame:
     tables = analysis.group_analysis(
-        t.stored_clean(), CLEAN_ORDER, tuple(GROUPS), split=CLEAN_SPLIT, key_rows=t.group_rows
+        t.stored_clean(), CLEAN_ORDER, tuple(GROUPS), key_rows=t.group_rows
     )
     return rounded(tables["stats"], "avg_infla", "stdev", places=6)
 
@@ -455,7 +455,7 @@ def import_comparison_as_written(t: Inputs) -> DataFrame:
 def inflation_report(t: Inputs) -> DataFrame:
     """The report of one group: rice."""
     rice = windows.food_group_by(
-        t.stored_clean(), CLEAN_ORDER, "Rice", CLEAN_SPLIT, key_rows=t.group_rows
+        t.stored_clean(), CLEAN_ORDER, "Rice", key_rows=t.group_rows
     )
     report = analysis.inflation_report(rice)
     return rounded(report, "avg_infla", "stdev", places=6)

@@ -23,14 +23,9 @@ from larder.sources.tables import write_table
 
 # Tells all rows apart, and starts with the day of the observation.
 ROW_ID = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-# The same order with a band of order keys after the day: rows are counted by day and band
-# to cut a series, however many rows one day has.
-ORDER = ("l_shipdate", "order_band", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-SPLIT = (1, 1)
+ORDER = ROW_ID
 # The clean table stacks a block per import label: a row's copy is in another block.
 CLEAN_ORDER = ("import_block", *ORDER)
-CLEAN_SPLIT = (2, 1)
-BAND_WIDTH = 1 << 18
 AFTER, BEFORE = 1995, 2001
 YEARS = range(1996, 2001)
 DAYS = ("1996-01-01", "2001-01-01")
@@ -157,7 +152,6 @@ class Inputs:
             currency.alias("currency"),
             F.col("l_extendedprice").alias("price"),
             day.cast("date").alias("l_shipdate"),
-            F.floor(F.col("l_orderkey") / BAND_WIDTH).alias("order_band"),
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         )
 
@@ -260,12 +254,12 @@ class Inputs:
 
     def with_inflation(self) -> DataFrame:
         """Clean rows with the change against the country's previous row."""
-        return monthly_inflation(self.stored_clean(), CLEAN_ORDER, split=CLEAN_SPLIT)
+        return monthly_inflation(self.stored_clean(), CLEAN_ORDER)
 
     def series(self) -> DataFrame:
         """Clean rows of every food group and country with ten rows, with inflation."""
         return food_group_by(
-            self.stored_clean(), CLEAN_ORDER, split=CLEAN_SPLIT, key_rows=self.group_rows
+            self.stored_clean(), CLEAN_ORDER, key_rows=self.group_rows
         )
 
     def currency_codes(self) -> DataFrame:

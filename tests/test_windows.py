@@ -25,31 +25,56 @@ def test_zero_price_gives_no_change(spark):
     assert change == [None, None, None, None]
 
 
-@pytest.mark.parametrize("size", [1, 7, 1000])
-@pytest.mark.parametrize("split", [(1, 0), (1, 1), (2, 0), (2, 1), (3, 0)])
-def test_stretches_equal_plain_lag(spark, rows, split, size):
+def mixed(spark):
     chance = random.Random(7)
-    # One country has most rows, some stretches hold one row, some values are missing.
+    # One country has most rows; keys, order columns and values may be missing.
     data = [
         (chance.choice(["a", "a", "a", "a", "b", "c", None]), chance.choice([None, *range(12)]),
          chance.randrange(4), i,
          chance.choice([None, float(chance.randrange(99))]))
         for i in range(600)
     ]
-    df = spark.createDataFrame(data, "k string, d int, e int, i int, v double").repartition(5)
-    order = ["d", "e", "i"]
-    plain = df.withColumn("p", F.lag("v").over(Window.partitionBy("k").orderBy(*order)))
-    assert rows(windows.previous_value(df, "v", "p", ["k"], order, split, size)) == rows(plain)
+    return spark.createDataFrame(data, "k string, d int, e int, i int, v double").repartition(5)
+
+
+@pytest.mark.parametrize("size", [1, 7, 100, 1000])
+@pytest.mark.parametrize("keys", [[], ["k"], ["k", "e"]])
+def test_previous_value_equals_plain_lag(spark, rows, keys, size):
+    df = mixed(spark)
+    order = [c for c in ("d", "e", "i") if c not in keys]
+    plain = df.withColumn("p", F.lag("v").over(Window.partitionBy(*keys).orderBy(*order)))
+    assert rows(windows.previous_value(df, "v", "p", keys, order, size)) == rows(plain)
+
+
+def test_previous_value_of_no_rows(spark):
+    none = mixed(spark).limit(0)
+    assert windows.previous_value(none, "v", "p", ["k"], ["d", "i"], 7).collect() == []
+
+
+def test_equal_rows_keep_their_number(spark):
+    same = spark.range(50).select(F.lit("a").alias("k"), F.lit(1).alias("i"), F.lit(2.0).alias("v"))
+    found = windows.previous_value(same, "v", "p", ["k"], ["i"], 7).collect()
+    assert sorted(str(r["p"]) for r in found) == ["2.0"] * 49 + ["None"]
 
 
 def test_stretches_are_of_the_size_asked(spark):
-    df = spark.range(1000).select(
-        F.lit("a").alias("k"), (F.col("id") / 100).cast("int").alias("d"),
-        (F.col("id") / 10).cast("int").alias("band"), "id",
-    )
-    cut = windows.stretches(df, ["k"], ["d", "band", "id"], (1, 1), 50)
-    sizes = [r["count"] for r in cut.groupBy("_stretch").count().collect()]
-    assert sizes == [50] * 20
+    """One hot series is cut as evenly as many short ones; each bound has one copy."""
+    df = spark.range(20000).select(
+        F.when(F.col("id") % 3 > 0, "hot").otherwise((F.col("id") / 30).cast("int").cast("string"))
+        .alias("k"), "id")
+    cut = windows.stretches(df, ["k"], ["id"], 1000)
+    sizes = {r["_stretch"]: r["n"] for r in
+             cut.filter("NOT _copy").groupBy("_stretch").agg(F.count("*").alias("n")).collect()}
+    assert sum(sizes.values()) == 20000 and 18 <= len(sizes) <= 23
+    assert max(sizes.values()) < 2500
+    assert cut.filter("_copy").count() in (len(sizes) - 1, len(sizes))
+
+
+def test_rows_are_shuffled_once(spark):
+    plan = windows.previous_value(mixed(spark), "v", "p", ["k"], ["d", "i"], 7)
+    physical = plan._jdf.queryExecution().executedPlan().toString()
+    main = physical.split("Subqueries")[0]
+    assert main.count("hashpartitioning(_stretch") == 1 and "Join" not in main
 
 
 def test_a_copy_does_not_follow_its_original(spark):
@@ -59,7 +84,7 @@ def test_a_copy_does_not_follow_its_original(spark):
     data = [("a", i, p, "rice (local)") for i, p in enumerate([10.0, 12.0, 6.0])]
     df = spark.createDataFrame(data, "country string, i int, price double, food_name string")
     stacked = import_label_union(df).withColumn("import_block", import_block())
-    out = windows.monthly_inflation(stacked, ["import_block", "i"], split=(2, 0))
+    out = windows.monthly_inflation(stacked, ["import_block", "i"])
     found = {(r["import"], r["i"]): r["monthly_inflation"] for r in out.collect()}
     assert found[("Not Import", 0)] is None
     assert found[("Not Import", 1)] == pytest.approx(20) == found[("Local", 1)]
