@@ -27,10 +27,10 @@ def bounds(df: DataFrame, columns: Sequence[str], rows: int) -> Column:
     They come from a sample by hash, so all bounds are the same whenever they are computed.
     The column is a scalar subquery: it is computed as the query runs, once.
     """
-    total = df.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).cast("double")).scalar()
+    total = F.greatest(F.count(F.lit(1)), F.lit(1)).cast("double")
     wanted = F.least(F.ceil(total / rows).cast("double"), F.lit(float(MOST_BOUNDS)))
-    hashed = F.pmod(F.xxhash64(*columns), F.lit(_HASHES))
-    sample = df.filter(hashed < wanted * SAMPLED / total * F.lit(float(_HASHES)))
+    below = df.agg((wanted * SAMPLED / total * F.lit(float(_HASHES))).alias("_below")).scalar()
+    sample = df.filter(F.pmod(F.xxhash64(*columns), F.lit(_HASHES)) < below)
     ordered = sample.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_rows"))
     return ordered.select(F.array_distinct(
         F.filter("_rows", lambda _, i: i % SAMPLED == SAMPLED - 1))).scalar()
@@ -38,9 +38,12 @@ def bounds(df: DataFrame, columns: Sequence[str], rows: int) -> Column:
 
 def with_stretch(df: DataFrame, limits: Column, columns: Sequence[str]) -> DataFrame:
     """Add ``_stretch``: how many of the ascending ``limits`` lie before the row, by bisection."""
-    found = df.withColumns({"_row": F.struct(*columns), "_stretch": F.lit(0)})
+    # One column, so that the subquery stands in the plan once; it is gone before the shuffle.
+    found = df.withColumns(
+        {"_limits": limits, "_row": F.struct(*columns), "_stretch": F.lit(0)})
     for power in reversed(range(MOST_BOUNDS.bit_length())):
-        further = F.get(limits, F.col("_stretch") + F.lit((1 << power) - 1)) < F.col("_row")
+        place = F.col("_stretch") + F.lit((1 << power) - 1)
+        further = F.get("_limits", place) < F.col("_row")
         step = F.when(further, F.lit(1 << power)).otherwise(F.lit(0))
         found = found.withColumn("_stretch", F.col("_stretch") + step)
     return found
@@ -55,13 +58,13 @@ def stretches(
     row that ends a stretch also stands in the next one, there with ``_copy`` set.
     """
     columns = [*partition, *order]
-    limits = bounds(df, columns, rows)
-    placed = with_stretch(df, limits, columns)
-    ends = F.get(limits, F.col("_stretch")).eqNullSafe(F.col("_row"))
+    placed = with_stretch(df, bounds(df, columns, rows), columns)
+    ends = F.get("_limits", F.col("_stretch")).eqNullSafe(F.col("_row"))
+    placed = placed.withColumn("_ends", ends).drop("_limits", "_row")
     once, twice = F.array(F.lit(False)), F.array(F.lit(False), F.lit(True))
-    copied = placed.withColumn("_copy", F.explode(F.when(ends, twice).otherwise(once)))
+    copied = placed.withColumn("_copy", F.explode(F.when(F.col("_ends"), twice).otherwise(once)))
     place = F.col("_stretch") + F.col("_copy").cast("int")
-    return copied.withColumn("_stretch", place).drop("_row")
+    return copied.withColumn("_stretch", place).drop("_ends")
 
 
 def previous_value(
