@@ -13,9 +13,9 @@ counts by slot (a bag) rule most pairs out before their texts are fetched; the b
 Buckets are settled in two steps. First each text is compared with the one text of its bucket
 that comes first in a fixed random order of all texts, which links the bulk of a group with few
 pairs. Then in every bucket that still holds several classes all texts of different
-classes are compared, in cells of two blocks of about ``BLOCK`` texts, so that a bucket of any
-size is many tasks' work; its largest class does not meet itself, and only pairs that pass the
-bag leave a cell. So any two near texts that share a bucket end in one class. What can be
+classes are compared, in cells of two blocks of about ``BLOCK`` texts of like length, so that a
+bucket of any size is many tasks' work; blocks whose lengths differ too much for near texts and those
+of its largest class don't meet, and only pairs that pass the bag leave a cell. So any two near texts that share a bucket end in one class. What can be
 lost is a near pair that shares none; the README has the measured shares.
 
 Equal texts are one node throughout. Classes are the connected components of the links.
@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.llm.common import importable, unused, written
@@ -447,27 +447,79 @@ def unresolved(buckets: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def cells(members: DataFrame) -> DataFrame:
-    """The rows of ``members`` (bucket, node, root) that have to meet: (bucket, i, j, side, node,
-    root), ``side`` being the row's block and i <= j the two blocks of its cell."""
+    """The rows of ``members`` (bucket, node, root, and words if lengths are to tell) that have to
+    meet: (bucket, i, j, side, node, root), ``side`` being the row's block and i <= j the two blocks
+    of its cell.
+
+    The blocks of a large bucket are cut by length, and only those meet whose lengths near texts can
+    have. Those of its largest class have odd numbers and don't meet each other; the first that an
+    even block meets comes into that block's own cell. A length of more than a block's texts is dealt
+    over several blocks.
+    """
+    if "words" not in members.columns:
+        members = members.withColumn("words", F.lit(0))
     classes = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     most = F.max_by("n", F.struct("n", "root"))
     sizes = classes.groupBy("bucket").agg(
-        most.alias("top"), (F.sum("n") - most).alias("others"),
+        F.sum("n").alias("n"), most.alias("top"),
         F.max_by("root", F.struct("n", "root")).alias("top_root"),
-    ).where(F.col("others") > 0).select(
-        "bucket", F.when(F.col("top") + F.col("others") > BLOCK, F.col("top_root")).alias("apart"),
-        F.ceil(F.col("others") / BLOCK).alias("low"), F.ceil(F.col("top") / BLOCK).alias("high"))
-    whole = F.col("apart").isNull()
-    top = F.col("root") == F.col("apart")
-    place = F.xxhash64("node", F.lit(SEED))
-    side = F.when(whole, 0).when(top, F.col("low") + F.pmod(place, "high")).otherwise(
-        F.pmod(place, "low"))
-    last = F.when(whole, 0).when(top, F.col("low") - 1).otherwise(F.col("low") + F.col("high") - 1)
-    dealt = members.join(sizes, "bucket").select(
-        "bucket", side.cast("int").alias("side"), "node", "root",
-        F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("other"))
-    return dealt.select("bucket", F.least("side", "other").alias("i"),
-                        F.greatest("side", "other").alias("j"), "side", "node", "root")
+    ).where(F.col("n") > F.col("top")).select(
+        "bucket", (F.col("n") > BLOCK).alias("large"), "top_root")
+    placed = members.join(sizes, "bucket").withColumn(
+        "top", (F.col("root") == F.col("top_root")).cast("int"))
+    small = placed.where(~F.col("large")).select(
+        "bucket", *(F.lit(0).alias(c) for c in ("i", "j", "side")), "node", "root")
+
+    large = placed.where("large").select("bucket", "top", "words", "node", "root")
+    shorter = Window.partitionBy("bucket", "top").orderBy("words").rowsBetween(
+        Window.unboundedPreceding, -1)
+    lengths = large.groupBy("bucket", "top", "words").agg(F.count("*").alias("n")).select(
+        "bucket", "top", "words",
+        F.floor(F.coalesce(F.sum("n").over(shorter), F.lit(0)) / BLOCK).alias("first"),
+        F.ceil(F.col("n") / BLOCK).alias("parts"))
+    blocks = lengths.select(
+        "bucket", "top", "words",
+        F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("block"),
+    ).groupBy("bucket", "top", (2 * F.col("block") + F.col("top")).cast("int").alias("side")).agg(
+        F.min("words").alias("shortest"), F.max("words").alias("longest"))
+    one, two = (blocks.select("bucket", *(F.col(c).alias(f"{c}_{x}") for c in blocks.columns[1:]))
+                for x in "ij")
+    least = F.greatest("shortest_i", "shortest_j")  # of the longer one of two texts
+    reach = least - F.least("longest_i", "longest_j") <= F.lit(1 - SIMILARITY) * least + 1e-9
+    near = one.join(two, "bucket").where(reach & (F.col("top_i") == 0))
+    within = near.where((F.col("top_j") == 0) & (F.col("side_i") <= F.col("side_j"))).select(
+        "bucket", F.col("side_i").alias("i"), F.col("side_j").alias("j"),
+        F.explode(F.array_distinct(F.array("side_i", "side_j"))).alias("side"))
+    own = F.col("side_j") == F.min("side_j").over(Window.partitionBy("bucket", "side_i"))
+    across = near.where(F.col("top_j") == 1).withColumn("own", own).select(
+        "bucket", *(F.when(F.col("own"), F.col("side_i")).otherwise(name("side_i", "side_j")).alias(c)
+                    for c, name in (("i", F.least), ("j", F.greatest))),
+        F.explode(F.when(F.col("own"), F.array("side_j")).otherwise(
+            F.array("side_i", "side_j"))).alias("side"))
+    meeting = within.unionByName(across)
+    place = F.pmod(F.xxhash64("node", F.lit(SEED)), "parts")
+    dealt = large.join(lengths, ["bucket", "top", "words"]).select(
+        "bucket", (2 * (F.col("first") + place) + F.col("top")).cast("int").alias("side"),
+        "node", "root")
+    return small.unionByName(dealt.join(meeting, ["bucket", "side"]))
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Rows ordered by their first three columns -> these and the rows of each cell."""
+    cell, parts = None, []
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
+        starts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        cuts = [0, *starts.tolist(), len(keys)] if len(keys) else [0]
+        for start, end in zip(cuts, cuts[1:]):
+            key = tuple(keys[start].tolist())
+            if parts and key != cell:
+                yield cell, pa.Table.from_batches(parts).combine_chunks()
+                parts = []
+            cell = key
+            parts.append(batch.slice(start, end - start))
+    if parts:
+        yield cell, pa.Table.from_batches(parts).combine_chunks()
 
 
 def met(members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -475,30 +527,30 @@ def met(members: DataFrame, nodes: DataFrame) -> DataFrame:
     in the smallest bucket that both are in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(3)
-            ends, flat = lists.offsets.to_numpy().astype(np.int64), lists.values
-            for row in range(batch.num_rows):
-                part = flat.slice(ends[row], ends[row + 1] - ends[row])
-                bucket, i, j = (batch.column(c)[row].as_py() for c in range(3))
-                node = part.field("node").to_pylist()
-                shared = [frozenset(own) for own in part.field("own").to_pylist()]
-                a, b = [], []
-                for x, y in _met_in_cell(part.field("side").to_numpy(),
-                                         part.field("root").to_numpy(), part.field("bag"), i == j):
-                    for u, v in zip(x.tolist(), y.tolist()):
-                        if min(shared[u] & shared[v]) == bucket:
-                            a.append(min(node[u], node[v]))
-                            b.append(max(node[u], node[v]))
+        for (bucket, i, j), rows in whole_cells(batches):
+            side, root = (rows.column(c).to_numpy() for c in ("side", "root"))
+            if root.min() == root.max():
+                continue
+            node = rows.column("node").to_pylist()
+            shared = [frozenset(own) for own in rows.column("own").to_pylist()]
+            a, b = [], []
+            for x, y in _met_in_cell(side, root, rows.column("bag"), i == j):
+                for u, v in zip(x.tolist(), y.tolist()):
+                    if min(shared[u] & shared[v]) == bucket:
+                        a.append(min(node[u], node[v]))
+                        b.append(max(node[u], node[v]))
+            if a:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     # A text has a bucket per sketch at most.
     own = members.groupBy("node").agg(F.collect_list("bucket").alias("own"))
     dealt = cells(members).join(nodes.select("node", "bag").join(own, "node"), "node")
-    gathered = dealt.groupBy("bucket", "i", "j").agg(F.collect_list(F.struct(
-        "side", F.xxhash64("root").alias("root"), "node", "bag", "own")).alias("members"))
-    return gathered.select("bucket", "i", "j", "members").mapInArrow(run, "a binary, b binary")
+    # A task holds one cell at a time.
+    ordered = dealt.select(
+        "bucket", "i", "j", "side", F.xxhash64("root").alias("root"), "node", "bag", "own",
+    ).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return ordered.mapInArrow(run, "a binary, b binary")
 
 
 def _met_in_cell(side: np.ndarray, root: np.ndarray, bags: pa.Array, within: bool

@@ -235,6 +235,24 @@ def test_cells_of_a_large_bucket_meet_in_pairs_of_blocks(spark, monkeypatch):
         frozenset((x, y)) for x in range(40) for y in range(x) if rows[x][2] != rows[y][2]}
 
 
+def test_texts_of_unlike_length_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    chance = random.Random(13)
+    rows = [(1, bytes([i]), bytes([i if i % 3 else 0]), chance.choice([7, 20, *range(20, 400, 7)]))
+            for i in range(120)]
+    dealt = near_dup.cells(spark.createDataFrame(
+        rows, "bucket long, node binary, root binary, words int")).collect()
+    members = {}
+    for r in dealt:
+        members.setdefault((r.i, r.j), []).append((r.side, r.node[0], bytes(r.root)))
+    found = [frozenset((x[1], y[1])) for (i, j), cell in members.items() for x in cell for y in cell
+             if x[1] < y[1] and x[2] != y[2] and (i == j or x[0] != y[0])]
+    reached = {frozenset((x, y)) for x in range(120) for y in range(x) if rows[x][2] != rows[y][2]
+               and abs(rows[x][3] - rows[y][3]) <= near_dup.limit_of(max(rows[x][3], rows[y][3]))}
+    assert len(found) == len(set(found)) and reached <= set(found)
+    assert len(dealt) < 120 * 120 / 4 / 3  # a copy of every text for every block is 120 * 120 / 4
+
+
 def test_copies_go_whatever_the_columns_are_called(spark):
     rows = [(1, PROSE, "n", "c", "k"), (2, PROSE + " more", "n", "c", "k"), (3, None, "n", "c", "k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, node string, class string, bag string")
