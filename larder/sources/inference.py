@@ -38,15 +38,28 @@ def repaired_names(header: Sequence[str | None]) -> list[str]:
     return names
 
 
-def _fits(text: Column) -> dict[str, Column]:
-    """Narrower types of the lattice, narrowest first -> whether a text is of the type."""
+KINDS = ("boolean", "int", "double")  # narrowest first; a bit each, from the lowest
+# First letters of words that read as numbers (see NUMBER); others start with a sign, point or digit.
+_NUMBER_LETTERS = [ord(c) for c in "NnIi"]
+
+
+def _fits(text: Column) -> Column:
+    """The narrower types that a text is of, as bits in the order of ``KINDS``.
+
+    Patterns are tried on what may start a number only, and what is whole is a number too. Its size
+    is read off its digits: a cast that fails makes an exception first, which costs far more.
+    """
     plain = F.trim(text)
-    whole = plain.try_cast("int")
-    return {
-        "boolean": text.isin(*LOGICAL),
-        "int": plain.rlike(WHOLE) & F.coalesce(whole > -(1 << 31), F.lit(False)),
-        "double": plain.rlike(NUMBER),
-    }
+    start = F.ascii(plain)
+    digits = F.rtrim(F.ltrim(plain, F.lit("+-0")), F.lit("\r\n"))
+    small = digits.rlike(r"^\d{0,10}\z") & ((F.length(digits) < 10) | (digits < str(1 << 31)))
+    return (
+        F.when(text.isin(*LOGICAL), 1)
+        .when(~(start.between(ord("+"), ord("9")) | start.isin(_NUMBER_LETTERS)), 0)
+        .when(plain.rlike(WHOLE), F.when(small, 6).otherwise(4))
+        .when(plain.rlike(NUMBER), 4)
+        .otherwise(0)
+    )
 
 
 def inferred(raw: DataFrame, na: str) -> T.StructType:
@@ -54,18 +67,18 @@ def inferred(raw: DataFrame, na: str) -> T.StructType:
     their values have.
 
     The missing token fits every type, blank fields every type but text; a column of nothing else
-    is logical. Each column is three conjunctions, so one pass that merges partial results types
-    any file, whatever row decides.
+    is logical. Each column is one conjunction of bits, so one pass that merges partial results types
+    any file, whatever row decides. A field is a row of its own there: what is generated for one
+    column is small enough for the JVM to compile, for all of a wide file it is not.
     """
-    checks = []
-    for i, name in enumerate(raw.columns):
-        text = F.coalesce(F.col(f"`{name}`"), F.lit(""))
-        known = (text != na) & (F.trim(text) != "")
-        checks += [F.coalesce(F.bool_and(F.when(known, fits)), F.lit(True)).alias(f"{kind}_{i}")
-                   for kind, fits in _fits(text).items()]
-    row = raw.agg(*checks).first()
-    fields = []
+    fields = F.array(*(F.coalesce(F.col(f"`{name}`"), F.lit("")) for name in raw.columns))
+    texts = raw.select(F.posexplode(fields).alias("place", "text"))
+    known = texts.where((F.col("text") != na) & (F.trim("text") != ""))
+    found = known.groupBy("place").agg(F.bit_and(_fits(F.col("text"))).alias("fits")).collect()
+    fits = {row["place"]: row["fits"] for row in found}  # a row a column
+    types = []
     for i, name in enumerate(raw.columns):
-        kind = next((k for k in ("boolean", "int", "double") if row[f"{k}_{i}"]), "string")
-        fields.append(T.StructField(name, T._parse_datatype_string(kind)))
-    return T.StructType(fields)
+        bits = fits.get(i, 7)
+        kind = next((k for bit, k in enumerate(KINDS) if bits >> bit & 1), "string")
+        types.append(T.StructField(name, T._parse_datatype_string(kind)))
+    return T.StructType(types)

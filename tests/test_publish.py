@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larder.operators import statistics
 from larder.plans import publish
 from larder.sources.csv import read_csv, write_csv
-from larder.sources.inference import repaired_names
+from larder.sources.inference import _fits, repaired_names
 from larder.sources.tables import load_tables, save_tables
 
 HEAD = ("adm0_id,adm0_name,adm1_id,adm1_name,mkt_id,mkt_name,cm_id,cm_name,cur_id,cur_name,"
@@ -180,6 +180,16 @@ def test_types_are_inferred_by_the_last_odd_row(spark, tmp_path):
     assert read_csv(spark, str(empty)).dtypes == [("a", "boolean"), ("b", "boolean")]
 
 
+def test_numbers_are_told_without_casts_that_fail(spark):
+    bits = {"T": 1, "7": 6, " +007 ": 6, "0": 6, "2147483647": 6, "-2147483647": 6, "12\n": 6,
+            "000000000000012": 6, "2147483648": 4, "-2147483648": 4, "99999999999": 4, "1.": 4,
+            ".5": 4, "NaN": 4, "inf": 4, "-1e5": 4, "1996-01-01": 0, "India": 0, "12a": 0, "x": 0}
+    texts = spark.createDataFrame([(text,) for text in bits], "text string")
+    found = texts.select("text", _fits(texts["text"]).alias("fits"))
+    assert dict(found.collect()) == bits
+    assert "cast" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_a_job_that_dies_leaves_the_former_tables(spark, tmp_path, rows):
     root = str(tmp_path / "tables")
     former = {name: spark.createDataFrame([(name, 1)], "food_group string, v int") for name in "ab"}
