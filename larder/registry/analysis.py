@@ -257,8 +257,11 @@ WHERE place = 1 AND NOT EXISTS (SELECT 1 FROM published p
 SELECT country AS Var1, count(*) AS Freq FROM national
 WHERE stdv IS NULL AND monthly_inflation IS NULL GROUP BY country""")
 def countries_without_stdev(t: Inputs) -> DataFrame:
+    # Without the text columns, which the first row of a date would carry along.
+    series = t.series().select(
+        *CLEAN_ORDER, "food_group", "country", "date", "market", "monthly_inflation")
     national = averages.join_published_else_computed(
-        t.series(), CLEAN_ORDER, ["food_group", "country", "date"]
+        series, CLEAN_ORDER, ["food_group", "country", "date"]
     )
     return statistics.countries_without_stdev(national)
 

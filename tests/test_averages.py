@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larder.functions.aggregates import mean, strict_mean
 from larder.operators import averages, statistics
 from larder.plans import analysis
+from larder.registry.analysis import countries_without_stdev
 
 D1, D2 = dt.date(2001, 1, 1), dt.date(2001, 2, 1)
 SCHEMA = (
@@ -115,6 +116,19 @@ def test_cost_to_survive(spark, rows):
     assert out[0]["price_to_survive"] == pytest.approx(2.0 * 769.23076923 * 365)
 
 
+def test_countries_without_stdev_carry_no_text_columns(spark, rows):
+    class Series:
+        def series(self):
+            return spark.sql("""SELECT 1 import_block, DATE '2000-01-01' l_shipdate, id l_orderkey,
+                1 l_linenumber, 1L l_partkey, 1L l_suppkey, 'Rice' food_group, 'A' country,
+                DATE '2000-01-01' date, 'M' market, CAST(NULL AS DOUBLE) monthly_inflation,
+                'B' city, 'unseen' seller_type, 2.0D price FROM range(3)""")
+
+    found = countries_without_stdev(Series())
+    assert rows(found) == [("A", 1)]
+    assert "unseen" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_countries_without_stdev(spark, rows):
     df = spark.createDataFrame(
         [("A", None, None), ("A", None, 1.0), ("B", 2.0, None)],
