@@ -85,26 +85,33 @@ def bundles(texts: list[str | None]) -> np.ndarray:
     slots, owner = np.concatenate(each), np.repeat(np.arange(len(each)), sizes)
     kept = np.ones(len(slots), bool)
     kept[1:] = (slots[1:] != 0) | (slots[:-1] != 0) | (owner[1:] != owner[:-1])
-    slots, owner = slots[kept].astype(np.int32), owner[kept]
+    slots, owner = slots[kept], owner[kept]
     inside = owner[2:] == owner[:-2]
-    keys = ((slots[:-2] << 16) | (slots[1:-1] << 8) | slots[2:])[inside]
+    # The letters of these texts are numbered, so that tables by trigram are no larger than they need.
+    letters = np.flatnonzero(np.bincount(slots))
+    n = len(letters)
+    number = np.zeros(LETTER_SLOTS + 1, np.int32)
+    number[letters] = np.arange(n)
+    slots = number[slots]
+    keys = ((slots[:-2] * n + slots[1:-1]) * n + slots[2:])[inside]
     owner = owner[:-2][inside]
     if not len(keys):
         return np.zeros((len(texts), DIMENSIONS), np.float32)
-    seen = np.zeros(1 << 24, bool)
+    seen = np.zeros(n ** 3, bool)
     seen[keys] = True
     used = np.flatnonzero(seen)
     if len(texts) > 1 and len(texts) * len(used) > COUNTED:  # many different trigrams
         half = len(texts) // 2
         return np.concatenate([bundles(texts[:half]), bundles(texts[half:])])
-    place = np.empty(1 << 24, np.int32)
+    place = np.empty(n ** 3, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
     counts = np.bincount(owner * len(used) + place[keys], minlength=len(texts) * len(used))
     counts = counts.reshape(len(texts), -1)
+    spelt = letters[used // n ** 2] << 16 | letters[used // n % n] << 8 | letters[used % n]
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
     for at in range(0, len(used), BOUND_AT_ONCE):
         part = slice(at, at + BOUND_AT_ONCE)
-        out += counts[:, part].astype(np.float32) @ trigram_vectors(used[part])
+        out += counts[:, part].astype(np.float32) @ trigram_vectors(spelt[part])
     return out
 
 

@@ -7,12 +7,13 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from larder.llm import (
-    chunks, decontaminate, language, licences, mixing, near_dup, quality, sharding, tokens, topk,
+    chunks, common, decontaminate, language, licences, mixing, near_dup, quality, sharding, tokens, topk,
 )
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, label string"
@@ -425,3 +426,26 @@ def test_languages_are_learned_from_the_smallest_hashes(spark):
         expected = language.prototypes(docs.where(F.col("doc_id").isin(least)), 1000)
         assert names == expected[0] == ["one", "two"]
         assert np.array_equal(vectors, expected[1])
+
+
+def test_workers_release_what_they_free(spark):
+    """The pipeline's stages share their workers, so what one frees must not stay with them."""
+    common.importable(spark)
+
+    def run(batches):
+        def held():
+            with open("/proc/self/status") as status:
+                return int(re.search(r"RssAnon:\s+(\d+)", status.read())[1])
+
+        def fill(size):
+            return np.ones(size, np.uint8), pa.array([b"x" * size])
+
+        for _ in batches:
+            fill(1)
+            before = held()
+            for _ in range(3):
+                fill(24 << 20)
+            yield pa.RecordBatch.from_pydict({"more": pa.array([held() - before], pa.int64())})
+
+    found = spark.range(0, 1, 1, 1).mapInArrow(run, "more long").collect()
+    assert found[0].more < 8 << 10

@@ -223,3 +223,13 @@ def test_trigrams_are_bundled():
     expected = expected + roll(letters[a], 2) * roll(letters[b], 1) * letters[0]
     assert found[0].astype(int).tolist() == expected.tolist()
     assert not found[1:4].any() and found[5].any()
+
+
+def test_tables_of_trigrams_are_as_large_as_their_letters_need():
+    language.bundles(["ab"])
+    tracemalloc.start()
+    try:
+        language.bundles(["some words", "other words"])
+        assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    finally:
+        tracemalloc.stop()
